@@ -68,3 +68,125 @@ r AS (SELECT g.*, row_number() OVER (PARTITION BY speaker_id ORDER BY length(tex
 SELECT r.speaker_id, CAST(r.clip_rank AS BIGINT) AS clip_rank, r.text, r.duration, round(tot.total_duration, 6) AS total_duration
 FROM r JOIN tot ON r.speaker_id IS NOT DISTINCT FROM tot.speaker_id WHERE r.clip_rank <= 5
 """)(flagship)
+
+
+# -- signals (N1-N10, P5, F8, F9) --------------------------------------------
+
+from ..functions import signal as N  # noqa: E402
+from ..sources import signals as SG  # noqa: E402
+
+#: proxy sample rate of event signals: 45-99 samples become 5.6-12.4 s, so
+#: the pipelines' second-based bounds are not vacuous
+EVENT_RATE = 8
+#: threshold used on event signals: driver values are all >= 0.01 before
+#: peak normalisation, so 0.05 is the one that finds quiet edges
+EVENT_SILENCE = 0.05
+
+
+def _clips(spark, sf_dir):
+    return SG.event_signals(spark, sf_dir, rate=EVENT_RATE)
+
+
+def _clips_sql() -> str:
+    return SG.signals_sql(rate=EVENT_RATE)
+
+
+@register("signal_clips", f"SELECT speaker_id, clip_no, x, rate, n_samples FROM ({_clips_sql()})")
+def q_signal_clips(spark, sf_dir):
+    return _clips(spark, sf_dir)
+
+
+@register("signal_duration",
+          f"SELECT speaker_id, clip_no, len(x) / rate::DOUBLE AS duration FROM ({_clips_sql()})")
+def q_signal_duration(spark, sf_dir):
+    return _clips(spark, sf_dir).select("speaker_id", "clip_no", N.duration("x", "rate").alias("duration"))
+
+
+@register("signal_peak_normalize",
+          f"SELECT speaker_id, clip_no, {S.peak_normalize('x')} AS y, {S.peak_normalize('x', N.GAIN_C)} AS y_c"
+          f" FROM ({_clips_sql()})")
+def q_peak_normalize(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    return c.select("speaker_id", "clip_no", N.peak_normalize("x").alias("y"),
+                    N.peak_normalize("x", N.GAIN_C).alias("y_c"))
+
+
+@register("signal_trim_silence_b",
+          f"SELECT speaker_id, clip_no, {S.trim_silence_b('p', EVENT_SILENCE)} AS y FROM"
+          f" (SELECT speaker_id, clip_no, {S.peak_normalize('x')} AS p FROM ({_clips_sql()}))")
+def q_trim_b(spark, sf_dir):
+    c = _clips(spark, sf_dir).select("speaker_id", "clip_no", N.peak_normalize("x").alias("p"))
+    return c.select("speaker_id", "clip_no", N.trim_silence_b("p", EVENT_SILENCE).alias("y"))
+
+
+@register("signal_trim_silence_c",
+          f"SELECT speaker_id, clip_no, {S.trim_silence_c('p', EVENT_SILENCE, 3)} AS y,"
+          f" {S.trim_silence_c('p', EVENT_SILENCE, 1000)} AS y1000 FROM"
+          f" (SELECT speaker_id, clip_no, {S.peak_normalize('x', N.GAIN_C)} AS p FROM ({_clips_sql()}))")
+def q_trim_c(spark, sf_dir):
+    c = _clips(spark, sf_dir).select("speaker_id", "clip_no", N.peak_normalize("x", N.GAIN_C).alias("p"))
+    return c.select("speaker_id", "clip_no", N.trim_silence_c("p", EVENT_SILENCE, 3).alias("y"),
+                    N.trim_silence_c("p", EVENT_SILENCE, 1000).alias("y1000"))
+
+
+@register("signal_clamp_and_min_len",
+          f"SELECT speaker_id, clip_no, {S.clamp_len('x', 64)} AS cut, {S.min_len_or_null('x', 70)} AS long_only"
+          f" FROM ({_clips_sql()})")
+def q_clamp(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    return c.select("speaker_id", "clip_no", N.clamp_len("x", 64).alias("cut"),
+                    N.min_len_or_null("x", 70).alias("long_only"))
+
+
+@register("signal_resample",
+          f"SELECT speaker_id, clip_no, {S.resample('x', 8, 11)} AS up, {S.resample('x', 8, 5)} AS down"
+          f" FROM ({_clips_sql()})")
+def q_resample(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    return c.select("speaker_id", "clip_no", N.resample("x", 8, 11).alias("up"),
+                    N.resample("x", 8, 5).alias("down"))
+
+
+@register("signal_downmix",
+          f"SELECT speaker_id, clip_no, {S.downmix('[x, list_reverse(x)]')} AS mono FROM ({_clips_sql()})")
+def q_downmix(spark, sf_dir):
+    c = _clips(spark, sf_dir)
+    return c.select("speaker_id", "clip_no", N.downmix(F.array(F.col("x"), F.reverse("x"))).alias("mono"))
+
+
+@register("embedding_l2_normalize",
+          f"SELECT vec_id, label, {S.l2_normalize('list_transform(embedding, lambda e: CAST(e AS DOUBLE) * 3)')} AS speaker_embedding"
+          f" FROM embeddings")
+def q_l2(spark, sf_dir):
+    e = px.embeddings_table(spark, sf_dir)
+    tripled = F.transform("embedding", lambda v: v.cast("double") * 3)
+    return e.select("vec_id", "label", N.l2_normalize(tripled).alias("speaker_embedding"))
+
+
+def _chain_b_sql(x: str, rate: int) -> str:
+    y = S.trim_silence_b(S.peak_normalize(x), N.SILENCE_B)
+    return S.clamp_len(y, N.MAX_SECONDS_B * rate)
+
+
+def _chain_c_sql(x: str, rate: int) -> str:
+    y = S.trim_silence_c(S.peak_normalize(x, N.GAIN_C), N.SILENCE_C, N.PAD_C)
+    return S.clamp_len(S.min_len_or_null(y, N.MIN_SECONDS_C * rate), N.MAX_SECONDS_C * rate)
+
+
+@register("signal_clean_chains",
+          f"SELECT speaker_id, clip_no, {_chain_b_sql('x', EVENT_RATE)} AS clean_b,"
+          f" {_chain_c_sql('x', EVENT_RATE)} AS clean_c FROM ({_clips_sql()})")
+def q_chains(spark, sf_dir):
+    """N8 with the high-pass step off (it has no SQL equivalent)."""
+    c = _clips(spark, sf_dir)
+    return c.select("speaker_id", "clip_no",
+                    N.clean_signal_b("x", EVENT_RATE, filtered=False).alias("clean_b"),
+                    N.clean_signal_c("x", EVENT_RATE, filtered=False).alias("clean_c"))
+
+
+@register("signal_highpass")
+def q_highpass(spark, sf_dir):
+    """N5 (rows-only check; unit tests compare against a sample loop)."""
+    c = _clips(spark, sf_dir)
+    fc_b = N.HIGHPASS_B / N.RATE_B * EVENT_RATE
+    return c.select("speaker_id", "clip_no", N.highpass("x", fc_b, EVENT_RATE).alias("y"))

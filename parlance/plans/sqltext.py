@@ -66,3 +66,71 @@ def special_count(x: str) -> str:
 
 def special_ratio(x: str) -> str:
     return f"CASE WHEN length({x}) > 0 THEN {special_count(x)} / length({x}) END"
+
+
+# --- signals (DuckDB list functions) -------------------------------------
+
+def peak(x: str) -> str:
+    return f"list_max(list_transform({x}, lambda v: abs(v)))"
+
+
+def peak_normalize(x: str, gain: float | None = None) -> str:
+    pk = peak(x)
+    body = f"v / {pk}" if gain is None else f"v / {pk} * {gain!r}"
+    return f"CASE WHEN {pk} > 0 THEN list_transform({x}, lambda v: {body}) ELSE {x} END"
+
+
+def _first_loud(x: str, th: float) -> str:
+    return f"coalesce(list_position(list_transform({x}, lambda v: abs(v) > {th!r}), true), 0)"
+
+
+def _last_loud(x: str, th: float) -> str:
+    return f"(len({x}) - coalesce(list_position(list_reverse(list_transform({x}, lambda v: abs(v) > {th!r})), true), 0) + 1)"
+
+
+def sql_slice(x: str, start: str, length: str) -> str:
+    """Spark's ``slice(x, start, length)`` (1-based) in DuckDB."""
+    return f"list_slice({x}, {start}, ({start}) + ({length}) - 1)"
+
+
+def trim_silence_b(x: str, th: float) -> str:
+    f, l = _first_loud(x, th), _last_loud(x, th)
+    return f"CASE WHEN {f} > 0 THEN {sql_slice(x, f, f'{l} - {f} + 1')} ELSE {x} END"
+
+
+def trim_silence_c(x: str, th: float, pad: int) -> str:
+    f, l = _first_loud(x, th), _last_loud(x, th)
+    s, e, n = f"({f} - 1)", f"({l} - 1)", f"len({x})"
+    p = f"least({pad}, {s}, {n} - {e} - 1)"
+    start, end = f"({s} - {p})", f"least({n}, {e} + {p})"
+    return f"CASE WHEN {f} > 0 THEN {sql_slice(x, f'{start} + 1', f'{end} - {start}')} ELSE {x} END"
+
+
+def clamp_len(x: str, n: int) -> str:
+    return f"list_slice({x}, 1, {n})"
+
+
+def min_len_or_null(x: str, n: int) -> str:
+    return f"CASE WHEN len({x}) >= {n} THEN {x} END"
+
+
+def resample(x: str, r_in: int, r_out: int) -> str:
+    step = r_in / r_out
+    n = f"len({x})"
+    m = f"CAST(floor({n} * {r_out} / {r_in}) AS INTEGER)"
+    k = f"CAST(floor(i * {step!r}) AS INTEGER)"
+    a = f"{x}[least({k} + 1, {n})]"
+    b = f"{x}[least({k} + 2, {n})]"
+    return f"list_transform(range(0, {m}), lambda i: {a} + (i * {step!r} - {k}) * ({b} - {a}))"
+
+
+def l2_normalize(v: str) -> str:
+    d = f"CAST({v} AS DOUBLE[])"
+    norm = f"sqrt(list_reduce(list_transform({d}, lambda y: y * y), lambda a, b: a + b, 0.0::DOUBLE))"
+    return f"CASE WHEN {norm} > 0 THEN list_transform({d}, lambda y: y / {norm}) ELSE {d} END"
+
+
+def downmix(xs: str) -> str:
+    n = f"len({xs}[1])"
+    return (f"CASE WHEN len({xs}) = 0 OR {n} = 0 THEN []::DOUBLE[] ELSE list_transform(range(1, {n} + 1), "
+            f"lambda i: list_reduce(list_transform({xs}, lambda ch: ch[i]), lambda a, b: a + b, 0.0::DOUBLE) / len({xs})) END")
