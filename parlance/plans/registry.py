@@ -190,3 +190,447 @@ def q_highpass(spark, sf_dir):
     c = _clips(spark, sf_dir)
     fc_b = N.HIGHPASS_B / N.RATE_B * EVENT_RATE
     return c.select("speaker_id", "clip_no", N.highpass("x", fc_b, EVENT_RATE).alias("y"))
+
+
+# -- text functions on whole documents (T1-T12) -------------------------------
+
+from ..functions import text as T  # noqa: E402
+from ..functions import predicates as P  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(px.table_path(sf_dir, "documents"))
+
+
+def _text_query(name: str, spark_expr, sql_expr: str):
+    register(name, f"SELECT doc_id, {sql_expr} AS out FROM documents")(
+        lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", spark_expr().alias("out")))
+
+
+_text_query("text_fold_vowels", lambda: T.fold_vowels("text"), S.fold_vowels("text"))
+_text_query("text_fold_letters", lambda: T.fold_letters("text"), S.fold_letters("text"))
+_text_query("text_keep_word_chars", lambda: T.keep_word_chars("text"), S.keep_word_chars("text"))
+_text_query("text_keep_italian_chars", lambda: T.keep_italian_chars(F.lower("text")),
+            S.keep_italian_chars("lower(text)"))
+_text_query("text_squeeze_ws", lambda: T.squeeze_ws("text"), S.squeeze_ws("text"))
+_text_query("text_expand_abbr_b", lambda: T.expand_abbr_b("text"), S.expand_abbr_b("text"))
+_text_query("text_expand_abbr_c", lambda: T.expand_abbr_c(F.lower("text")), S.expand_abbr_c("lower(text)"))
+_text_query("text_lower_or_empty", lambda: F.lower(T.empty_if_null("text")), "lower(coalesce(text, ''))")
+_text_query("text_normalize_b", lambda: T.normalize_text_b("text"), S.normalize_text_b("text"))
+_text_query("text_normalize_c", lambda: T.normalize_text_c("text"), S.normalize_text_c("text"))
+
+
+@register("text_special_ratio",
+          f"SELECT doc_id, CAST({S.special_count('text')} AS BIGINT) AS n_special, {S.special_ratio('text')} AS ratio,"
+          f" (length(text) > 0 AND NOT ({S.special_count('text')} / length(text) > 0.3)) AS ok_03"
+          f" FROM documents")
+def q_special(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", T.special_count("text").cast("long").alias("n_special"),
+                    T.special_ratio("text").alias("ratio"), P.special_at_most("text", 0.3).alias("ok_03"))
+
+
+# -- sources and projections (S1-S3, P1, P2, P4, P6, U1) -----------------------
+
+from ..sources import corpus as SC  # noqa: E402
+
+
+@register("corpus_scan", "SELECT doc_id, lang, source, n_chars, 0 AS source_no,"
+                        " CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pos FROM documents")
+def q_scan(spark, sf_dir):
+    d = SC.read_corpus(spark, px.table_path(sf_dir, "documents"))
+    return d.select("doc_id", "lang", "source", "n_chars", "source_no", "pos")
+
+
+@register("corpus_head", f"SELECT doc_id, text, CAST(pos AS BIGINT) AS pos FROM ({DOCS_SQL}) WHERE pos < 250")
+def q_head(spark, sf_dir):
+    d = SC.read_corpus(spark, px.table_path(sf_dir, "documents"))
+    return SC.head(d, 250).select("doc_id", "text", "pos")
+
+
+def _b_specs(sf_dir: str):
+    """Two sources as the enhanced pipeline adapts them, plus a missing one."""
+    return [
+        SC.SourceSpec(px.table_path(sf_dir, "documents"), rename={"lang": "speaker_id"}),
+        SC.SourceSpec(px.table_path(sf_dir, "conversations"), rename={"role": "speaker_id"},
+                      keep=["text", "speaker_id"]),
+        SC.SourceSpec(px.table_path(sf_dir, "no_such_table"), rename={"sentence": "text"}),
+    ]
+
+
+@register("load_sources", f"""
+SELECT text, speaker_id, 0 AS source_no, CAST(pos AS BIGINT) AS pos, doc_id FROM ({DOCS_SQL})
+UNION ALL
+SELECT text, speaker_id, 1 AS source_no, CAST(pos AS BIGINT) AS pos, NULL::BIGINT AS doc_id FROM ({CONV_SQL})
+""")
+def q_load_sources(spark, sf_dir):
+    df, _skipped = SC.load_sources(spark, _b_specs(sf_dir))
+    return df.select("text", "speaker_id", "source_no", "pos", "doc_id")
+
+
+@register("rename_keep", "SELECT text AS sentence, role AS client_id FROM conversations")
+def q_rename_keep(spark, sf_dir):
+    c = SC.read_corpus(spark, px.table_path(sf_dir, "conversations"), position=False)
+    c = SC.rename(c, {"text": "sentence", "role": "client_id", "absent_col": "x"})
+    return SC.keep(c, ["sentence", "client_id"], always=())
+
+
+@register("default_speaker",
+          f"SELECT doc_id, 'speaker_' || CAST(pos AS VARCHAR) AS speaker_id FROM ({DOCS_SQL})")
+def q_default_speaker(spark, sf_dir):
+    d = SC.read_corpus(spark, px.table_path(sf_dir, "documents"))
+    return SC.default_speaker(d.select("doc_id", "pos")).select("doc_id", "speaker_id")
+
+
+@register("utterance_record",
+          f"SELECT conv_id, turn, {{'text': {S.normalize_text_c('text')}, 'speaker_id': role,"
+          f" 'duration': length(text) / 15.0::DOUBLE, 'sample_rate': 22050}} AS record FROM conversations")
+def q_record(spark, sf_dir):
+    c = px.conversations_corpus(spark, sf_dir)
+    return c.select("conv_id", "turn", F.struct(T.normalize_text_c("text").alias("text"), "speaker_id", "duration",
+                                                F.lit(22050).alias("sample_rate")).alias("record"))
+
+
+@register("concat_sources", f"""
+SELECT text, speaker_id, source_no, CAST(pos AS BIGINT) AS pos, doc_id, NULL::BIGINT AS conv_id FROM
+  (SELECT text, speaker_id, 0 AS source_no, pos, doc_id FROM ({DOCS_SQL}))
+UNION ALL
+SELECT text, speaker_id, 1, CAST(pos AS BIGINT), NULL, conv_id FROM ({CONV_SQL})
+""")
+def q_concat(spark, sf_dir):
+    d = px.documents_corpus(spark, sf_dir, 0).select("text", "speaker_id", "source_no", "pos", "doc_id")
+    c = px.conversations_corpus(spark, sf_dir, 1).select("text", "speaker_id", "source_no", "pos", "conv_id")
+    return SC.concat_sources([d, c]).select("text", "speaker_id", "source_no", "pos", "doc_id", "conv_id")
+
+
+# -- filters, funnel, gates (F1-F5, F9, G10, G11) ------------------------------
+
+from ..operators import quality as Q  # noqa: E402
+
+
+def _conv_b(spark, sf_dir):
+    c = px.conversations_corpus(spark, sf_dir)
+    return c.withColumn("text", T.normalize_text_b("text"))
+
+
+def _conv_b_sql() -> str:
+    return (f"SELECT {S.normalize_text_b('text')} AS text, speaker_id, duration, conv_id, turn, source_no, pos"
+            f" FROM ({CONV_SQL})")
+
+
+def _reason_sql(t: str = "text", d: str = "duration", r: float = 0.3) -> str:
+    return (f"CASE WHEN NOT (length({t}) BETWEEN 10 AND 300) THEN 'text_length'"
+            f" WHEN NOT coalesce({d} BETWEEN 1.0 AND 10.0, false) THEN 'duration'"
+            f" WHEN trim({t}) = '' THEN 'blank'"
+            f" WHEN NOT (length({t}) > 0 AND NOT ({S.special_count(t)} / length({t}) > {r})) THEN 'special_chars'"
+            f" END")
+
+
+@register("quality_filter_b",
+          f"SELECT conv_id, turn, text, duration FROM ({_conv_b_sql()}) WHERE {_reason_sql()} IS NULL")
+def q_quality(spark, sf_dir):
+    return Q.quality_filter_b(_conv_b(spark, sf_dir)).select("conv_id", "turn", "text", "duration")
+
+
+@register("quality_reasons", f"SELECT conv_id, turn, {_reason_sql()} AS reject_reason FROM ({_conv_b_sql()})")
+def q_reasons(spark, sf_dir):
+    return Q.with_reject_reason(_conv_b(spark, sf_dir)).select("conv_id", "turn", "reject_reason")
+
+
+@register("quality_reasons_raw_documents",
+          "SELECT doc_id, " + _reason_sql("text", "length(text) / 1500.0::DOUBLE", 0.3)
+          + " AS reject_reason FROM documents")
+def q_reasons_docs(spark, sf_dir):
+    """F4 on raw text (normalised text rarely exceeds 0.3), duration :=
+    length / 1500 so that the length tests are reached."""
+    d = _docs(spark, sf_dir).withColumn("duration", F.length("text") / F.lit(1500.0))
+    return Q.with_reject_reason(d).select("doc_id", "reject_reason")
+
+
+@register("text_duration_filter_c",
+          f"SELECT conv_id, turn, text, duration FROM ({_voices_prepared_sql().replace('source_no, pos', 'source_no, pos, conv_id, turn').replace('SELECT text, role', 'SELECT text, role')})"
+          f" WHERE length(text) BETWEEN 10 AND 200 AND duration BETWEEN 2.0 AND 15.0")
+def q_filter_c(spark, sf_dir):
+    return C.prepare_text(px.conversations_corpus(spark, sf_dir)).select("conv_id", "turn", "text", "duration")
+
+
+_FUNNEL_B = [("text_length", "length(text) BETWEEN 10 AND 300"),
+             ("duration", "duration BETWEEN 1.0 AND 10.0"),
+             ("not_blank", "trim(text) <> ''")]
+
+
+@register("funnel_b", "SELECT * FROM (VALUES " + ", ".join(
+    ["(0, 'input', (SELECT count(*) FROM conversations))"]
+    + [f"({i}, '{n}', (SELECT count(*) FROM ({_conv_b_sql()}) WHERE "
+       + " AND ".join(f"coalesce({c}, false)" for _, c in _FUNNEL_B[:i]) + "))"
+       for i, (n, _) in enumerate(_FUNNEL_B, start=1)]
+    + [f"(4, 'special_chars', (SELECT count(*) FROM ({_conv_b_sql()}) WHERE {_reason_sql()} IS NULL))"])
+    + ") AS t(stage_no, stage, n_rows)")
+def q_funnel(spark, sf_dir):
+    d = _conv_b(spark, sf_dir)
+    stages = [("text_length", P.text_len_between("text", 10, 300)),
+              ("duration", P.duration_between("duration", 1.0, 10.0)),
+              ("not_blank", P.not_blank("text")),
+              ("special_chars", P.special_at_most("text", 0.3))]
+    return Q.funnel(d, stages)
+
+
+@register("gates_c", f"""
+WITH f AS ({_filtered_c_sql()}),
+good AS (SELECT speaker_id FROM f GROUP BY speaker_id HAVING count(*) >= 5)
+SELECT 'samples' AS "check", CAST((SELECT count(*) FROM f) AS BIGINT) AS value, CAST(100 AS BIGINT) AS threshold,
+       (SELECT count(*) FROM f) >= 100 AS ok
+UNION ALL
+SELECT 'speakers', CAST((SELECT count(*) FROM good) AS BIGINT), CAST(5 AS BIGINT), (SELECT count(*) FROM good) >= 5
+""")
+def q_gates(spark, sf_dir):
+    prepared = C.prepare_text(px.conversations_corpus(spark, sf_dir))
+    voices = C.voice_table(prepared)
+    return C.gates(prepared, voices)
+
+
+# -- speakers (G1-G9, J1/F6, W1-W3, U2) ----------------------------------------
+
+from ..operators import speakers as SP  # noqa: E402
+
+
+def _vocab_sql(table: str) -> str:
+    return (f"SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM {table}) WHERE ch <> ''"
+            f" UNION SELECT ' ' WHERE (SELECT count(*) FROM {table}) >= 2")
+
+
+def _conv_text(spark, sf_dir):
+    return spark.read.parquet(px.table_path(sf_dir, "conversations"))
+
+
+@register("char_vocab", _vocab_sql("documents"))
+def q_vocab(spark, sf_dir):
+    return SP.char_vocab(_docs(spark, sf_dir))
+
+
+@register("vocab_sizes", f"SELECT CAST((SELECT count(*) FROM ({_vocab_sql('documents')})) AS BIGINT) AS dataset_vocab_size,"
+                         f" CAST((SELECT count(*) FROM ({_vocab_sql('conversations')})) AS BIGINT) AS reference_vocab_size")
+def q_vocab_sizes(spark, sf_dir):
+    return SP.vocab_sizes(SP.char_vocab(_docs(spark, sf_dir)), SP.char_vocab(_conv_text(spark, sf_dir)))
+
+
+@register("missing_chars", f"SELECT ch FROM ({_vocab_sql('documents')}) EXCEPT SELECT ch FROM ({_vocab_sql('conversations')})")
+def q_missing(spark, sf_dir):
+    return SP.missing_chars(SP.char_vocab(_docs(spark, sf_dir)), SP.char_vocab(_conv_text(spark, sf_dir)))
+
+
+def _events_spk(spark, sf_dir):
+    e = spark.read.parquet(px.table_path(sf_dir, "events"))
+    return e.select(F.col("user_id").alias("speaker_id"), "event_id", "ts")
+
+
+@register("speaker_counts_events", "SELECT user_id AS speaker_id, count(*) AS n FROM events GROUP BY user_id")
+def q_counts_events(spark, sf_dir):
+    return SP.speaker_counts(_events_spk(spark, sf_dir))
+
+
+@register("speaker_counts_documents", "SELECT lang AS speaker_id, count(*) AS n FROM documents GROUP BY lang")
+def q_counts_docs(spark, sf_dir):
+    return SP.speaker_counts(px.documents_corpus(spark, sf_dir))
+
+
+@register("speaker_summary", "SELECT count(*) AS n_speakers, sum(n)::BIGINT AS n_rows, sum(n) / count(*) AS mean_rows_per_speaker"
+                             " FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def q_summary(spark, sf_dir):
+    return SP.speaker_summary(SP.speaker_counts(_events_spk(spark, sf_dir)))
+
+
+@register("speaker_histogram", """
+WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+r0 AS (SELECT min(n)::DOUBLE AS lo, max(n)::DOUBLE AS hi FROM c),
+r AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM r0),
+w AS (SELECT lo, hi, (hi - lo) / 20 AS width FROM r),
+b AS (SELECT least(CAST(floor((c.n - w.lo) / w.width) AS INTEGER) + 1, 20) AS bin FROM c, w),
+f AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT CAST(s.bin AS INTEGER) AS bin, w.lo + (s.bin - 1) * w.width AS lower, w.lo + s.bin * w.width AS upper,
+       CAST(coalesce(f.n, 0) AS BIGINT) AS n_speakers
+FROM (SELECT unnest(range(1, 21)) AS bin) s CROSS JOIN w LEFT JOIN f ON f.bin = s.bin
+""")
+def q_hist(spark, sf_dir):
+    return SP.count_histogram(SP.speaker_counts(_events_spk(spark, sf_dir)), 20)
+
+
+@register("speaker_band_documents", """
+SELECT doc_id, lang AS speaker_id FROM documents d
+WHERE EXISTS (SELECT 1 FROM (SELECT lang FROM documents GROUP BY lang HAVING count(*) BETWEEN 100 AND 400) g
+              WHERE g.lang IS NOT DISTINCT FROM d.lang)""")
+def q_band_docs(spark, sf_dir):
+    return SP.speaker_band(px.documents_corpus(spark, sf_dir), 100, 400).select("doc_id", "speaker_id")
+
+
+@register("speaker_band_events", """
+SELECT event_id, user_id AS speaker_id FROM events e
+WHERE EXISTS (SELECT 1 FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) BETWEEN 60 AND 70) g
+              WHERE g.user_id IS NOT DISTINCT FROM e.user_id)""")
+def q_band_events(spark, sf_dir):
+    return SP.speaker_band(_events_spk(spark, sf_dir), 60, 70).select("event_id", "speaker_id")
+
+
+@register("band_summary", """
+WITH k AS (SELECT * FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT user_id FROM events GROUP BY user_id
+           HAVING count(*) BETWEEN 60 AND 70) g WHERE g.user_id IS NOT DISTINCT FROM e.user_id))
+SELECT count(*) AS n_rows, CAST(count(DISTINCT user_id) + max(CAST(user_id IS NULL AS INTEGER)) AS BIGINT) AS n_speakers FROM k""")
+def q_band_summary(spark, sf_dir):
+    return SP.band_summary(SP.speaker_band(_events_spk(spark, sf_dir), 60, 70))
+
+
+@register("min_rows_per_speaker", """
+SELECT conv_id, turn FROM conversations c
+WHERE EXISTS (SELECT 1 FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 5) g
+              WHERE g.conv_id IS NOT DISTINCT FROM c.conv_id)""")
+def q_min_rows(spark, sf_dir):
+    c = _conv_text(spark, sf_dir).withColumnRenamed("conv_id", "speaker_id")
+    return SP.min_rows_per_speaker(c, 5).select(F.col("speaker_id").alias("conv_id"), "turn")
+
+
+@register("total_duration", "SELECT role AS speaker_id, round(sum(length(text) / 15.0::DOUBLE), 6) AS total_duration"
+                            " FROM conversations GROUP BY role")
+def q_total(spark, sf_dir):
+    t = SP.total_duration(px.conversations_corpus(spark, sf_dir))
+    return t.select("speaker_id", F.round("total_duration", 6).alias("total_duration"))
+
+
+@register("voice_table", f"""
+WITH f AS ({_filtered_c_sql()}),
+g AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM (SELECT speaker_id FROM f GROUP BY speaker_id HAVING count(*) >= 5) k
+      WHERE k.speaker_id IS NOT DISTINCT FROM f.speaker_id)),
+tot AS (SELECT speaker_id, sum(duration) AS total_duration FROM g GROUP BY speaker_id),
+r AS (SELECT g.*, row_number() OVER (PARTITION BY speaker_id ORDER BY length(text) * duration DESC, source_no, pos) AS clip_rank FROM g)
+SELECT r.speaker_id, CAST(r.clip_rank AS BIGINT) AS clip_rank, r.text, r.duration, r.clip_rank <= 5 AS is_conditioning,
+       round(tot.total_duration, 6) AS total_duration
+FROM r JOIN tot ON r.speaker_id IS NOT DISTINCT FROM tot.speaker_id""")
+def q_voice_table(spark, sf_dir):
+    v = C.voice_table(C.prepare_text(px.conversations_corpus(spark, sf_dir)))
+    return v.select("speaker_id", "clip_rank", "text", "duration", "is_conditioning",
+                    F.round("total_duration", 6).alias("total_duration"))
+
+
+@register("top_clips_documents", f"""
+SELECT speaker_id, doc_id, CAST(clip_rank AS BIGINT) AS clip_rank FROM (
+  SELECT speaker_id, doc_id, row_number() OVER (PARTITION BY speaker_id ORDER BY length(text) * (n_chars / 15.0::DOUBLE) DESC, source_no, pos) AS clip_rank
+  FROM ({DOCS_SQL})) WHERE clip_rank <= 5""")
+def q_top_docs(spark, sf_dir):
+    d = px.documents_corpus(spark, sf_dir).withColumn("duration", F.col("n_chars") / F.lit(15.0))
+    return SP.top_clips(d, 5).select("speaker_id", "doc_id", "clip_rank")
+
+
+@register("first_speakers", f"""
+SELECT source AS speaker_id, min(pos) AS first_pos FROM ({DOCS_SQL}) GROUP BY source ORDER BY first_pos LIMIT 3""")
+def q_first(spark, sf_dir):
+    d = px.documents_corpus(spark, sf_dir).select(F.col("source").alias("speaker_id"), "source_no", "pos")
+    return SP.first_speakers(d, 3).select("speaker_id", F.col("first_pos"))
+
+
+# -- split, encoding, batches (R1, R2, T13, F7, K1, K2) ------------------------
+
+from ..operators import batches as KB  # noqa: E402
+from ..operators import encode as EN  # noqa: E402
+from ..operators import split as SPL  # noqa: E402
+
+
+@register("split_hash", "SELECT doc_id, CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT)"
+                        " < 0.15 * 4294967296 AS is_test FROM documents")
+def q_split_hash(spark, sf_dir):
+    d, _ = SPL.assign_split(_docs(spark, sf_dir).select("doc_id"), 0.15, "doc_id", 42, exact=False)
+    return d
+
+
+@register("split_exact", "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id)"
+                         " <= ceil((SELECT count(*) FROM documents) * 0.15) AS is_test FROM documents")
+def q_split_exact(spark, sf_dir):
+    d, _ = SPL.assign_split(_docs(spark, sf_dir).select("doc_id"), 0.15, "doc_id", 42, exact=True)
+    return d
+
+
+@register("split_unseeded")
+def q_split_unseeded(spark, sf_dir):
+    """Seed drawn once and returned with every row (rows-only check)."""
+    d, seed = SPL.assign_split(_docs(spark, sf_dir).select("doc_id"), 0.10, "doc_id", None, exact=False)
+    return d.withColumn("seed", F.lit(seed))
+
+
+def _vocab_ids_sql(table: str) -> str:
+    return f"SELECT ch, CAST(row_number() OVER (ORDER BY ch) + 1 AS INTEGER) AS id FROM ({_vocab_sql(table)})"
+
+
+def _encoded_sql(table: str, key: str, vocab_table: str) -> str:
+    return f"""SELECT t.{key}, coalesce(e.input_ids, []::INTEGER[]) AS input_ids FROM {table} t LEFT JOIN (
+  SELECT {key}, list(coalesce(v.id, 1) ORDER BY i) AS input_ids FROM (
+    SELECT {key}, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM {table}) c
+  LEFT JOIN ({_vocab_ids_sql(vocab_table)}) v ON v.ch = c.ch WHERE c.ch <> '' GROUP BY {key}) e ON e.{key} = t.{key}"""
+
+
+def _encode(spark, sf_dir, frame, vocab_source):
+    ids = EN.vocab_ids(SP.char_vocab(vocab_source))
+    return EN.encode_chars(frame, "text", ids)
+
+
+@register("encode_chars", f"SELECT doc_id, input_ids FROM ({_encoded_sql('documents', 'doc_id', 'conversations')})")
+def q_encode(spark, sf_dir):
+    return _encode(spark, sf_dir, _docs(spark, sf_dir), _conv_text(spark, sf_dir)).select("doc_id", "input_ids")
+
+
+def _conv_keyed_sql() -> str:
+    return "(SELECT conv_id * 100000 + turn AS ck, * FROM conversations)"
+
+
+@register("token_len_filter", f"""
+SELECT ck, len(input_ids) < 300 AS below_300, len(input_ids) <= 250 AS at_most_250
+FROM ({_encoded_sql(_conv_keyed_sql(), 'ck', 'conversations')})""")
+def q_token_len(spark, sf_dir):
+    c = _conv_text(spark, sf_dir).withColumn("ck", F.col("conv_id") * 100000 + F.col("turn"))
+    e = _encode(spark, sf_dir, c, _conv_text(spark, sf_dir))
+    return e.select("ck", P.token_len_below("input_ids", 300).alias("below_300"),
+                    P.token_len_below("input_ids", 251).alias("at_most_250"))
+
+
+def _frames(ids: str = "input_ids"):
+    """Label frames derived from the ids: pairs (ids[2i], ids[2i+1])."""
+    n = F.floor(F.size(ids) / 2).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(
+        F.element_at(ids, 2 * i + 1).cast("float"), F.element_at(ids, 2 * i + 2).cast("float")))) \
+        .otherwise(F.array().cast("array<array<float>>"))
+
+
+def _frames_sql(ids: str = "input_ids") -> str:
+    return (f"CASE WHEN len({ids}) // 2 > 0 THEN list_transform(range(0, len({ids}) // 2), lambda i: "
+            f"[CAST({ids}[2 * i + 1] AS FLOAT), CAST({ids}[2 * i + 2] AS FLOAT)]) ELSE []::FLOAT[][] END")
+
+
+def _batches_sql(reduction: int) -> str:
+    lab = "concat(labels, list_transform(range(0, mx_lab - len(labels)), lambda j: list_transform(range(0, width), lambda q: CAST(-100.0 AS FLOAT))))"
+    if reduction > 1:
+        lab = f"list_slice({lab}, 1, mx_lab_r)"
+    return f"""
+WITH e AS (SELECT ck, input_ids FROM ({_encoded_sql(_conv_keyed_sql(), 'ck', 'conversations')}) WHERE len(input_ids) < 300),
+n AS (SELECT ck, input_ids, {_frames_sql()} AS labels, row_number() OVER (ORDER BY ck) AS rn FROM e),
+b AS (SELECT *, CAST((rn - 1) // 8 AS BIGINT) AS batch_no, CAST((rn - 1) % 8 AS INTEGER) AS batch_pos FROM n),
+m AS (SELECT batch_no, max(len(input_ids)) AS mx_ids, max(len(labels)) AS mx_lab,
+             max(len(labels) - len(labels) % {reduction}) AS mx_lab_r, coalesce(max(len(labels[1])), 0) AS width FROM b GROUP BY batch_no)
+SELECT ck, b.batch_no, batch_pos,
+       concat(input_ids, list_transform(range(0, mx_ids - len(input_ids)), lambda j: 0)) AS input_ids,
+       {lab} AS labels
+FROM b JOIN m ON b.batch_no = m.batch_no"""
+
+
+def _batches(spark, sf_dir, reduction: int):
+    c = _conv_text(spark, sf_dir).withColumn("ck", F.col("conv_id") * 100000 + F.col("turn"))
+    e = _encode(spark, sf_dir, c, _conv_text(spark, sf_dir)).where(P.token_len_below("input_ids", 300))
+    e = e.select("ck", "input_ids").withColumn("labels", _frames())
+    b = KB.pad_batches(e, 8, ["ck"], reduction=reduction)
+    return b.select("ck", "batch_no", "batch_pos", "input_ids", "labels")
+
+
+@register("pad_batches", _batches_sql(1))
+def q_batches(spark, sf_dir):
+    return _batches(spark, sf_dir, 1)
+
+
+@register("pad_batches_reduction", _batches_sql(2))
+def q_batches_r(spark, sf_dir):
+    return _batches(spark, sf_dir, 2)
