@@ -634,3 +634,162 @@ def q_batches(spark, sf_dir):
 @register("pad_batches_reduction", _batches_sql(2))
 def q_batches_r(spark, sf_dir):
     return _batches(spark, sf_dir, 2)
+
+
+# -- stages, export, pipelines (S4, S5, entries 1-3) ---------------------------
+
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import export as EX  # noqa: E402
+from ..sources import stages as ST  # noqa: E402
+from . import base as A  # noqa: E402
+from . import enhanced as B  # noqa: E402
+
+
+def _scratch(spark, what: str) -> str:
+    """A fresh folder under the session's (shared) checkpoint folder."""
+    root = ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+@register("stage_roundtrip", f"SELECT doc_id, {S.normalize_text_b('text')} AS text FROM documents")
+def q_stage(spark, sf_dir):
+    root = _scratch(spark, "stages")
+    build = lambda: _docs(spark, sf_dir).select("doc_id", T.normalize_text_b("text").alias("text"))
+    first = ST.stage(spark, "normalized", build, root, {"normalizer": "b", "sf": sf_dir})
+    again = ST.stage(spark, "normalized", build, root, {"normalizer": "b", "sf": sf_dir})
+    assert not first.reused and again.reused and again.path == first.path
+    return again.df
+
+
+@register("voices_export", f"""
+WITH f AS ({_filtered_c_sql()}),
+g AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM (SELECT speaker_id FROM f GROUP BY speaker_id HAVING count(*) >= 5) k
+      WHERE k.speaker_id IS NOT DISTINCT FROM f.speaker_id)),
+r AS (SELECT g.*, row_number() OVER (PARTITION BY speaker_id ORDER BY length(text) * duration DESC, source_no, pos) AS clip_rank FROM g)
+SELECT speaker_id, CAST(clip_rank - 1 AS INTEGER) AS clip_no, text FROM r WHERE clip_rank <= 5""")
+def q_export(spark, sf_dir):
+    prepared = C.prepare_text(px.conversations_corpus(spark, sf_dir))
+    cond = C.conditioning_clips(prepared)
+    path = _scratch(spark, "voices")
+    EX.write_voices(cond, path)
+    back = EX.read_voices(spark, path, "clip_no int, text string, speaker_id string")
+    return back.select("speaker_id", "clip_no", "text")
+
+
+def _with_raw_duration(df):
+    return df.withColumn("duration", px.raw_duration("text"))
+
+
+def _b_sources(sf_dir: str):
+    """The enhanced pipeline's two sources over the driver tables: the first
+    kept whole (as the reference does), the second renamed and pruned."""
+    return [
+        SC.SourceSpec(px.table_path(sf_dir, "documents"), rename={"lang": "speaker_id"},
+                      prepare=_with_raw_duration),
+        SC.SourceSpec(px.table_path(sf_dir, "conversations"), rename={"role": "speaker_id"},
+                      keep=["text", "speaker_id", "duration"], prepare=_with_raw_duration),
+    ]
+
+
+def _uid(df):
+    return df.withColumn("uid", F.col("source_no").cast("long") * F.lit(10 ** 12) + F.col("pos"))
+
+
+def _b_sources_uid(sf_dir: str):
+    specs = _b_sources(sf_dir)
+    for s in specs:
+        s.prepare = (lambda p: (lambda df: _uid(p(df))))(s.prepare)
+        s.keep = None if s.keep is None else list(s.keep) + ["uid"]
+    return specs
+
+
+@register("pipeline_enhanced")
+def q_pipeline_b(spark, sf_dir):
+    """Entry 2 end to end (rows-only check; each step has its own SQL check)."""
+    res = B.run(spark, _b_sources_uid(sf_dir), SP.char_vocab(_conv_text(spark, sf_dir)), "uid", labels=_frames())
+    return res.batches.select("uid", "split", "batch_no", "batch_pos", "input_ids", "labels")
+
+
+@register("pipeline_enhanced_funnel", f"""
+WITH u AS (SELECT {S.normalize_text_b('text')} AS text, length(text) / 15.0::DOUBLE AS duration FROM documents
+           UNION ALL SELECT {S.normalize_text_b('text')}, length(text) / 15.0::DOUBLE FROM conversations)
+SELECT * FROM (VALUES
+ (0, 'input', (SELECT count(*) FROM u)),
+ (1, 'text_length', (SELECT count(*) FROM u WHERE length(text) BETWEEN 10 AND 300)),
+ (2, 'duration', (SELECT count(*) FROM u WHERE length(text) BETWEEN 10 AND 300 AND coalesce(duration BETWEEN 1.0 AND 10.0, false))),
+ (3, 'not_blank', (SELECT count(*) FROM u WHERE length(text) BETWEEN 10 AND 300 AND coalesce(duration BETWEEN 1.0 AND 10.0, false) AND trim(text) <> '')),
+ (4, 'special_chars', (SELECT count(*) FROM u WHERE {_reason_sql()} IS NULL))) AS t(stage_no, stage, n_rows)""")
+def q_pipeline_b_funnel(spark, sf_dir):
+    res = B.run(spark, _b_sources_uid(sf_dir), SP.char_vocab(_conv_text(spark, sf_dir)), "uid",
+                with_batches=False)
+    return res.funnel
+
+
+@register("pipeline_base")
+def q_pipeline_a(spark, sf_dir):
+    """Entry 1 end to end on documents (speaker = lang), reference
+    vocabulary from conversations; fixed seed so reruns agree."""
+    corpus = px.documents_corpus(spark, sf_dir)
+    res = A.run(corpus, SP.char_vocab(_conv_text(spark, sf_dir)), "doc_id", labels=_frames(), seed=7)
+    return res.batches.select("doc_id", "speaker_id", "split", "batch_no", "batch_pos", "input_ids", "labels")
+
+
+@register("pipeline_base_report", f"""
+SELECT CAST((SELECT count(*) FROM ({_vocab_sql('documents')})) AS BIGINT) AS dataset_vocab_size,
+       CAST((SELECT count(*) FROM ({_vocab_sql('conversations')})) AS BIGINT) AS reference_vocab_size,
+       (SELECT count(*) FROM (SELECT lang FROM documents GROUP BY lang)) AS n_speakers,
+       (SELECT count(*) FROM documents d WHERE EXISTS (SELECT 1 FROM (SELECT lang FROM documents GROUP BY lang
+          HAVING count(*) BETWEEN 100 AND 400) g WHERE g.lang IS NOT DISTINCT FROM d.lang)) AS kept_rows""")
+def q_pipeline_a_report(spark, sf_dir):
+    corpus = px.documents_corpus(spark, sf_dir)
+    res = A.run(corpus, SP.char_vocab(_conv_text(spark, sf_dir)), "doc_id", seed=7, with_batches=False)
+    a = res.vocab_sizes
+    b = res.speaker_summary.select("n_speakers")
+    c = res.kept_summary.select(F.col("n_rows").alias("kept_rows"))
+    # three one-row aggregates side by side, without a cross join
+    rows = a.select(F.lit(0).alias("_k"), "*").join(b.select(F.lit(0).alias("_k"), "*"), "_k") \
+            .join(c.select(F.lit(0).alias("_k"), "*"), "_k").drop("_k")
+    return rows
+
+
+@register("pipeline_voices", f"""
+WITH u AS (SELECT text, role AS speaker_id, length(text) / 15.0::DOUBLE AS duration, 0 AS source_no,
+                  row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations
+           UNION ALL SELECT text, lang, length(text) / 15.0::DOUBLE, 1, doc_id FROM documents),
+p AS (SELECT {S.normalize_text_c('text')} AS text, speaker_id, duration, source_no, pos FROM u),
+f AS (SELECT * FROM p WHERE length(text) BETWEEN 10 AND 200 AND duration BETWEEN 2.0 AND 15.0),
+g AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM (SELECT speaker_id FROM f GROUP BY speaker_id HAVING count(*) >= 5) k
+      WHERE k.speaker_id IS NOT DISTINCT FROM f.speaker_id)),
+tot AS (SELECT speaker_id, sum(duration) AS total_duration FROM g GROUP BY speaker_id),
+r AS (SELECT g.*, row_number() OVER (PARTITION BY speaker_id ORDER BY length(text) * duration DESC, source_no, pos) AS clip_rank FROM g)
+SELECT r.speaker_id, CAST(clip_rank AS BIGINT) AS clip_rank, text, duration, round(total_duration, 6) AS total_duration
+FROM r JOIN tot ON r.speaker_id IS NOT DISTINCT FROM tot.speaker_id WHERE clip_rank <= 5""")
+def q_pipeline_c(spark, sf_dir):
+    specs = [SC.SourceSpec(px.table_path(sf_dir, "conversations"), rename={"role": "speaker_id"},
+                           keep=["text", "speaker_id", "duration"], prepare=_with_raw_duration),
+             SC.SourceSpec(px.table_path(sf_dir, "documents"), rename={"lang": "speaker_id"},
+                           keep=["text", "speaker_id", "duration"], prepare=_with_raw_duration)]
+    res = C.run(spark, specs, export_path=_scratch(spark, "voices"))
+    return res.conditioning.select("speaker_id", "clip_rank", "text", "duration",
+                                   F.round("total_duration", 6).alias("total_duration"))
+
+
+@register("signal_prepare", f"""
+SELECT speaker_id, clip_no, prep_c,
+  CASE WHEN prep_c IS NULL THEN 'no_result' WHEN NOT (len(prep_c) / {EVENT_RATE}::DOUBLE BETWEEN 2.0 AND 15.0) THEN 'duration' END AS reason_c,
+  CASE WHEN NOT (len(prep_b) >= {N.MIN_SAMPLES_B * EVENT_RATE // N.RATE_B}) THEN 'too_short' END AS reason_b
+FROM (SELECT speaker_id, clip_no, {_chain_c_sql('x', EVENT_RATE)} AS prep_c, {_chain_b_sql('x', EVENT_RATE)} AS prep_b
+      FROM ({_clips_sql()}))""")
+def q_signal_prepare(spark, sf_dir):
+    """Clean both ways (high-pass off), then the reject reasons: C
+    drops a null result or a duration outside 2..15 s; B needs 0.5 s."""
+    c = _clips(spark, sf_dir)
+    prep_c = N.clean_signal_c("x", EVENT_RATE, filtered=False)
+    marked = Q.prepare_or_reject(c, prep_c, [
+        (~P.duration_between(N.duration("prep_c", EVENT_RATE), 2.0, 15.0), "duration")], out_col="prep_c")
+    prep_b = N.clean_signal_b("x", EVENT_RATE, filtered=False)
+    min_b = N.MIN_SAMPLES_B * EVENT_RATE // N.RATE_B
+    return marked.select("speaker_id", "clip_no", "prep_c", F.col("reject_reason").alias("reason_c"),
+                         F.when(~P.min_samples(prep_b, min_b), F.lit("too_short")).alias("reason_b"))

@@ -65,3 +65,36 @@ def gates(prepared: DataFrame, voices: DataFrame, min_samples: int = 100,
                 (F.col("nd") + F.coalesce(F.col("nn"), F.lit(0))).alias("value"),
                 F.lit(min_speakers).cast("long").alias("threshold"))
     return a.unionByName(b).withColumn("ok", F.col("value") >= F.col("threshold"))
+
+
+# --- end to end ---------------------------------------------------------------
+
+from dataclasses import dataclass  # noqa: E402
+
+from ..sources.corpus import SourceSpec, default_speaker, load_sources  # noqa: E402
+from ..sources.export import write_voices  # noqa: E402
+
+
+@dataclass
+class VoicesResult:
+    skipped: list
+    prepared: DataFrame
+    voices: DataFrame
+    conditioning: DataFrame
+    gates: DataFrame
+    first_speakers: DataFrame
+
+
+def run(spark, specs: list[SourceSpec], export_path: str | None = None, k: int = TOP_K,
+        min_clips: int = MIN_CLIPS) -> VoicesResult:
+    """Sources -> prepared clips -> ranked voice table -> export. Raises when
+    no source loads (the voices pipeline has no fallback)."""
+    corpus, skipped = load_sources(spark, specs)
+    prepared = default_speaker(prepare_text(corpus))
+    good = spk.min_rows_per_speaker(prepared, min_clips)
+    voices = spk.voice_table(good, k)
+    conditioning = voices.where(F.col("is_conditioning"))
+    if export_path is not None:
+        write_voices(conditioning, export_path, fields=("text", "duration"))
+    return VoicesResult(skipped, prepared, voices, conditioning, gates(prepared, voices),
+                        spk.first_speakers(good, 3))
