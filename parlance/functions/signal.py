@@ -39,7 +39,7 @@ def downmix(xs: Column | str) -> Column:
     """Mean over channels of ``array<array<double>>`` (channels of equal
     length; the first channel's length is used)."""
     xs = _c(xs)
-    n = F.size(F.element_at(xs, 1))
+    n = F.coalesce(F.size(F.get(xs, 0)), F.lit(0))
     mixed = F.transform(
         F.sequence(F.lit(1), n),
         lambda i: F.aggregate(xs, F.lit(0.0).cast("double"), lambda acc, ch: acc + F.element_at(ch, i))

@@ -36,7 +36,7 @@ def pad_batches(df: DataFrame, size: int, order: Sequence[Column | str], ids_col
         n_lab = F.size(labels_col)
         aggs += [F.max(n_lab).alias("_max_lab"),
                  F.max(n_lab - n_lab % F.lit(reduction)).alias("_max_lab_r"),
-                 F.max(F.size(F.element_at(labels_col, 1))).alias("_width")]
+                 F.max(F.size(F.get(F.col(labels_col), 0))).alias("_width")]
     per_batch = numbered.groupBy(F.col("batch_no").alias("_b")).agg(*aggs)
     out = numbered.join(per_batch, numbered["batch_no"] == per_batch["_b"], "inner")
     out = out.withColumn(ids_col, F.concat(
