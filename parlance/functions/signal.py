@@ -193,22 +193,25 @@ def highpass(x: Column | str, fc: float, fs: float, order: int = FILTER_ORDER) -
     return _hp(_c(x))
 
 
-def clean_signal_b(x: Column | str, rate: int = RATE_B, filtered: bool = True) -> Column:
+def with_clean_signal_b(df, x: str, out: str, rate: int = RATE_B, filtered: bool = True):
     """N8 (enhanced): peak-normalise -> trim silence (inclusive) ->
-    high-pass 80 Hz -> cut to 10 s."""
-    y = trim_silence_b(peak_normalize(x), SILENCE_B)
+    high-pass 80 Hz -> cut to 10 s. One column step at a time, so no step
+    re-evaluates the ones before it."""
+    df = df.withColumn(out, peak_normalize(x))
+    df = df.withColumn(out, trim_silence_b(out, SILENCE_B))
     if filtered:
-        y = highpass(y, HIGHPASS_B, rate)
-    return clamp_len(y, MAX_SECONDS_B * rate)
+        df = df.withColumn(out, highpass(out, HIGHPASS_B, rate))
+    return df.withColumn(out, clamp_len(out, MAX_SECONDS_B * rate))
 
 
-def clean_signal_c(x: Column | str, rate: int = RATE_C, filtered: bool = True,
-                   channels: bool = False) -> Column:
+def with_clean_signal_c(df, x: str, out: str, rate: int = RATE_C, filtered: bool = True,
+                        channels: bool = False):
     """N8 (voices): [downmix] -> peak-normalise x 0.9 -> trim silence with
     padding -> high-pass 100 Hz -> null if under 2 s -> cut to 15 s."""
-    y = downmix(x) if channels else _c(x)
-    y = trim_silence_c(peak_normalize(y, GAIN_C), SILENCE_C, PAD_C)
+    df = df.withColumn(out, downmix(x) if channels else F.col(x))
+    df = df.withColumn(out, peak_normalize(out, GAIN_C))
+    df = df.withColumn(out, trim_silence_c(out, SILENCE_C, PAD_C))
     if filtered:
-        y = highpass(y, HIGHPASS_C, rate)
-    y = min_len_or_null(y, MIN_SECONDS_C * rate)
-    return clamp_len(y, MAX_SECONDS_C * rate)
+        df = df.withColumn(out, highpass(out, HIGHPASS_C, rate))
+    df = df.withColumn(out, min_len_or_null(out, MIN_SECONDS_C * rate))
+    return df.withColumn(out, clamp_len(out, MAX_SECONDS_C * rate))

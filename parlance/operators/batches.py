@@ -27,8 +27,11 @@ LABEL_PAD = -100.0
 
 def pad_batches(df: DataFrame, size: int, order: Sequence[Column | str], ids_col: str = "input_ids",
                 labels_col: str | None = "labels", pad_id: int = 0, label_pad: float = LABEL_PAD,
-                reduction: int = 1) -> DataFrame:
-    numbered = sequence(df, order, name="_row_no")
+                reduction: int = 1, groups: Sequence[str] = ()) -> DataFrame:
+    """Batches are numbered inside each ``groups`` value (e.g. the split
+    side), so all sides are batched in one pass."""
+    groups = list(groups)
+    numbered = sequence(df, order, keys=groups, name="_row_no")
     numbered = numbered.withColumn("batch_no", F.floor((F.col("_row_no") - 1) / F.lit(size)).cast("long")) \
                        .withColumn("batch_pos", ((F.col("_row_no") - 1) % F.lit(size)).cast("int"))
     aggs = [F.max(F.size(ids_col)).alias("_max_ids")]
@@ -37,8 +40,12 @@ def pad_batches(df: DataFrame, size: int, order: Sequence[Column | str], ids_col
         aggs += [F.max(n_lab).alias("_max_lab"),
                  F.max(n_lab - n_lab % F.lit(reduction)).alias("_max_lab_r"),
                  F.max(F.size(F.get(F.col(labels_col), 0))).alias("_width")]
-    per_batch = numbered.groupBy(F.col("batch_no").alias("_b")).agg(*aggs)
-    out = numbered.join(per_batch, numbered["batch_no"] == per_batch["_b"], "inner")
+    gcols = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    per_batch = numbered.groupBy(*gcols, F.col("batch_no").alias("_b")).agg(*aggs)
+    cond = numbered["batch_no"] == per_batch["_b"]
+    for i, g in enumerate(groups):
+        cond = cond & numbered[g].eqNullSafe(per_batch[f"_g{i}"])
+    out = numbered.join(per_batch, cond, "inner").drop(*[f"_g{i}" for i in range(len(groups))])
     out = out.withColumn(ids_col, F.concat(
         F.col(ids_col), F.array_repeat(F.lit(pad_id), F.col("_max_ids") - F.size(ids_col))))
     drop = ["_b", "_max_ids", "_row_no"]

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 # Reserved ids (our choice; the reference's tokenizer ids are not visible).
 PAD_ID, UNK_ID, FIRST_ID = 0, 1, 2
 MAX_INLINE = 20_000
+#: vocabularies whose largest code point is below this are looked up in a
+#: dense array indexed by code point (O(1) per character)
+DENSE_MAX_CODEPOINT = 200_000
 
 
 def vocab_ids(vocab: DataFrame, ch_col: str = "ch") -> DataFrame:
@@ -37,9 +40,18 @@ def encode_chars(df: DataFrame, text_col: str, ids: DataFrame, out_col: str = "i
     """``out_col`` = id of every character of ``text_col``. Small
     vocabularies are inlined as a literal map; big ones are joined
     (``row_key`` must then identify rows)."""
-    n = ids.count()
-    if n < MAX_INLINE:
-        rows = ids.select("ch", "id").collect()
+    rows = ids.select("ch", "id").limit(MAX_INLINE + 1).collect()  # bounded fetch
+    if len(rows) <= MAX_INLINE:
+        single = {ord(r["ch"]): int(r["id"]) for r in rows if r["ch"] is not None and len(r["ch"]) == 1}
+        if rows and len(single) == len(rows) and max(single) < DENSE_MAX_CODEPOINT:
+            dense = [UNK_ID] * (max(single) + 1)
+            for cp, i in single.items():
+                dense[cp] = i
+            # one string literal, split once by constant folding
+            table = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<int>")
+            enc = F.transform(chars(text_col), lambda ch: F.coalesce(
+                F.try_element_at(table, F.ascii(ch) + 1), F.lit(UNK_ID)))
+            return df.withColumn(out_col, enc)
         lookup = F.create_map(*[x for r in rows for x in (F.lit(r["ch"]), F.lit(int(r["id"])))]) \
             if rows else F.create_map().cast("map<string,int>")
         enc = F.transform(chars(text_col), lambda ch: F.coalesce(F.element_at(lookup, ch), F.lit(UNK_ID)))

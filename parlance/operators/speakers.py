@@ -127,10 +127,6 @@ def clip_score(text_col: str = "text", duration_col: str = "duration") -> Column
     return F.length(F.col(text_col)) * F.col(duration_col)
 
 
-def _rank_order(score: Column, order_cols):
-    return [score.desc()] + [F.col(c).asc() for c in order_cols]
-
-
 def rank_clips(df: DataFrame, speaker_col: str = SPK, score: Column | None = None,
                order_cols=("source_no", "pos"), name: str = "clip_rank") -> DataFrame:
     """1-based rank of every clip inside its speaker by score
@@ -165,7 +161,8 @@ def voice_table(df: DataFrame, k: int = 5, speaker_col: str = SPK, score: Column
     ``is_conditioning`` for the best ``k`` (they also stay training clips)
     and the speaker's total duration. Nothing is collected per speaker."""
     ranked = rank_clips(df, speaker_col, score, order_cols)
-    totals = total_duration(df, speaker_col).withColumnRenamed(speaker_col, "_tot_spk")
+    # totals from the ranked rows (read from the ranking's checkpoint)
+    totals = total_duration(ranked, speaker_col).withColumnRenamed(speaker_col, "_tot_spk")
     out = ranked.join(totals, ranked[speaker_col].eqNullSafe(totals["_tot_spk"]), "inner").drop("_tot_spk")
     return out.withColumn("is_conditioning", F.col("clip_rank") <= k)
 

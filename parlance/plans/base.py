@@ -24,6 +24,7 @@ from ..operators import batches as KB
 from ..operators import encode as EN
 from ..operators import speakers as SP
 from ..operators import split as SPL
+from ..session import stable
 
 SPEAKER_MIN, SPEAKER_MAX = 100, 400
 MAX_TOKENS = 300
@@ -57,7 +58,9 @@ def run(corpus: DataFrame, reference_vocab: DataFrame, key: str, labels: Column
     counts = SP.speaker_counts(folded)
     summary = SP.speaker_summary(counts)
     hist = SP.count_histogram(counts, 20)
-    kept = SP.speaker_band(folded, speaker_min, speaker_max)
+    # stage boundary (the reference caches the band-filtered set): later
+    # steps read the checkpoint instead of re-running fold + band
+    kept = stable(SP.speaker_band(folded, speaker_min, speaker_max))
     kept_summary = SP.band_summary(kept)
 
     ids = EN.vocab_ids(reference_vocab)
@@ -68,11 +71,7 @@ def run(corpus: DataFrame, reference_vocab: DataFrame, key: str, labels: Column
     if not with_batches:
         return BaseResult(sizes, missing, counts, summary, hist, kept_summary, None, seed)
     cols = [key, "speaker_id", "input_ids"] + (["labels"] if labels is not None else [])
-    sides = []
-    for is_test in (False, True):
-        side = marked.where(F.col("is_test") == F.lit(is_test)).select(*cols)
-        b = KB.pad_batches(side, batch_size, [key], labels_col="labels" if labels is not None else None,
-                           reduction=REDUCTION)
-        sides.append(b.withColumn("split", F.lit("test" if is_test else "train")))
-    return BaseResult(sizes, missing, counts, summary, hist, kept_summary,
-                      sides[0].unionByName(sides[1]), seed)
+    sided = marked.select(*cols, F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    batches = KB.pad_batches(sided, batch_size, [key], labels_col="labels" if labels is not None else None,
+                             reduction=REDUCTION, groups=["split"])
+    return BaseResult(sizes, missing, counts, summary, hist, kept_summary, batches, seed)

@@ -25,6 +25,7 @@ from ..operators import batches as KB
 from ..operators import encode as EN
 from ..operators import quality as Q
 from ..operators import split as SPL
+from ..session import stable
 from ..sources.corpus import SourceSpec, load_sources
 
 MAX_TOKENS_PREPARE = 250
@@ -51,7 +52,9 @@ def run(spark: SparkSession, specs: Sequence[SourceSpec], reference_vocab: DataF
               ("not_blank", not_blank("text")),
               ("special_chars", special_at_most("text", Q.SPECIAL_MAX_B))]
     funnel = Q.funnel(corpus, stages)
-    marked = Q.with_reject_reason(corpus)
+    # stage boundary (the reference caches the filtered set): normalisation
+    # runs once, every later branch reads the checkpoint
+    marked = stable(Q.with_reject_reason(corpus))
     kept, rejects = Q.split_rejects(marked)
 
     if not with_batches:
@@ -64,11 +67,7 @@ def run(spark: SparkSession, specs: Sequence[SourceSpec], reference_vocab: DataF
         enc = enc.withColumn("labels", labels)
     split_marked, _ = SPL.assign_split(enc, TEST_FRACTION, key, SEED, exact=exact_split)
     cols = [key, "speaker_id", "source_no", "pos", "input_ids"] + (["labels"] if labels is not None else [])
-    sides = []
-    for is_test in (False, True):
-        side = split_marked.where(F.col("is_test") == F.lit(is_test)).select(*cols)
-        b = KB.pad_batches(side, batch_size, ["source_no", "pos"],
-                           labels_col="labels" if labels is not None else None)
-        sides.append(b.withColumn("split", F.lit("test" if is_test else "train")))
-    return EnhancedResult(skipped, funnel, rejects.select(key, "reject_reason"),
-                          sides[0].unionByName(sides[1]))
+    sided = split_marked.select(*cols, F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    batches = KB.pad_batches(sided, batch_size, ["source_no", "pos"],
+                             labels_col="labels" if labels is not None else None, groups=["split"])
+    return EnhancedResult(skipped, funnel, rejects.select(key, "reject_reason"), batches)

@@ -179,9 +179,9 @@ def _chain_c_sql(x: str, rate: int) -> str:
 def q_chains(spark, sf_dir):
     """N8 with the high-pass step off (it has no SQL equivalent)."""
     c = _clips(spark, sf_dir)
-    return c.select("speaker_id", "clip_no",
-                    N.clean_signal_b("x", EVENT_RATE, filtered=False).alias("clean_b"),
-                    N.clean_signal_c("x", EVENT_RATE, filtered=False).alias("clean_c"))
+    c = N.with_clean_signal_b(c, "x", "clean_b", EVENT_RATE, filtered=False)
+    c = N.with_clean_signal_c(c, "x", "clean_c", EVENT_RATE, filtered=False)
+    return c.select("speaker_id", "clip_no", "clean_b", "clean_c")
 
 
 @register("signal_highpass")
@@ -199,7 +199,7 @@ from ..functions import predicates as P  # noqa: E402
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(px.table_path(sf_dir, "documents"))
+    return px.table(spark, sf_dir, "documents")
 
 
 def _text_query(name: str, spark_expr, sql_expr: str):
@@ -400,7 +400,7 @@ def _vocab_sql(table: str) -> str:
 
 
 def _conv_text(spark, sf_dir):
-    return spark.read.parquet(px.table_path(sf_dir, "conversations"))
+    return px.table(spark, sf_dir, "conversations")
 
 
 @register("char_vocab", _vocab_sql("documents"))
@@ -420,7 +420,7 @@ def q_missing(spark, sf_dir):
 
 
 def _events_spk(spark, sf_dir):
-    e = spark.read.parquet(px.table_path(sf_dir, "events"))
+    e = px.table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("speaker_id"), "event_id", "ts")
 
 
@@ -785,11 +785,11 @@ FROM (SELECT speaker_id, clip_no, {_chain_c_sql('x', EVENT_RATE)} AS prep_c, {_c
 def q_signal_prepare(spark, sf_dir):
     """Clean both ways (high-pass off), then the reject reasons: C
     drops a null result or a duration outside 2..15 s; B needs 0.5 s."""
-    c = _clips(spark, sf_dir)
-    prep_c = N.clean_signal_c("x", EVENT_RATE, filtered=False)
-    marked = Q.prepare_or_reject(c, prep_c, [
+    c = N.with_clean_signal_c(_clips(spark, sf_dir), "x", "_prep_c", EVENT_RATE, filtered=False)
+    c = N.with_clean_signal_b(c, "x", "_prep_b", EVENT_RATE, filtered=False)
+    marked = Q.prepare_or_reject(c, F.col("_prep_c"), [
         (~P.duration_between(N.duration("prep_c", EVENT_RATE), 2.0, 15.0), "duration")], out_col="prep_c")
-    prep_b = N.clean_signal_b("x", EVENT_RATE, filtered=False)
+    prep_b = F.col("_prep_b")
     min_b = N.MIN_SAMPLES_B * EVENT_RATE // N.RATE_B
     return marked.select("speaker_id", "clip_no", "prep_c", F.col("reject_reason").alias("reason_c"),
                          F.when(~P.min_samples(prep_b, min_b), F.lit("too_short")).alias("reason_b"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import duration_between, text_len_between
 from ..functions.text import normalize_text_c
 from ..operators import speakers as spk
+from ..session import stable
 
 TEXT_MIN, TEXT_MAX = 10, 200
 DURATION_MIN, DURATION_MAX = 2.0, 15.0
@@ -90,7 +91,8 @@ def run(spark, specs: list[SourceSpec], export_path: str | None = None, k: int =
     """Sources -> prepared clips -> ranked voice table -> export. Raises when
     no source loads (the voices pipeline has no fallback)."""
     corpus, skipped = load_sources(spark, specs)
-    prepared = default_speaker(prepare_text(corpus))
+    # stage boundary (the reference caches the processed samples)
+    prepared = stable(default_speaker(prepare_text(corpus)))
     good = spk.min_rows_per_speaker(prepared, min_clips)
     voices = spk.voice_table(good, k)
     conditioning = voices.where(F.col("is_conditioning"))

@@ -27,19 +27,34 @@ log = logging.getLogger(__name__)
 BROADCAST_FILES = 500_000
 
 
-def read_corpus(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None,
-                source_no: int = 0, position: bool = True) -> DataFrame:
-    """Scan a parquet split with an optional declared schema; add
-    ``source_no`` and ``pos`` (0-based row position in file order)."""
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster's cores before CPU-heavy row-local
+    work when it has fewer input splits than cores (a single-row-group file
+    is one task). A many-file corpus is left alone: no shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
+def read_table(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None,
+               spread_out: bool = True) -> DataFrame:
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     paths = [path] if isinstance(path, str) else list(path)
-    raw = reader.parquet(*paths)
-    df = raw.withColumn("source_no", F.lit(source_no))
+    df = reader.parquet(*paths)
+    return spread(df) if spread_out else df
+
+
+def read_corpus(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None,
+                source_no: int = 0, position: bool = True) -> DataFrame:
+    """Scan a parquet split with an optional declared schema; add
+    ``source_no`` and ``pos`` (0-based row position in file order)."""
+    raw = read_table(spark, path, schema, spread_out=False)
     if not position:
-        return df
-    return with_source_position(raw).withColumn("source_no", F.lit(source_no))
+        return spread(raw).withColumn("source_no", F.lit(source_no))
+    return spread(with_source_position(raw)).withColumn("source_no", F.lit(source_no))
 
 
 def with_source_position(raw: DataFrame, name: str = "pos") -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import read_corpus
+from .corpus import read_corpus, read_table
 
 #: characters per second used to give text rows a duration
 CHARS_PER_SECOND = 15.0
@@ -48,4 +48,9 @@ def documents_corpus(spark: SparkSession, sf_dir: str, source_no: int = 0) -> Da
 
 
 def embeddings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, "embeddings"))
+    return read_table(spark, table_path(sf_dir, "embeddings"))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table, spread over the cores when it has few splits."""
+    return read_table(spark, table_path(sf_dir, name))

@@ -41,6 +41,7 @@ def event_signals(spark: SparkSession, sf_dir: str, max_samples: int = MAX_SAMPL
     return signals_from_events(spark.read.parquet(table_path(sf_dir, "events")), max_samples, rate)
 
 
+
 def signals_sql(max_samples: int = MAX_SAMPLES, rate: int = 16000) -> str:
     """DuckDB spelling of :func:`signals_from_events` (for the oracle)."""
     return (f"SELECT CAST(user_id AS VARCHAR) AS speaker_id, clip_no, list(value ORDER BY seq) AS x,"

@@ -109,6 +109,6 @@ def test_highpass_gain_at_cutoff_and_decade_below(fc, fs):
 def test_chain_c_too_short_is_null(spark):
     rate = 8
     df = spark.createDataFrame([(0, [0.0] + [1.0] * 10 + [0.0]), (1, [0.5] * 200)], "id int, x array<double>")
-    got = _collect(df.withColumn("y", N.clean_signal_c("x", rate, filtered=False)), "y")
+    got = _collect(N.with_clean_signal_c(df, "x", "y", rate, filtered=False), "y")
     assert got[0] is None                      # 10 samples < 2 s * 8
     assert len(got[1]) == 15 * rate            # cut to 15 s
