@@ -46,15 +46,16 @@ def run(spark: SparkSession, specs: Sequence[SourceSpec], reference_vocab: DataF
         fallback: SourceSpec | None = None, labels: Column | None = None, batch_size: int = 8,
         exact_split: bool = False, with_batches: bool = True) -> EnhancedResult:
     corpus, skipped = load_sources(spark, specs, fallback)
-    corpus = corpus.withColumn("text", normalize_text_b("text"))
+    # stage boundary (the reference caches the text-preprocessed set): the
+    # normaliser runs once, in parallel; funnel, reasons and everything
+    # after read the checkpoint
+    corpus = stable(corpus.withColumn("text", normalize_text_b("text")))
     stages = [("text_length", text_len_between("text", Q.TEXT_MIN_B, Q.TEXT_MAX_B)),
               ("duration", duration_between("duration", Q.DURATION_MIN_B, Q.DURATION_MAX_B)),
               ("not_blank", not_blank("text")),
               ("special_chars", special_at_most("text", Q.SPECIAL_MAX_B))]
     funnel = Q.funnel(corpus, stages)
-    # stage boundary (the reference caches the filtered set): normalisation
-    # runs once, every later branch reads the checkpoint
-    marked = stable(Q.with_reject_reason(corpus))
+    marked = Q.with_reject_reason(corpus)
     kept, rejects = Q.split_rejects(marked)
 
     if not with_batches:

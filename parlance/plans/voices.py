@@ -26,11 +26,19 @@ MIN_CLIPS = 5
 TOP_K = 5
 
 
-def prepare_text(df: DataFrame, text_col: str = "text", duration_col: str = "duration") -> DataFrame:
+def prepare_text(df: DataFrame, text_col: str = "text", duration_col: str = "duration",
+                 materialize: bool = True) -> DataFrame:
     """Text half of the voices preparation: normalise, then the text-length
     and duration tests (the duration here is whatever ``duration_col``
-    holds; with signals it is the processed signal's)."""
+    holds; with signals it is the processed signal's).
+
+    The normalised rows are checkpointed before the filter (the reference
+    caches this stage too): otherwise Catalyst pushes the length test, with
+    the whole normaliser inside, below the scan's spread and evaluates it
+    once per comparison, and every later branch would normalise again."""
     out = df.withColumn(text_col, normalize_text_c(text_col))
+    if materialize:
+        out = stable(out)
     return out.where(text_len_between(text_col, TEXT_MIN, TEXT_MAX)
                      & duration_between(duration_col, DURATION_MIN, DURATION_MAX))
 
@@ -91,8 +99,7 @@ def run(spark, specs: list[SourceSpec], export_path: str | None = None, k: int =
     """Sources -> prepared clips -> ranked voice table -> export. Raises when
     no source loads (the voices pipeline has no fallback)."""
     corpus, skipped = load_sources(spark, specs)
-    # stage boundary (the reference caches the processed samples)
-    prepared = stable(default_speaker(prepare_text(corpus)))
+    prepared = default_speaker(prepare_text(corpus))
     good = spk.min_rows_per_speaker(prepared, min_clips)
     voices = spk.voice_table(good, k)
     conditioning = voices.where(F.col("is_conditioning"))
