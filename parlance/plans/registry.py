@@ -705,7 +705,44 @@ def _b_sources_uid(sf_dir: str):
     return specs
 
 
-@register("pipeline_enhanced")
+def _pad_sql(src: str, order: str, reduction: int, key: str) -> str:
+    """Batches of 8 per split side over ``src`` (key, split, input_ids)."""
+    lab = ("concat(labels, list_transform(range(0, mx_lab - len(labels)), lambda j: "
+           "list_transform(range(0, width), lambda q: CAST(-100.0 AS FLOAT))))")
+    if reduction > 1:
+        lab = f"list_slice({lab}, 1, mx_lab_r)"
+    return f"""
+n AS (SELECT *, {_frames_sql()} AS labels, row_number() OVER (PARTITION BY split ORDER BY {order}) AS rn FROM {src}),
+b AS (SELECT *, CAST((rn - 1) // 8 AS BIGINT) AS batch_no, CAST((rn - 1) % 8 AS INTEGER) AS batch_pos FROM n),
+m AS (SELECT split AS m_split, batch_no AS m_batch, max(len(input_ids)) AS mx_ids, max(len(labels)) AS mx_lab,
+             max(len(labels) - len(labels) % {reduction}) AS mx_lab_r, coalesce(max(len(labels[1])), 0) AS width
+      FROM b GROUP BY split, batch_no)
+SELECT {key}, split, batch_no, batch_pos,
+       concat(input_ids, list_transform(range(0, mx_ids - len(input_ids)), lambda j: 0)) AS input_ids,
+       {lab} AS labels
+FROM b JOIN m ON b.split = m.m_split AND b.batch_no = m.m_batch"""
+
+
+def _split_side_sql(key: str, seed: int, fraction: float) -> str:
+    return (f"CASE WHEN CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
+            f" < {fraction!r} * 4294967296 THEN 'test' ELSE 'train' END")
+
+
+_PIPELINE_B_SQL = f"""
+WITH u AS (SELECT 0 AS source_no, row_number() OVER (ORDER BY doc_id) - 1 AS pos, lang AS speaker_id, text,
+                  length(text) / 15.0::DOUBLE AS duration FROM documents
+           UNION ALL SELECT 1, row_number() OVER (ORDER BY conv_id, turn) - 1, role, text,
+                  length(text) / 15.0::DOUBLE FROM conversations),
+nb AS (SELECT source_no * 1000000000000 + pos AS uid, source_no, pos, speaker_id,
+              {S.normalize_text_b('text')} AS text, duration FROM u),
+k AS (SELECT * FROM nb WHERE {_reason_sql()} IS NULL),
+enc AS ({_encoded_sql('k', 'uid', 'conversations')}),
+s AS (SELECT k.uid, k.source_no, k.pos, enc.input_ids, {_split_side_sql('k.uid', 42, 0.15)} AS split
+      FROM k JOIN enc ON k.uid = enc.uid WHERE len(enc.input_ids) <= 250 AND len(enc.input_ids) < 300),
+{_pad_sql('s', 'source_no, pos', 1, 'uid')}"""
+
+
+@register("pipeline_enhanced", _PIPELINE_B_SQL)
 def q_pipeline_b(spark, sf_dir):
     """Entry 2 end to end (rows-only check; each step has its own SQL check)."""
     res = B.run(spark, _b_sources_uid(sf_dir), SP.char_vocab(_conv_text(spark, sf_dir)), "uid", labels=_frames())
@@ -727,7 +764,17 @@ def q_pipeline_b_funnel(spark, sf_dir):
     return res.funnel
 
 
-@register("pipeline_base")
+_PIPELINE_A_SQL = f"""
+WITH f AS (SELECT doc_id, lang AS speaker_id, {S.fold_vowels('text')} AS text FROM documents),
+k AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM (SELECT speaker_id FROM f GROUP BY speaker_id
+      HAVING count(*) BETWEEN 100 AND 400) g WHERE g.speaker_id IS NOT DISTINCT FROM f.speaker_id)),
+enc AS ({_encoded_sql('k', 'doc_id', 'conversations')}),
+s AS (SELECT k.doc_id, k.speaker_id, enc.input_ids, {_split_side_sql('k.doc_id', 7, 0.1)} AS split
+      FROM k JOIN enc ON k.doc_id = enc.doc_id WHERE len(enc.input_ids) < 300),
+{_pad_sql('s', 'doc_id', 2, 'doc_id, speaker_id')}"""
+
+
+@register("pipeline_base", _PIPELINE_A_SQL)
 def q_pipeline_a(spark, sf_dir):
     """Entry 1 end to end on documents (speaker = lang), reference
     vocabulary from conversations; fixed seed so reruns agree."""
