@@ -41,7 +41,8 @@ def char_vocab(df: DataFrame, text_col: str = "text") -> DataFrame:
     member whenever there are at least two rows."""
     chars = (df.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "")).alias("ch"))
                .where(F.length("ch") > 0))
-    joiner = (df.agg(F.count(F.lit(1)).alias("n"))
+    # "at least two rows" needs two rows, not a count of the table
+    joiner = (df.limit(2).agg(F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") >= 2).select(F.lit(" ").alias("ch")))
     return chars.unionByName(joiner).distinct()
 
