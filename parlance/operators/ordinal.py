@@ -32,6 +32,18 @@ def _as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def target_partitions(df: DataFrame) -> int:
+    """Partitions for a full shuffle of ``df``: about 128 MB each from the
+    optimiser's size estimate, never fewer than the session's shuffle
+    partitions (planning only, no job)."""
+    floor = max(shuffle_partitions(df.sparkSession), 1)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable: use the session default
+        return floor
+    return int(min(MAX_PARTITIONS, max(floor, -(-size // TARGET_PARTITION_BYTES))))
+
+
 def sequence(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (),
              name: str = "seq", partitions: int | None = None) -> DataFrame:
     """Add ``name``: 1-based position of each row by ``order`` inside its
@@ -39,8 +51,7 @@ def sequence(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] =
 
     ``order`` must be a total order inside a group (end it with a unique
     column); null keys form one group, as in a Python dict."""
-    spark = df.sparkSession
-    n = partitions or max(shuffle_partitions(spark), 1)
+    n = partitions or target_partitions(df)
     keys = list(keys)
     key_sort = [F.col(k).asc_nulls_first() for k in keys]
     sort = key_sort + [_as_col(o) for o in order]

@@ -106,3 +106,14 @@ def test_vocab_and_missing(spark):
     assert {r[0] for r in va.collect()} == {"a", "b", "c", "é", " "}
     assert {r[0] for r in vb.collect()} == {"a", "b", "c"}  # one row: no joining space
     assert {r[0] for r in SP.missing_chars(va, vb).collect()} == {"é", " "}
+
+
+def test_hot_key_is_spread_over_partitions(spark):
+    """A key holding a third of the rows is numbered by many tasks."""
+    from parlance.operators import ordinal
+    df = _hot_frame(spark, 6000)
+    sort = [F.col("k").asc_nulls_first(), F.col("score").desc(), F.col("pos")]
+    ranged = df.repartitionByRange(8, *sort).withColumn("p", F.spark_partition_id())
+    parts = {r["p"] for r in ranged.where(F.col("k") == "hot").select("p").distinct().collect()}
+    assert len(parts) >= 2
+    assert ordinal.target_partitions(df) >= 4
