@@ -59,9 +59,10 @@ def encode_chars(df: DataFrame, text_col: str, ids: DataFrame, out_col: str = "i
     if row_key is None:
         raise ValueError("row_key is needed to encode with a large vocabulary")
     exploded = df.select(row_key, F.posexplode(chars(text_col)).alias("_i", "_ch"))
-    joined = exploded.join(ids.withColumnRenamed("ch", "_ch"), "_ch", "left")
+    vocab = ids.select(F.col("ch").alias("_ch"), F.col("id").alias("_vid"))
+    joined = exploded.join(vocab, "_ch", "left")
     per_row = joined.groupBy(row_key).agg(
-        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_s"))
+        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_vid", F.lit(UNK_ID)).alias("id")))).alias("_s"))
     per_row = per_row.select(row_key, F.transform("_s", lambda s: s["id"]).alias(out_col))
     return df.join(per_row, row_key, "left").withColumn(
         out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))

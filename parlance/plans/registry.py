@@ -840,3 +840,22 @@ def q_signal_prepare(spark, sf_dir):
     min_b = N.MIN_SAMPLES_B * EVENT_RATE // N.RATE_B
     return marked.select("speaker_id", "clip_no", "prep_c", F.col("reject_reason").alias("reason_c"),
                          F.when(~P.min_samples(prep_b, min_b), F.lit("too_short")).alias("reason_b"))
+
+
+@register("voice_conditioning_nested", f"""
+WITH f AS ({_filtered_c_sql()}),
+g AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM (SELECT speaker_id FROM f GROUP BY speaker_id HAVING count(*) >= 5) k
+      WHERE k.speaker_id IS NOT DISTINCT FROM f.speaker_id)),
+r AS (SELECT g.*, row_number() OVER (PARTITION BY speaker_id ORDER BY length(text) * duration DESC, source_no, pos) AS clip_rank FROM g),
+st AS (SELECT speaker_id, count(*) AS n_clips, round(sum(duration), 6) AS total_duration FROM g GROUP BY speaker_id),
+nest AS (SELECT speaker_id, list({{'clip_rank': CAST(clip_rank AS BIGINT), 'text': text, 'duration': duration}} ORDER BY clip_rank)
+         AS conditioning_samples FROM r WHERE clip_rank <= 5 GROUP BY speaker_id)
+SELECT nest.speaker_id, conditioning_samples, n_clips, total_duration
+FROM nest JOIN st ON nest.speaker_id IS NOT DISTINCT FROM st.speaker_id""")
+def q_nested(spark, sf_dir):
+    """G9 nested form: only the best 5 clips per speaker are gathered."""
+    prepared = C.prepare_text(px.conversations_corpus(spark, sf_dir))
+    good = SP.min_rows_per_speaker(prepared, 5)
+    t = SP.conditioning_table(good, 5)
+    return t.select("speaker_id", "conditioning_samples", "n_clips",
+                    F.round("total_duration", 6).alias("total_duration"))

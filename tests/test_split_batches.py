@@ -74,3 +74,12 @@ def test_pad_batches_partition_invariant(spark):
     a = KB.pad_batches(df, 2, ["k"]).collect()
     b = KB.pad_batches(df.repartition(5), 2, ["k"], ).collect()
     assert sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_encode_join_path_equals_inline(spark, monkeypatch):
+    ids = EN.vocab_ids(spark.createDataFrame([("b",), ("a",), ("é",)], "ch string"))
+    df = spark.createDataFrame([(0, "abzé"), (1, ""), (2, None), (3, "ba")], "id int, text string")
+    inline = {r["id"]: list(r["input_ids"]) for r in EN.encode_chars(df, "text", ids).collect()}
+    monkeypatch.setattr(EN, "MAX_INLINE", 0)
+    joined = {r["id"]: list(r["input_ids"]) for r in EN.encode_chars(df, "text", ids, row_key="id").collect()}
+    assert inline == joined == {0: [2, 3, EN.UNK_ID, 4], 1: [], 2: [], 3: [3, 2]}
