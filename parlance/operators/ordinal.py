@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions, stable
+from ..session import stable
 
 # Offset tables up to this many rows are broadcast; bigger ones are joined
 # by shuffle (AQE may still broadcast them when the measured size is small).
@@ -34,9 +34,9 @@ def _as_col(c: Column | str) -> Column:
 
 def target_partitions(df: DataFrame) -> int:
     """Partitions for a full shuffle of ``df``: about 128 MB each from the
-    optimiser's size estimate, never fewer than the session's shuffle
-    partitions (planning only, no job)."""
-    floor = max(shuffle_partitions(df.sparkSession), 1)
+    optimiser's size estimate, never fewer than the cluster's cores (so a
+    hot key still spreads); planning only, no job."""
+    floor = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     try:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # noqa: BLE001 - estimate unavailable: use the session default
