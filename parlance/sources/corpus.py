@@ -27,13 +27,24 @@ log = logging.getLogger(__name__)
 BROADCAST_FILES = 500_000
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan over the cluster's cores before CPU-heavy row-local
-    work when it has fewer input splits than cores (a single-row-group file
-    is one task). A many-file corpus is left alone: no shuffle."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def few_splits(scan: DataFrame) -> bool:
+    """True when a bare file scan has fewer input splits than the cluster
+    has cores. Ask only of a scan: on a plan with exchanges, turning it into
+    an RDD would run those stages."""
+    return scan.rdd.getNumPartitions() < _cores(scan)
+
+
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Spread rows over the cluster's cores before CPU-heavy row-local work
+    when the underlying scan (``scan``, default ``df``) has few splits (a
+    single-row-group file is one task). A many-file corpus is left alone:
+    no shuffle."""
+    if few_splits(df if scan is None else scan):
+        return df.repartition(_cores(df))
     return df
 
 
@@ -52,9 +63,8 @@ def read_corpus(spark: SparkSession, path: str | Sequence[str], schema: StructTy
     """Scan a parquet split with an optional declared schema; add
     ``source_no`` and ``pos`` (0-based row position in file order)."""
     raw = read_table(spark, path, schema, spread_out=False)
-    if not position:
-        return spread(raw).withColumn("source_no", F.lit(source_no))
-    return spread(with_source_position(raw)).withColumn("source_no", F.lit(source_no))
+    df = with_source_position(raw) if position else raw
+    return spread(df, scan=raw).withColumn("source_no", F.lit(source_no))
 
 
 def with_source_position(raw: DataFrame, name: str = "pos") -> DataFrame:
