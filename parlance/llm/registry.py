@@ -1,12 +1,16 @@
 """The queries of this subpackage by name, and the DuckDB SQL of those that
 SQL can express."""
 
-from . import bpe, sharding, tokens
+from . import bpe, ngram_join, quality, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
+    "op2_secret_scans": secrets.op2,
+    "op3_quality_rules": quality.op3,
+    "op4_ngram_jaccard_join": ngram_join.op4,
     "op6_bpe_codec": bpe.op6,
     "op8_sharding": sharding.op8,
+    "op9_toxicity": toxicity.op9,
 }
 
 ORACLE: dict[str, str] = {}
