@@ -1,16 +1,19 @@
 """The queries of this subpackage by name, and the DuckDB SQL of those that
 SQL can express."""
 
-from . import bpe, ngram_join, quality, secrets, sharding, tokens, toxicity
+from . import bpe, chat, embedding_graph, mixing, ngram_join, quality, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
     "op2_secret_scans": secrets.op2,
     "op3_quality_rules": quality.op3,
     "op4_ngram_jaccard_join": ngram_join.op4,
+    "op5_embedding_near_dedup": embedding_graph.op5,
     "op6_bpe_codec": bpe.op6,
+    "op7_chat_formatting": chat.op7,
     "op8_sharding": sharding.op8,
     "op9_toxicity": toxicity.op9,
+    "op10_source_mixing": mixing.op10,
 }
 
 ORACLE: dict[str, str] = {}
