@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import special_count
+from .text import WHITESPACE, special_count
 
 
 def _c(c: Column | str) -> Column:
@@ -23,8 +23,9 @@ def duration_between(c: Column | str, lo: float, hi: float) -> Column:
 
 
 def not_blank(c: Column | str) -> Column:
-    """text is not empty after trimming spaces."""
-    return F.trim(_c(c)) != F.lit("")
+    """text holds something other than white space (of any kind that
+    Unicode knows)."""
+    return _c(c).rlike(f"[^{WHITESPACE}]")
 
 
 def special_at_most(c: Column | str, r: float = 0.3) -> Column:

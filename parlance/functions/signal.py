@@ -29,6 +29,14 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(x: Column | str, fn) -> Column:
+    """``fn`` of ``x`` with ``x`` evaluated once. A lambda body runs for each
+    element, so whatever a lambda reads must come in as a variable: an
+    expression written inside it would be evaluated again every time, which
+    makes a pass over a signal quadratic."""
+    return F.get(F.transform(F.array(_c(x)), fn), 0)
+
+
 def duration(x: Column | str, rate: Column | str | int) -> Column:
     """P5: samples / rate, in seconds."""
     r = F.lit(rate) if isinstance(rate, int) else _c(rate)
@@ -38,14 +46,15 @@ def duration(x: Column | str, rate: Column | str | int) -> Column:
 def downmix(xs: Column | str) -> Column:
     """Mean over channels of ``array<array<double>>`` (channels of equal
     length; the first channel's length is used)."""
-    xs = _c(xs)
-    n = F.coalesce(F.size(F.get(xs, 0)), F.lit(0))
-    mixed = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.aggregate(xs, F.lit(0.0).cast("double"), lambda acc, ch: acc + F.element_at(ch, i))
-        / F.size(xs))
-    return F.when(F.size(xs) == 0, F.array().cast("array<double>")) \
-            .when(n > 0, mixed).otherwise(F.array().cast("array<double>"))
+    def mean(xs: Column) -> Column:
+        n = F.coalesce(F.size(F.get(xs, 0)), F.lit(0))
+        mixed = F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: F.aggregate(xs, F.lit(0.0).cast("double"), lambda acc, ch: acc + F.element_at(ch, i))
+            / F.size(xs))
+        return F.when((F.size(xs) == 0) | (n == 0), F.array().cast("array<double>")).when(n > 0, mixed)
+
+    return bound(xs, mean)
 
 
 def peak(x: Column | str) -> Column:
@@ -56,11 +65,13 @@ def peak(x: Column | str) -> Column:
 def peak_normalize(x: Column | str, gain: float | None = None) -> Column:
     """Divide by the peak, then multiply by ``gain`` if given; an
     all-zero or empty signal is left as is."""
-    x = _c(x)
-    m = peak(x)
-    scaled = F.transform(x, lambda v: v / m) if gain is None else \
-        F.transform(x, lambda v: v / m * F.lit(gain))
-    return F.when(m > 0, scaled).otherwise(x)
+    def scaled(x: Column) -> Column:
+        def by(m: Column) -> Column:
+            return F.transform(x, lambda v: v / m if gain is None else v / m * F.lit(gain))
+        m = peak(x)
+        return F.when(m > 0, bound(m, by)).otherwise(x)
+
+    return bound(x, scaled)
 
 
 def _loud_bounds(x: Column, th: float):
@@ -73,9 +84,11 @@ def _loud_bounds(x: Column, th: float):
 def trim_silence_b(x: Column | str, th: float = SILENCE_B) -> Column:
     """Keep the first through the last sample with ``|v| > th``
     (inclusive); no such sample -> unchanged."""
-    x = _c(x)
-    first, last = _loud_bounds(x, th)
-    return F.when(first > 0, F.slice(x, first, last - first + 1)).otherwise(x)
+    def cut(x: Column) -> Column:
+        first, last = _loud_bounds(x, th)
+        return F.when(first > 0, F.slice(x, first, last - first + 1)).otherwise(x)
+
+    return bound(x, cut)
 
 
 def trim_silence_c(x: Column | str, th: float = SILENCE_C, pad: int = PAD_C) -> Column:
@@ -83,12 +96,14 @@ def trim_silence_c(x: Column | str, th: float = SILENCE_C, pad: int = PAD_C) ->
     ``p = min(pad, s, n - e - 1)``, keep ``[s - p, e + p)`` -- the end is
     exclusive, so with p = 0 the last loud sample is dropped (and a single
     loud sample gives an empty signal). No loud sample -> unchanged."""
-    x = _c(x)
-    first, last = _loud_bounds(x, th)
-    s, e, n = first - 1, last - 1, F.size(x)
-    p = F.least(F.lit(pad), s, n - e - 1)
-    start, end = s - p, F.least(n, e + p)
-    return F.when(first > 0, F.slice(x, start + 1, end - start)).otherwise(x)
+    def cut(x: Column) -> Column:
+        first, last = _loud_bounds(x, th)
+        s, e, n = first - 1, last - 1, F.size(x)
+        p = F.least(F.lit(pad), s, n - e - 1)
+        start, end = s - p, F.least(n, e + p)
+        return F.when(first > 0, F.slice(x, start + 1, end - start)).otherwise(x)
+
+    return bound(x, cut)
 
 
 def clamp_len(x: Column | str, n: int) -> Column:
@@ -106,31 +121,36 @@ def resample(x: Column | str, r_in: int, r_out: int) -> Column:
     """Linear-interpolation resampling to ``r_out``; length
     ``floor(n * r_out / r_in)``, the last sample held at the end. Not
     band-limited (no anti-alias filter)."""
-    x = _c(x)
     if r_in == r_out:
-        return x
-    n = F.size(x)
-    m = F.floor(n.cast("long") * F.lit(r_out) / F.lit(r_in)).cast("int")
-    step = r_in / r_out
+        return _c(x)
+
+    def interpolated(x: Column) -> Column:
+        n = F.size(x)
+        m = F.floor(n.cast("long") * F.lit(r_out) / F.lit(r_in))
 
-    def at(i):
-        t = i * F.lit(step)
-        k = F.floor(t).cast("int")
-        frac = t - k
-        a = F.element_at(x, F.least(k + 1, n))
-        b = F.element_at(x, F.least(k + 2, n))
-        return a + frac * (b - a)
+        def at(i: Column) -> Column:
+            # Whole numbers up to the last division: no drift along the signal.
+            t = i * F.lit(r_in).cast("long")
+            left = t % F.lit(r_out).cast("long")
+            k = ((t - left) / F.lit(r_out)).cast("int")
+            a = F.element_at(x, F.least(k + 1, n))
+            b = F.element_at(x, F.least(k + 2, n))
+            return a + left / F.lit(float(r_out)) * (b - a)
 
-    return F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), at)) \
-            .otherwise(F.array().cast("array<double>"))
+        return F.when(m > 0, F.transform(F.sequence(F.lit(0).cast("long"), m - 1), at)) \
+                .when(m == 0, F.array().cast("array<double>"))
+
+    return bound(x, interpolated)
 
 
 def l2_normalize(v: Column | str) -> Column:
     """Divide a vector by its Euclidean norm (in double); a zero
     vector stays zero."""
-    v = _c(v).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, y: acc + y * y))
-    return F.when(norm > 0, F.transform(v, lambda y: y / norm)).otherwise(v)
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, y: acc + y * y))
+        return F.when(norm > 0, bound(norm, lambda m: F.transform(v, lambda y: y / m))).otherwise(v)
+
+    return bound(_c(v).cast("array<double>"), unit)
 
 
 # --- N5: Butterworth high-pass --------------------------------------------
@@ -184,34 +204,50 @@ def highpass_numpy(x: np.ndarray, fc: float, fs: float, order: int = FILTER_ORDE
     return y.astype(np.float32).astype(np.float64)
 
 
+def filtered_or_none(x, fc: float, fs: float, order: int) -> np.ndarray | None:
+    """The filtered signal, or None for a null signal and for one with a
+    null or non-finite sample, which the callers turn into a reject."""
+    if x is None:
+        return None
+    x = np.asarray(x, dtype=np.float64)
+    return highpass_numpy(x, fc, fs, order) if np.isfinite(x).all() else None
+
+
 def highpass(x: Column | str, fc: float, fs: float, order: int = FILTER_ORDER) -> Column:
-    """Butterworth high-pass at ``fc`` Hz for rate ``fs`` (empty and null
-    signals pass through)."""
+    """Butterworth high-pass at ``fc`` Hz for rate ``fs``. Empty and null
+    signals pass through; one with a null or non-finite sample gives null."""
     @F.pandas_udf(ArrayType(DoubleType()))
     def _hp(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: None if a is None else highpass_numpy(np.asarray(a, dtype=np.float64), fc, fs, order))
+        return s.map(lambda a: filtered_or_none(a, fc, fs, order))
     return _hp(_c(x))
 
 
-def with_clean_signal_b(df, x: str, out: str, rate: int = RATE_B, filtered: bool = True):
+def highpass_step(x: str, fc: float, fs: float) -> Column:
+    """:func:`highpass` of a column that was just computed. Naming the column
+    twice keeps Catalyst from merging its higher-order functions into the
+    function's argument, from where it does not extract Python functions."""
+    return F.when(F.col(x).isNotNull(), highpass(x, fc, fs))
+
+
+def with_clean_signal_b(df, x: str, out: str, rate: int = RATE_B, filtered: bool = True, fc: float = HIGHPASS_B):
     """N8 (enhanced): peak-normalise -> trim silence (inclusive) ->
     high-pass 80 Hz -> cut to 10 s. One column step at a time, so no step
     re-evaluates the ones before it."""
     df = df.withColumn(out, peak_normalize(x))
     df = df.withColumn(out, trim_silence_b(out, SILENCE_B))
     if filtered:
-        df = df.withColumn(out, highpass(out, HIGHPASS_B, rate))
+        df = df.withColumn(out, highpass_step(out, fc, rate))
     return df.withColumn(out, clamp_len(out, MAX_SECONDS_B * rate))
 
 
 def with_clean_signal_c(df, x: str, out: str, rate: int = RATE_C, filtered: bool = True,
-                        channels: bool = False):
+                        channels: bool = False, fc: float = HIGHPASS_C):
     """N8 (voices): [downmix] -> peak-normalise x 0.9 -> trim silence with
     padding -> high-pass 100 Hz -> null if under 2 s -> cut to 15 s."""
     df = df.withColumn(out, downmix(x) if channels else F.col(x))
     df = df.withColumn(out, peak_normalize(out, GAIN_C))
     df = df.withColumn(out, trim_silence_c(out, SILENCE_C, PAD_C))
     if filtered:
-        df = df.withColumn(out, highpass(out, HIGHPASS_C, rate))
+        df = df.withColumn(out, highpass_step(out, fc, rate))
     df = df.withColumn(out, min_len_or_null(out, MIN_SECONDS_C * rate))
     return df.withColumn(out, clamp_len(out, MAX_SECONDS_C * rate))

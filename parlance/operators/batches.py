@@ -3,21 +3,22 @@
 Re-aimed from a training-time collate callback to a job that writes
 batches. Rows are numbered in a global order (``ordinal.sequence``, range
 partitioned, no single-partition window); batch ``b`` holds rows
-``b*size+1 .. (b+1)*size``. Per-batch maxima are an aggregation joined back
-on the batch number.
+``b*size+1 .. (b+1)*size``. Per-batch maxima are a window over the batch,
+which is bounded by its size: one shuffle and no join.
 
 * token ids are right-padded with ``pad_id`` to the batch's longest;
 * label frames are padded to the batch's most frames with frames of
   ``label_pad`` (-100, ignored by the loss);
 * with ``reduction > 1`` labels are then cut to the batch maximum of
-  ``n - n % reduction`` (base pipeline only).
+  ``n - n % reduction`` (base pipeline only);
+* other columns (a speaker vector, say) ride along, one per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordinal import sequence
@@ -34,21 +35,16 @@ def pad_batches(df: DataFrame, size: int, order: Sequence[Column | str], ids_col
     numbered = sequence(df, order, keys=groups, name="_row_no")
     numbered = numbered.withColumn("batch_no", F.floor((F.col("_row_no") - 1) / F.lit(size)).cast("long")) \
                        .withColumn("batch_pos", ((F.col("_row_no") - 1) % F.lit(size)).cast("int"))
-    aggs = [F.max(F.size(ids_col)).alias("_max_ids")]
+    batch = Window.partitionBy(*groups, "batch_no")
+    out = numbered.withColumn("_max_ids", F.max(F.size(ids_col)).over(batch))
     if labels_col:
         n_lab = F.size(labels_col)
-        aggs += [F.max(n_lab).alias("_max_lab"),
-                 F.max(n_lab - n_lab % F.lit(reduction)).alias("_max_lab_r"),
-                 F.max(F.size(F.get(F.col(labels_col), 0))).alias("_width")]
-    gcols = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
-    per_batch = numbered.groupBy(*gcols, F.col("batch_no").alias("_b")).agg(*aggs)
-    cond = numbered["batch_no"] == per_batch["_b"]
-    for i, g in enumerate(groups):
-        cond = cond & numbered[g].eqNullSafe(per_batch[f"_g{i}"])
-    out = numbered.join(per_batch, cond, "inner").drop(*[f"_g{i}" for i in range(len(groups))])
+        out = out.withColumn("_max_lab", F.max(n_lab).over(batch)) \
+                 .withColumn("_max_lab_r", F.max(n_lab - n_lab % F.lit(reduction)).over(batch)) \
+                 .withColumn("_width", F.max(F.size(F.get(F.col(labels_col), 0))).over(batch))
     out = out.withColumn(ids_col, F.concat(
         F.col(ids_col), F.array_repeat(F.lit(pad_id), F.col("_max_ids") - F.size(ids_col))))
-    drop = ["_b", "_max_ids", "_row_no"]
+    drop = ["_max_ids", "_row_no"]
     if labels_col:
         width = F.coalesce(F.col("_width"), F.lit(0))
         pad_frame = F.array_repeat(F.lit(label_pad).cast("float"), width)

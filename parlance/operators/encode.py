@@ -3,9 +3,9 @@
 The reference hands text to a tokenizer whose vocabulary it treats as a
 set of characters. Ours: a vocabulary table ``(ch, id)`` with ids in code
 point order after the reserved ids, and unknown characters mapped to
-``UNK_ID``. A character vocabulary is bounded by the Unicode range, so
-the table is collected once and inlined as a literal lookup; larger
-tables (``MAX_INLINE`` entries and up) are joined instead.
+``UNK_ID``. A character vocabulary is bounded by the Unicode range
+(1,114,112 code points), so the table is collected once and looked up in a
+dense array by code point, whatever its size.
 """
 
 from __future__ import annotations
@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 # Reserved ids (our choice; the reference's tokenizer ids are not visible).
 PAD_ID, UNK_ID, FIRST_ID = 0, 1, 2
-MAX_INLINE = 20_000
-#: vocabularies whose largest code point is below this are looked up in a
-#: dense array indexed by code point (O(1) per character)
-DENSE_MAX_CODEPOINT = 200_000
 
 
 def vocab_ids(vocab: DataFrame, ch_col: str = "ch") -> DataFrame:
@@ -35,34 +31,18 @@ def chars(c: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(col, F.lit("")), ""), lambda s: s != F.lit(""))
 
 
-def encode_chars(df: DataFrame, text_col: str, ids: DataFrame, out_col: str = "input_ids",
-                 row_key: str | None = None) -> DataFrame:
-    """``out_col`` = id of every character of ``text_col``. Small
-    vocabularies are inlined as a literal map; big ones are joined
-    (``row_key`` must then identify rows)."""
-    rows = ids.select("ch", "id").limit(MAX_INLINE + 1).collect()  # bounded fetch
-    if len(rows) <= MAX_INLINE:
-        single = {ord(r["ch"]): int(r["id"]) for r in rows if r["ch"] is not None and len(r["ch"]) == 1}
-        if rows and len(single) == len(rows) and max(single) < DENSE_MAX_CODEPOINT:
-            dense = [UNK_ID] * (max(single) + 1)
-            for cp, i in single.items():
-                dense[cp] = i
-            # one string literal, split once by constant folding
-            table = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<int>")
-            enc = F.transform(chars(text_col), lambda ch: F.coalesce(
-                F.try_element_at(table, F.ascii(ch) + 1), F.lit(UNK_ID)))
-            return df.withColumn(out_col, enc)
-        lookup = F.create_map(*[x for r in rows for x in (F.lit(r["ch"]), F.lit(int(r["id"])))]) \
-            if rows else F.create_map().cast("map<string,int>")
-        enc = F.transform(chars(text_col), lambda ch: F.coalesce(F.element_at(lookup, ch), F.lit(UNK_ID)))
-        return df.withColumn(out_col, enc)
-    if row_key is None:
-        raise ValueError("row_key is needed to encode with a large vocabulary")
-    exploded = df.select(row_key, F.posexplode(chars(text_col)).alias("_i", "_ch"))
-    vocab = ids.select(F.col("ch").alias("_ch"), F.col("id").alias("_vid"))
-    joined = exploded.join(vocab, "_ch", "left")
-    per_row = joined.groupBy(row_key).agg(
-        F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_vid", F.lit(UNK_ID)).alias("id")))).alias("_s"))
-    per_row = per_row.select(row_key, F.transform("_s", lambda s: s["id"]).alias(out_col))
-    return df.join(per_row, row_key, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+def encode_chars(df: DataFrame, text_col: str, ids: DataFrame, out_col: str = "input_ids") -> DataFrame:
+    """``out_col`` = id of every character of ``text_col``; empty for
+    null text. ``ids`` has one row per character; an entry that is null or
+    not one character matches nothing."""
+    rows = ids.where(F.char_length("ch") == 1).select("ch", "id").collect()  # at most one per code point
+    known = {ord(r["ch"]): int(r["id"]) for r in rows}
+    dense = [UNK_ID] * (max(known, default=-1) + 1)
+    for code, i in known.items():
+        dense[code] = i
+    if not dense:
+        return df.withColumn(out_col, F.transform(chars(text_col), lambda ch: F.lit(UNK_ID)))
+    # one string literal, split once by constant folding
+    table = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<int>")
+    return df.withColumn(out_col, F.transform(chars(text_col), lambda ch: F.coalesce(
+        F.try_element_at(table, F.ascii(ch) + 1), F.lit(UNK_ID))))

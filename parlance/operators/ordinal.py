@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from ..session import stable
 
-# Offset tables up to this many rows are broadcast; bigger ones are joined
-# by shuffle (AQE may still broadcast them when the measured size is small).
-BROADCAST_ROWS = 200_000
+TARGET_PARTITION_BYTES = 128 << 20
+# Spark gives a relation whose size it does not know a size of this order.
+UNKNOWN_BYTES = 1 << 60
 
 
 def _as_col(c: Column | str) -> Column:
@@ -33,15 +33,16 @@ def _as_col(c: Column | str) -> Column:
 
 
 def target_partitions(df: DataFrame) -> int:
-    """Partitions for a full shuffle of ``df``: about 128 MB each from the
-    optimiser's size estimate, never fewer than the cluster's cores (so a
-    hot key still spreads); planning only, no job."""
+    """Partitions for a full shuffle of ``df``: about
+    ``TARGET_PARTITION_BYTES`` of what its plan reads each, never fewer than
+    the cluster's cores (so a hot key still spreads); planning only, no job.
+    The sizes are those of the plan's leaves: estimates further up multiply
+    at every join. A leaf of unknown size (a local RDD) counts as nothing."""
     floor = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable: use the session default
-        return floor
-    return int(min(MAX_PARTITIONS, max(floor, -(-size // TARGET_PARTITION_BYTES))))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < UNKNOWN_BYTES)
+    return max(floor, -(-known // TARGET_PARTITION_BYTES))
 
 
 def sequence(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (),

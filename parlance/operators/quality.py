@@ -26,11 +26,14 @@ def reject_reason_b(text_col: str = "text", duration_col: str = "duration",
                     special_max: float = SPECIAL_MAX_B) -> Column:
     """First failing test of the enhanced quality filter, or null."""
     t = F.col(text_col)
-    return (F.when(~text_len_between(t, TEXT_MIN_B, TEXT_MAX_B), F.lit("text_length"))
-             .when(~F.coalesce(duration_between(duration_col, DURATION_MIN_B, DURATION_MAX_B), F.lit(False)),
-                   F.lit("duration"))
-             .when(~not_blank(t), F.lit("blank"))
-             .when(~special_at_most(t, special_max), F.lit("special_chars")))
+
+    def fails(test: Column) -> Column:
+        return ~F.coalesce(test, F.lit(False))  # a null text or duration passes no test
+
+    return (F.when(fails(text_len_between(t, TEXT_MIN_B, TEXT_MAX_B)), F.lit("text_length"))
+             .when(fails(duration_between(duration_col, DURATION_MIN_B, DURATION_MAX_B)), F.lit("duration"))
+             .when(fails(not_blank(t)), F.lit("blank"))
+             .when(fails(special_at_most(t, special_max)), F.lit("special_chars")))
 
 
 def quality_filter_b(df: DataFrame, text_col: str = "text", duration_col: str = "duration",
@@ -82,14 +85,3 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
     pairs = ", ".join(f"{i}, '{n}', s{i}" for i, n in enumerate(names))
     return wide.selectExpr(f"stack({len(names)}, {pairs}) AS (stage_no, stage, n_rows)") \
                .select(F.col("stage_no").cast("int"), "stage", F.col("n_rows").cast("long"))
-
-
-def gates(checks: Sequence[tuple[str, DataFrame, int]]) -> DataFrame:
-    """(check, value, threshold, ok) rows; each check is
-    (name, one-row frame with a ``value`` column, threshold)."""
-    rows = [d.select(F.lit(name).alias("check"), F.col("value").cast("long").alias("value"),
-                     F.lit(th).cast("long").alias("threshold")) for name, d, th in checks]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("ok", F.col("value") >= F.col("threshold"))

@@ -64,7 +64,7 @@ def run(corpus: DataFrame, reference_vocab: DataFrame, key: str, labels: Column
     kept_summary = SP.band_summary(kept)
 
     ids = EN.vocab_ids(reference_vocab)
-    enc = EN.encode_chars(kept, "text", ids, row_key=key).where(token_len_below("input_ids", MAX_TOKENS))
+    enc = EN.encode_chars(kept, "text", ids).where(token_len_below("input_ids", MAX_TOKENS))
     if labels is not None:
         enc = enc.withColumn("labels", labels)
     marked, seed = SPL.assign_split(enc, TEST_FRACTION, key, seed)

@@ -2,13 +2,14 @@
 
     sources (head of each, renamed, pruned; skipped when unreadable;
     fallback source in full when none loads) (S1-S3, P1, P2, U1)
-      -> normalise text (T10) -> quality filter (F5) with reasons
-      -> [signals: clean (N8 B), at least 0.5 s (F8)]
+      -> normalise text (T10) -> quality filter (F5) with reasons and funnel
+      -> clean signal (N8 B), at least 0.5 s (F8), rejects (F9)
+      -> speaker vector scaled to length one (N10)
       -> encode characters (T13), at most 250 tokens, then < 300 (F7)
       -> seeded split, 15 % test, seed 42 (R2) -> padded batches (K1)
 
-The duration tested by the quality filter is taken from the unprocessed
-signal (here: the ``duration`` column each source carries).
+The duration that the quality filter tests is the unprocessed signal's.
+Signals of rows that the quality filter rejects are not touched.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import duration_between, not_blank, special_at_most, text_len_between, token_len_below
+from ..functions import signal as N
+from ..functions.predicates import (
+    duration_between, min_samples, not_blank, special_at_most, text_len_between, token_len_below)
 from ..functions.text import normalize_text_b
 from ..operators import batches as KB
 from ..operators import encode as EN
@@ -27,6 +30,7 @@ from ..operators import quality as Q
 from ..operators import split as SPL
 from ..session import stable
 from ..sources.corpus import SourceSpec, load_sources
+from ..sources.stages import stage
 
 MAX_TOKENS_PREPARE = 250
 MAX_TOKENS_FINAL = 300
@@ -34,6 +38,16 @@ TEST_FRACTION = 0.15
 SEED = 42
 
 
+@dataclass(frozen=True)
+class SignalSpec:
+    """Where a corpus has its signal (already at ``rate``) and how to clean
+    it: the cut-off of the high-pass filter, and the fewest samples kept."""
+    column: str
+    rate: int = N.RATE_B
+    fc: float = N.HIGHPASS_B
+    min_samples: int = N.MIN_SAMPLES_B
+
+
 @dataclass
 class EnhancedResult:
     skipped: list
@@ -44,31 +58,56 @@ class EnhancedResult:
 
 def run(spark: SparkSession, specs: Sequence[SourceSpec], reference_vocab: DataFrame, key: str,
         fallback: SourceSpec | None = None, labels: Column | None = None, batch_size: int = 8,
-        exact_split: bool = False, with_batches: bool = True) -> EnhancedResult:
+        exact_split: bool = False, with_batches: bool = True, signal: SignalSpec | None = None,
+        vector_col: str | None = None, stage_root: str | None = None, force: bool = False) -> EnhancedResult:
+    """``signal`` cleans the named column into ``signal``; ``vector_col`` is
+    scaled to length one and stacked into the batches. With ``stage_root``
+    the normalised and the cleaned rows are stages there (S4), reused by
+    later runs with the same sources and parameters unless ``force``d;
+    without, they are checkpoints of this run."""
     corpus, skipped = load_sources(spark, specs, fallback)
-    # stage boundary (the reference caches the text-preprocessed set): the
-    # normaliser runs once, in parallel; funnel, reasons and everything
-    # after read the checkpoint
-    corpus = stable(corpus.withColumn("text", normalize_text_b("text")))
+    params = {"sources": [s.path for s in specs], "heads": [s.head for s in specs]}
+
+    def kept_as(name: str, df: DataFrame, more: dict, upstream: str | None = None) -> tuple[DataFrame, str | None]:
+        if stage_root is None:
+            return stable(df), None
+        made = stage(spark, name, lambda: df, stage_root, params | more, upstream, force)
+        return made.df, made.key
+
+    if signal is not None:
+        corpus = corpus.withColumn("duration", N.duration(signal.column, signal.rate))
+    # One pass normalises; funnel, reasons and all that follows read the result.
+    corpus, made = kept_as("enhanced-text", corpus.withColumn("text", normalize_text_b("text")), {})
     stages = [("text_length", text_len_between("text", Q.TEXT_MIN_B, Q.TEXT_MAX_B)),
               ("duration", duration_between("duration", Q.DURATION_MIN_B, Q.DURATION_MAX_B)),
               ("not_blank", not_blank("text")),
               ("special_chars", special_at_most("text", Q.SPECIAL_MAX_B))]
     funnel = Q.funnel(corpus, stages)
-    marked = Q.with_reject_reason(corpus)
-    kept, rejects = Q.split_rejects(marked)
-
+    kept, rejects = Q.split_rejects(Q.with_reject_reason(corpus))
+    rejects = rejects.select(key, "reject_reason")
+    kept = kept.drop("reject_reason")
+    if signal is not None:
+        clean = N.with_clean_signal_b(kept, signal.column, "_clean", signal.rate, fc=signal.fc).drop(signal.column)
+        clean = Q.prepare_or_reject(clean, F.col("_clean"), [
+            (~min_samples("_clean", signal.min_samples), "too_short")], "signal").drop("_clean")
+        clean, made = kept_as("enhanced-signals", clean, {"signal": signal}, made)
+        kept, unusable = Q.split_rejects(clean)
+        rejects = rejects.union(unusable.select(key, "reject_reason"))
     if not with_batches:
-        return EnhancedResult(skipped, funnel, rejects.select(key, "reject_reason"), None)
-    ids = EN.vocab_ids(reference_vocab)
-    enc = EN.encode_chars(kept, "text", ids, row_key=key)
+        return EnhancedResult(skipped, funnel, rejects, None)
+
+    enc = EN.encode_chars(kept, "text", EN.vocab_ids(reference_vocab))
     enc = enc.where(token_len_below("input_ids", MAX_TOKENS_PREPARE + 1))
     enc = enc.where(token_len_below("input_ids", MAX_TOKENS_FINAL))  # redundant, kept as in the reference
+    more = ["signal"] if signal is not None else []
     if labels is not None:
-        enc = enc.withColumn("labels", labels)
+        enc, more = enc.withColumn("labels", labels), [*more, "labels"]
+    if vector_col is not None:
+        enc = enc.withColumn("speaker_embedding", N.l2_normalize(vector_col))
+        more = [*more, "speaker_embedding"]
     split_marked, _ = SPL.assign_split(enc, TEST_FRACTION, key, SEED, exact=exact_split)
-    cols = [key, "speaker_id", "source_no", "pos", "input_ids"] + (["labels"] if labels is not None else [])
+    cols = [key, "speaker_id", "source_no", "pos", "input_ids", *more]
     sided = split_marked.select(*cols, F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
     batches = KB.pad_batches(sided, batch_size, ["source_no", "pos"],
                              labels_col="labels" if labels is not None else None, groups=["split"])
-    return EnhancedResult(skipped, funnel, rejects.select(key, "reject_reason"), batches)
+    return EnhancedResult(skipped, funnel, rejects, batches)

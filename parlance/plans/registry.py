@@ -163,33 +163,46 @@ def q_l2(spark, sf_dir):
     return e.select("vec_id", "label", N.l2_normalize(tripled).alias("speaker_embedding"))
 
 
-def _chain_b_sql(x: str, rate: int) -> str:
-    y = S.trim_silence_b(S.peak_normalize(x), N.SILENCE_B)
-    return S.clamp_len(y, N.MAX_SECONDS_B * rate)
+_MIN_B = N.MIN_SAMPLES_B * EVENT_RATE // N.RATE_B
+FC_B, FC_C = (N.HIGHPASS_B / N.RATE_B * EVENT_RATE, N.HIGHPASS_C / N.RATE_C * EVENT_RATE)
 
 
-def _chain_c_sql(x: str, rate: int) -> str:
-    y = S.trim_silence_c(S.peak_normalize(x, N.GAIN_C), N.SILENCE_C, N.PAD_C)
-    return S.clamp_len(S.min_len_or_null(y, N.MIN_SECONDS_C * rate), N.MAX_SECONDS_C * rate)
+def _chain_b_sql(clips: str, rate: int) -> str:
+    """(speaker_id, clip_no, y): the enhanced chain on clips (.., x)."""
+    trimmed = (f"SELECT speaker_id, clip_no, {S.trim_silence_b(S.peak_normalize('x'), N.SILENCE_B)} AS x"
+               f" FROM ({clips})")
+    return (f"SELECT speaker_id, clip_no, {S.clamp_len('y', N.MAX_SECONDS_B * rate)} AS y"
+            f" FROM {S.highpass_clips(trimmed, FC_B, float(rate))}")
+
+
+def _chain_c_sql(clips: str, rate: int, fc: float | None = None) -> str:
+    """(speaker_id, clip_no, y): the voices chain on clips (.., x)."""
+    trimmed = (f"SELECT speaker_id, clip_no, {S.trim_silence_c(S.peak_normalize('x', N.GAIN_C), N.SILENCE_C, N.PAD_C)} AS x"
+               f" FROM ({clips})")
+    kept = S.clamp_len(S.min_len_or_null('y', N.MIN_SECONDS_C * rate), N.MAX_SECONDS_C * rate)
+    return f"SELECT speaker_id, clip_no, {kept} AS y FROM {S.highpass_clips(trimmed, fc or FC_C, float(rate))}"
+
+
+def _clean_both(spark, sf_dir) -> DataFrame:
+    c = _clips(spark, sf_dir)
+    c = N.with_clean_signal_b(c, "x", "clean_b", EVENT_RATE, fc=FC_B)
+    return N.with_clean_signal_c(c, "x", "clean_c", EVENT_RATE, fc=FC_C)
 
 
 @register("signal_clean_chains",
-          f"SELECT speaker_id, clip_no, {_chain_b_sql('x', EVENT_RATE)} AS clean_b,"
-          f" {_chain_c_sql('x', EVENT_RATE)} AS clean_c FROM ({_clips_sql()})")
+          f"SELECT speaker_id, clip_no, b.y AS clean_b, c.y AS clean_c FROM ({_chain_b_sql(_clips_sql(), EVENT_RATE)}) b"
+          f" JOIN ({_chain_c_sql(_clips_sql(), EVENT_RATE)}) c USING (speaker_id, clip_no)")
 def q_chains(spark, sf_dir):
-    """N8 with the high-pass step off (it has no SQL equivalent)."""
-    c = _clips(spark, sf_dir)
-    c = N.with_clean_signal_b(c, "x", "clean_b", EVENT_RATE, filtered=False)
-    c = N.with_clean_signal_c(c, "x", "clean_c", EVENT_RATE, filtered=False)
-    return c.select("speaker_id", "clip_no", "clean_b", "clean_c")
+    """N8, every step on; the cut-off frequencies are scaled to the rate."""
+    return _clean_both(spark, sf_dir).select("speaker_id", "clip_no", "clean_b", "clean_c")
 
 
-@register("signal_highpass")
+@register("signal_highpass", f"SELECT speaker_id, clip_no, CAST(i - 1 AS INTEGER) AS i, y FROM"
+                             f" {S.highpass_samples(_clips_sql(), FC_B, float(EVENT_RATE))}")
 def q_highpass(spark, sf_dir):
-    """N5 (rows-only check; unit tests compare against a sample loop)."""
+    """N5, one row per sample."""
     c = _clips(spark, sf_dir)
-    fc_b = N.HIGHPASS_B / N.RATE_B * EVENT_RATE
-    return c.select("speaker_id", "clip_no", N.highpass("x", fc_b, EVENT_RATE).alias("y"))
+    return c.select("speaker_id", "clip_no", F.posexplode(N.highpass("x", FC_B, EVENT_RATE)).alias("i", "y"))
 
 
 # -- text functions on whole documents (T1-T12) -------------------------------
@@ -244,8 +257,7 @@ def q_scan(spark, sf_dir):
 
 @register("corpus_head", f"SELECT doc_id, text, CAST(pos AS BIGINT) AS pos FROM ({DOCS_SQL}) WHERE pos < 250")
 def q_head(spark, sf_dir):
-    d = SC.read_corpus(spark, px.table_path(sf_dir, "documents"))
-    return SC.head(d, 250).select("doc_id", "text", "pos")
+    return SC.read_head(spark, px.table_path(sf_dir, "documents"), 250).select("doc_id", "text", "pos")
 
 
 def _b_specs(sf_dir: str):
@@ -319,9 +331,9 @@ def _conv_b_sql() -> str:
 
 
 def _reason_sql(t: str = "text", d: str = "duration", r: float = 0.3) -> str:
-    return (f"CASE WHEN NOT (length({t}) BETWEEN 10 AND 300) THEN 'text_length'"
+    return (f"CASE WHEN NOT coalesce(length({t}) BETWEEN 10 AND 300, false) THEN 'text_length'"
             f" WHEN NOT coalesce({d} BETWEEN 1.0 AND 10.0, false) THEN 'duration'"
-            f" WHEN trim({t}) = '' THEN 'blank'"
+            f" WHEN NOT {S.not_blank(t)} THEN 'blank'"
             f" WHEN NOT (length({t}) > 0 AND NOT ({S.special_count(t)} / length({t}) > {r})) THEN 'special_chars'"
             f" END")
 
@@ -356,7 +368,7 @@ def q_filter_c(spark, sf_dir):
 
 _FUNNEL_B = [("text_length", "length(text) BETWEEN 10 AND 300"),
              ("duration", "duration BETWEEN 1.0 AND 10.0"),
-             ("not_blank", "trim(text) <> ''")]
+             ("not_blank", S.not_blank("text"))]
 
 
 @register("funnel_b", "SELECT * FROM (VALUES " + ", ".join(
@@ -385,8 +397,7 @@ SELECT 'speakers', CAST((SELECT count(*) FROM good) AS BIGINT), CAST(5 AS BIGINT
 """)
 def q_gates(spark, sf_dir):
     prepared = C.prepare_text(px.conversations_corpus(spark, sf_dir))
-    voices = C.voice_table(prepared)
-    return C.gates(prepared, voices)
+    return C.gates(prepared)
 
 
 # -- speakers (G1-G9, J1/F6, W1-W3, U2) ----------------------------------------
@@ -547,11 +558,19 @@ def q_split_exact(spark, sf_dir):
     return d
 
 
-@register("split_unseeded")
+@register("split_unseeded", "SELECT doc_id, true AS consistent, true AS share_near_tenth FROM documents")
 def q_split_unseeded(spark, sf_dir):
-    """Seed drawn once and returned with every row (rows-only check)."""
-    d, seed = SPL.assign_split(_docs(spark, sf_dir).select("doc_id"), 0.10, "doc_id", None, exact=False)
-    return d.withColumn("seed", F.lit(seed))
+    """The seed is drawn, so no side can be foretold; that the recorded
+    seed gives the same sides again, and that the test share lies within six
+    standard deviations of a tenth, can."""
+    docs = _docs(spark, sf_dir).select("doc_id")
+    d, seed = SPL.assign_split(docs, 0.10, "doc_id", None, exact=False)
+    again, _ = SPL.assign_split(d, 0.10, "doc_id", seed, exact=False, name="_again")
+    share = d.agg((F.abs(F.avg(F.col("is_test").cast("int")) - 0.1)
+                   <= 6 * F.sqrt(F.lit(0.09) / F.count("*"))).alias("share_near_tenth"))
+    # one row
+    return again.select("doc_id", (F.col("is_test") == F.col("_again")).alias("consistent")).crossJoin(
+        F.broadcast(share))
 
 
 def _vocab_ids_sql(table: str) -> str:
@@ -674,37 +693,49 @@ def q_export(spark, sf_dir):
     cond = C.conditioning_clips(prepared)
     path = _scratch(spark, "voices")
     EX.write_voices(cond, path)
-    back = EX.read_voices(spark, path, "clip_no int, text string, speaker_id string")
+    back = EX.read_voices(spark, path)
     return back.select("speaker_id", "clip_no", "text")
 
 
-def _with_raw_duration(df):
-    return df.withColumn("duration", px.raw_duration("text"))
+def _uid(df):
+    return df.withColumn("uid", F.col("source_no").cast("long") * F.lit(10 ** 12) + F.col("pos"))
 
 
-def _b_sources(sf_dir: str):
-    """The enhanced pipeline's two sources over the driver tables: the first
-    kept whole (as the reference does), the second renamed and pruned."""
+def _voiced(spark, sf_dir, key: str):
+    """Adapter that gives a text row the signal of the event user whose id
+    is the row's ``key`` (rows of other keys have none and go), and that
+    user's vector."""
+    def adapt(df):
+        clips = _clips(spark, sf_dir).where("clip_no = 0").select(
+            F.col("speaker_id").cast("long").alias("_user"), "x")
+        vectors = px.embeddings_table(spark, sf_dir).select(
+            F.col("vec_id").alias("_vec"), F.transform("embedding", lambda v: v.cast("double") * 3).alias("vector"))
+        out = df.join(clips, F.col(key) == F.col("_user")).join(vectors, F.col(key) == F.col("_vec"), "left")
+        return _uid(out.drop("_user", "_vec"))
+    return adapt
+
+
+VOICED_SQL = f"""
+clips AS (SELECT CAST(speaker_id AS BIGINT) AS _user, x FROM ({_clips_sql()}) WHERE clip_no = 0),
+raw AS (SELECT text, lang AS speaker_id, 0 AS source_no, row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id AS k FROM documents
+        UNION ALL SELECT text, role, 1, row_number() OVER (ORDER BY conv_id, turn) - 1, conv_id FROM conversations),
+u AS (SELECT raw.*, x, list_transform(embedding, lambda e: CAST(e AS DOUBLE) * 3) AS vector,
+             source_no * 1000000000000 + pos AS uid
+      FROM raw JOIN clips ON k = _user LEFT JOIN embeddings ON vec_id = k)"""
+
+
+def _voiced_sources(spark, sf_dir: str):
+    """The two sources of the pipelines, with signals: the first kept whole
+    (as the reference does), the second renamed and pruned."""
+    keep = ["text", "speaker_id", "uid", "x", "vector"]
     return [
         SC.SourceSpec(px.table_path(sf_dir, "documents"), rename={"lang": "speaker_id"},
-                      prepare=_with_raw_duration),
-        SC.SourceSpec(px.table_path(sf_dir, "conversations"), rename={"role": "speaker_id"},
-                      keep=["text", "speaker_id", "duration"], prepare=_with_raw_duration),
+                      prepare=_voiced(spark, sf_dir, "doc_id")),
+        SC.SourceSpec(px.table_path(sf_dir, "conversations"), rename={"role": "speaker_id"}, keep=keep,
+                      prepare=_voiced(spark, sf_dir, "conv_id")),
     ]
 
 
-def _uid(df):
-    return df.withColumn("uid", F.col("source_no").cast("long") * F.lit(10 ** 12) + F.col("pos"))
-
-
-def _b_sources_uid(sf_dir: str):
-    specs = _b_sources(sf_dir)
-    for s in specs:
-        s.prepare = (lambda p: (lambda df: _uid(p(df))))(s.prepare)
-        s.keep = None if s.keep is None else list(s.keep) + ["uid"]
-    return specs
-
-
 def _pad_sql(src: str, order: str, reduction: int, key: str) -> str:
     """Batches of 8 per split side over ``src`` (key, split, input_ids)."""
     lab = ("concat(labels, list_transform(range(0, mx_lab - len(labels)), lambda j: "
@@ -728,40 +759,59 @@ def _split_side_sql(key: str, seed: int, fraction: float) -> str:
             f" < {fraction!r} * 4294967296 THEN 'test' ELSE 'train' END")
 
 
+_SIGNAL_B = B.SignalSpec("x", EVENT_RATE, FC_B, _MIN_B)
+_B_TEXT_SQL = f"""{VOICED_SQL},
+nb AS (SELECT uid, source_no, pos, speaker_id, {S.normalize_text_b('text')} AS text, len(x) / {EVENT_RATE}::DOUBLE AS duration,
+              x, vector FROM u)"""
 _PIPELINE_B_SQL = f"""
-WITH u AS (SELECT 0 AS source_no, row_number() OVER (ORDER BY doc_id) - 1 AS pos, lang AS speaker_id, text,
-                  length(text) / 15.0::DOUBLE AS duration FROM documents
-           UNION ALL SELECT 1, row_number() OVER (ORDER BY conv_id, turn) - 1, role, text,
-                  length(text) / 15.0::DOUBLE FROM conversations),
-nb AS (SELECT source_no * 1000000000000 + pos AS uid, source_no, pos, speaker_id,
-              {S.normalize_text_b('text')} AS text, duration FROM u),
-k AS (SELECT * FROM nb WHERE {_reason_sql()} IS NULL),
+WITH {_B_TEXT_SQL},
+k0 AS (SELECT * FROM nb WHERE {_reason_sql()} IS NULL),
+k AS (SELECT k0.*, c.y AS signal FROM k0 JOIN ({_chain_b_sql('SELECT CAST(uid AS VARCHAR) AS speaker_id, 0 AS clip_no, x FROM k0', EVENT_RATE)}) c
+      ON c.speaker_id = CAST(uid AS VARCHAR) WHERE len(c.y) >= {_MIN_B}),
 enc AS ({_encoded_sql('k', 'uid', 'conversations')}),
-s AS (SELECT k.uid, k.source_no, k.pos, enc.input_ids, {_split_side_sql('k.uid', 42, 0.15)} AS split
+s AS (SELECT k.uid, k.source_no, k.pos, enc.input_ids, signal, {S.l2_normalize('vector')} AS speaker_embedding,
+             {_split_side_sql('k.uid', 42, 0.15)} AS split
       FROM k JOIN enc ON k.uid = enc.uid WHERE len(enc.input_ids) <= 250 AND len(enc.input_ids) < 300),
-{_pad_sql('s', 'source_no, pos', 1, 'uid')}"""
+{_pad_sql('s', 'source_no, pos', 1, 'uid, signal, speaker_embedding')}"""
+
+
+def _run_b(spark, sf_dir, **more):
+    return B.run(spark, _voiced_sources(spark, sf_dir), SP.char_vocab(_conv_text(spark, sf_dir)), "uid",
+                 signal=_SIGNAL_B, **more)
 
 
 @register("pipeline_enhanced", _PIPELINE_B_SQL)
 def q_pipeline_b(spark, sf_dir):
-    """Entry 2 end to end (rows-only check; each step has its own SQL check)."""
-    res = B.run(spark, _b_sources_uid(sf_dir), SP.char_vocab(_conv_text(spark, sf_dir)), "uid", labels=_frames())
-    return res.batches.select("uid", "split", "batch_no", "batch_pos", "input_ids", "labels")
-
-
-@register("pipeline_enhanced_funnel", f"""
-WITH u AS (SELECT {S.normalize_text_b('text')} AS text, length(text) / 15.0::DOUBLE AS duration FROM documents
-           UNION ALL SELECT {S.normalize_text_b('text')}, length(text) / 15.0::DOUBLE FROM conversations)
-SELECT * FROM (VALUES
- (0, 'input', (SELECT count(*) FROM u)),
- (1, 'text_length', (SELECT count(*) FROM u WHERE length(text) BETWEEN 10 AND 300)),
- (2, 'duration', (SELECT count(*) FROM u WHERE length(text) BETWEEN 10 AND 300 AND coalesce(duration BETWEEN 1.0 AND 10.0, false))),
- (3, 'not_blank', (SELECT count(*) FROM u WHERE length(text) BETWEEN 10 AND 300 AND coalesce(duration BETWEEN 1.0 AND 10.0, false) AND trim(text) <> '')),
- (4, 'special_chars', (SELECT count(*) FROM u WHERE {_reason_sql()} IS NULL))) AS t(stage_no, stage, n_rows)""")
+    """Entry 2 end to end, signals cleaned, through stages."""
+    res = _run_b(spark, sf_dir, labels=_frames(), vector_col="vector", stage_root=_scratch(spark, "enhanced"))
+    return res.batches.select("uid", "split", "batch_no", "batch_pos", "input_ids", "labels", "signal",
+                              "speaker_embedding")
+
+
+def _funnel_b_sql(conditions: list[tuple[str, str]], source: str) -> str:
+    rows = [f"(0, 'input', (SELECT count(*) FROM {source}))"]
+    for i, (name, _) in enumerate(conditions, start=1):
+        where = " AND ".join(f"coalesce({c}, false)" for _, c in conditions[:i])
+        rows.append(f"({i}, '{name}', (SELECT count(*) FROM {source} WHERE {where}))")
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(stage_no, stage, n_rows)"
+
+
+@register("pipeline_enhanced_funnel",
+          f"WITH {_B_TEXT_SQL} " + _funnel_b_sql([*_FUNNEL_B, ("special_chars", f"{_reason_sql()} IS NULL")], "nb"))
 def q_pipeline_b_funnel(spark, sf_dir):
-    res = B.run(spark, _b_sources_uid(sf_dir), SP.char_vocab(_conv_text(spark, sf_dir)), "uid",
-                with_batches=False)
-    return res.funnel
+    return _run_b(spark, sf_dir, with_batches=False).funnel
+
+
+@register("pipeline_enhanced_rejects", f"""
+WITH {_B_TEXT_SQL},
+k0 AS (SELECT *, {_reason_sql()} AS reason FROM nb)
+SELECT uid, reason AS reject_reason FROM k0 WHERE reason IS NOT NULL
+UNION ALL
+SELECT uid, CASE WHEN c.y IS NULL THEN 'no_result' ELSE 'too_short' END FROM k0
+JOIN ({_chain_b_sql('SELECT CAST(uid AS VARCHAR) AS speaker_id, 0 AS clip_no, x FROM k0 WHERE reason IS NULL', EVENT_RATE)}) c
+ON c.speaker_id = CAST(uid AS VARCHAR) WHERE c.y IS NULL OR len(c.y) < {_MIN_B}""")
+def q_pipeline_b_rejects(spark, sf_dir):
+    return _run_b(spark, sf_dir, with_batches=False).rejects
 
 
 _PIPELINE_A_SQL = f"""
@@ -795,51 +845,52 @@ def q_pipeline_a_report(spark, sf_dir):
     a = res.vocab_sizes
     b = res.speaker_summary.select("n_speakers")
     c = res.kept_summary.select(F.col("n_rows").alias("kept_rows"))
-    # three one-row aggregates side by side, without a cross join
-    rows = a.select(F.lit(0).alias("_k"), "*").join(b.select(F.lit(0).alias("_k"), "*"), "_k") \
-            .join(c.select(F.lit(0).alias("_k"), "*"), "_k").drop("_k")
-    return rows
+    return a.crossJoin(b).crossJoin(c)  # one row each
+
+
+#: the voices pipeline's rate on the proxy signals, at the reference's ratio
+RATE_C_PROXY = 11
+_SIGNAL_C = C.SignalSpec("x", EVENT_RATE, RATE_C_PROXY, N.HIGHPASS_C / N.RATE_C * RATE_C_PROXY)
 
 
 @register("pipeline_voices", f"""
-WITH u AS (SELECT text, role AS speaker_id, length(text) / 15.0::DOUBLE AS duration, 0 AS source_no,
-                  row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations
-           UNION ALL SELECT text, lang, length(text) / 15.0::DOUBLE, 1, doc_id FROM documents),
-p AS (SELECT {S.normalize_text_c('text')} AS text, speaker_id, duration, source_no, pos FROM u),
-f AS (SELECT * FROM p WHERE length(text) BETWEEN 10 AND 200 AND duration BETWEEN 2.0 AND 15.0),
+WITH {VOICED_SQL},
+t AS (SELECT * FROM (SELECT uid, {S.normalize_text_c('text')} AS text, speaker_id, source_no, pos, x FROM u)
+      WHERE length(text) BETWEEN 10 AND 200),
+p AS (SELECT t.* EXCLUDE (x), c.y AS signal, len(c.y) / {RATE_C_PROXY}::DOUBLE AS duration FROM t JOIN (
+      {_chain_c_sql(f"SELECT CAST(uid AS VARCHAR) AS speaker_id, 0 AS clip_no, {S.resample('x', EVENT_RATE, RATE_C_PROXY)} AS x FROM t", RATE_C_PROXY, _SIGNAL_C.fc)}) c
+      ON c.speaker_id = CAST(uid AS VARCHAR)),
+f AS (SELECT * FROM p WHERE duration BETWEEN 2.0 AND 15.0),
 g AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM (SELECT speaker_id FROM f GROUP BY speaker_id HAVING count(*) >= 5) k
       WHERE k.speaker_id IS NOT DISTINCT FROM f.speaker_id)),
 tot AS (SELECT speaker_id, sum(duration) AS total_duration FROM g GROUP BY speaker_id),
 r AS (SELECT g.*, row_number() OVER (PARTITION BY speaker_id ORDER BY length(text) * duration DESC, source_no, pos) AS clip_rank FROM g)
-SELECT r.speaker_id, CAST(clip_rank AS BIGINT) AS clip_rank, text, duration, round(total_duration, 6) AS total_duration
-FROM r JOIN tot ON r.speaker_id IS NOT DISTINCT FROM tot.speaker_id WHERE clip_rank <= 5""")
+SELECT r.speaker_id, CAST(clip_rank - 1 AS INTEGER) AS clip_no, text, duration, signal, {RATE_C_PROXY} AS sample_rate
+FROM r WHERE clip_rank <= 5""")
 def q_pipeline_c(spark, sf_dir):
-    specs = [SC.SourceSpec(px.table_path(sf_dir, "conversations"), rename={"role": "speaker_id"},
-                           keep=["text", "speaker_id", "duration"], prepare=_with_raw_duration),
-             SC.SourceSpec(px.table_path(sf_dir, "documents"), rename={"lang": "speaker_id"},
-                           keep=["text", "speaker_id", "duration"], prepare=_with_raw_duration)]
-    res = C.run(spark, specs, export_path=_scratch(spark, "voices"))
-    return res.conditioning.select("speaker_id", "clip_rank", "text", "duration",
-                                   F.round("total_duration", 6).alias("total_duration"))
+    """Entry 3 end to end, signals resampled and cleaned; the rows are read
+    back from the per-speaker export."""
+    path = _scratch(spark, "voices")
+    C.run(spark, _voiced_sources(spark, sf_dir), export_path=path, signal=_SIGNAL_C,
+          stage_root=_scratch(spark, "voices-stages"))
+    return EX.read_voices(spark, path).select("speaker_id", "clip_no", "text", "duration", "signal", "sample_rate")
 
 
 @register("signal_prepare", f"""
-SELECT speaker_id, clip_no, prep_c,
-  CASE WHEN prep_c IS NULL THEN 'no_result' WHEN NOT (len(prep_c) / {EVENT_RATE}::DOUBLE BETWEEN 2.0 AND 15.0) THEN 'duration' END AS reason_c,
-  CASE WHEN NOT (len(prep_b) >= {N.MIN_SAMPLES_B * EVENT_RATE // N.RATE_B}) THEN 'too_short' END AS reason_b
-FROM (SELECT speaker_id, clip_no, {_chain_c_sql('x', EVENT_RATE)} AS prep_c, {_chain_b_sql('x', EVENT_RATE)} AS prep_b
-      FROM ({_clips_sql()}))""")
+SELECT speaker_id, clip_no, c.y AS prep_c,
+  CASE WHEN c.y IS NULL THEN 'no_result' WHEN NOT (len(c.y) / {EVENT_RATE}::DOUBLE BETWEEN 2.0 AND 15.0) THEN 'duration' END AS reason_c,
+  CASE WHEN b.y IS NULL THEN 'no_result' WHEN NOT (len(b.y) >= {_MIN_B}) THEN 'too_short' END AS reason_b
+FROM ({_chain_b_sql(_clips_sql(), EVENT_RATE)}) b JOIN ({_chain_c_sql(_clips_sql(), EVENT_RATE)}) c
+USING (speaker_id, clip_no)""")
 def q_signal_prepare(spark, sf_dir):
-    """Clean both ways (high-pass off), then the reject reasons: C
-    drops a null result or a duration outside 2..15 s; B needs 0.5 s."""
-    c = N.with_clean_signal_c(_clips(spark, sf_dir), "x", "_prep_c", EVENT_RATE, filtered=False)
-    c = N.with_clean_signal_b(c, "x", "_prep_b", EVENT_RATE, filtered=False)
-    marked = Q.prepare_or_reject(c, F.col("_prep_c"), [
+    """Clean both ways, then the reject reasons: C drops a null
+    result or a duration outside 2..15 s; B needs 0.5 s."""
+    c = _clean_both(spark, sf_dir)
+    c = Q.prepare_or_reject(c, F.col("clean_b"), [(~P.min_samples("prep_b", _MIN_B), "too_short")], out_col="prep_b") \
+        .withColumnRenamed("reject_reason", "reason_b")
+    c = Q.prepare_or_reject(c, F.col("clean_c"), [
         (~P.duration_between(N.duration("prep_c", EVENT_RATE), 2.0, 15.0), "duration")], out_col="prep_c")
-    prep_b = F.col("_prep_b")
-    min_b = N.MIN_SAMPLES_B * EVENT_RATE // N.RATE_B
-    return marked.select("speaker_id", "clip_no", "prep_c", F.col("reject_reason").alias("reason_c"),
-                         F.when(~P.min_samples(prep_b, min_b), F.lit("too_short")).alias("reason_b"))
+    return c.select("speaker_id", "clip_no", "prep_c", F.col("reject_reason").alias("reason_c"), "reason_b")
 
 
 @register("voice_conditioning_nested", f"""

@@ -115,13 +115,13 @@ def min_len_or_null(x: str, n: int) -> str:
 
 
 def resample(x: str, r_in: int, r_out: int) -> str:
-    step = r_in / r_out
     n = f"len({x})"
     m = f"CAST(floor({n} * {r_out} / {r_in}) AS INTEGER)"
-    k = f"CAST(floor(i * {step!r}) AS INTEGER)"
+    k = f"CAST((i * {r_in}) // {r_out} AS INTEGER)"
     a = f"{x}[least({k} + 1, {n})]"
     b = f"{x}[least({k} + 2, {n})]"
-    return f"list_transform(range(0, {m}), lambda i: {a} + (i * {step!r} - {k}) * ({b} - {a}))"
+    frac = f"CAST((i * {r_in}) % {r_out} AS DOUBLE) / {r_out}::DOUBLE"
+    return f"list_transform(range(0, {m}), lambda i: {a} + {frac} * ({b} - {a}))"
 
 
 def l2_normalize(v: str) -> str:
@@ -134,3 +134,37 @@ def downmix(xs: str) -> str:
     n = f"len({xs}[1])"
     return (f"CASE WHEN len({xs}) = 0 OR {n} = 0 THEN []::DOUBLE[] ELSE list_transform(range(1, {n} + 1), "
             f"lambda i: list_reduce(list_transform({xs}, lambda ch: ch[i]), lambda a, b: a + b, 0.0::DOUBLE) / len({xs})) END")
+
+
+def not_blank(t: str) -> str:
+    return f"regexp_matches({t}, '[^{T.WHITESPACE}]')"
+
+
+def highpass_samples(clips: str, fc: float, fs: float) -> str:
+    """(speaker_id, clip_no, i, y) for each sample of the clips (speaker_id,
+    clip_no, x) after a 4th-order Butterworth high-pass from rest: two
+    second-order sections run as a recursive query, rounded to single
+    precision like the column function."""
+    def section(angle: str) -> str:
+        k, q = f"tan(pi() * {fc!r}::DOUBLE / {fs!r}::DOUBLE)", f"(2 * cos({angle}))"
+        d = f"(1 + {k} * {q} + {k} * {k})"
+        return f"1 / {d} AS b, 2 * ({k} * {k} - 1) / {d} AS a1, (1 - {k} * {q} + {k} * {k}) / {d} AS a2"
+    return f"""(WITH RECURSIVE clips AS ({clips}),
+p AS (SELECT {section('pi() / 8')}), q AS (SELECT {section('3 * pi() / 8')}),
+step AS (
+  SELECT speaker_id, clip_no, x, 1 AS i, x[1]::DOUBLE AS u, 0::DOUBLE AS u1, p.b * x[1] AS v, 0::DOUBLE AS v1,
+         q.b * p.b * x[1] AS w, 0::DOUBLE AS w1 FROM clips, p, q WHERE len(x) > 0
+  UNION ALL
+  SELECT speaker_id, clip_no, x, i + 1, x[i + 1], u,
+         p.b * (x[i + 1] - 2 * u + u1) - p.a1 * v - p.a2 * v1, v,
+         q.b * (p.b * (x[i + 1] - 2 * u + u1) - p.a1 * v - p.a2 * v1 - 2 * v + v1) - q.a1 * w - q.a2 * w1, w
+  FROM step, p, q WHERE i < len(x))
+SELECT speaker_id, clip_no, i, CAST(CAST(w AS FLOAT) AS DOUBLE) AS y FROM step)"""
+
+
+def highpass_clips(clips: str, fc: float, fs: float) -> str:
+    """(speaker_id, clip_no, y) with the filtered samples as a list; clips
+    without samples stay empty, null clips null."""
+    return (f"(SELECT c.speaker_id, c.clip_no, CASE WHEN c.x IS NULL THEN NULL ELSE coalesce(h.y, []::DOUBLE[]) END AS y"
+            f" FROM ({clips}) c LEFT JOIN (SELECT speaker_id, clip_no, list(y ORDER BY i) AS y FROM"
+            f" {highpass_samples(clips, fc, fs)} GROUP BY ALL) h USING (speaker_id, clip_no))")

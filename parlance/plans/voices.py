@@ -2,23 +2,35 @@
 keep speakers with enough clips, rank clips per speaker, export.
 
     sources -> normalise text (T11) -> length 10..200 (F1)
-            -> clean signal (N8 C) -> duration 2..15 s (F2)
+            -> resample (N9) -> clean signal (N8 C, N7) -> rejects (F9)
+            -> duration of the cleaned signal 2..15 s (F2)
             -> default speaker (P4) -> record (P6)
             -> gate: >= 100 clips (G11)
             -> speakers with >= 5 clips (G7) -> rank (W1) / top 5 (W2)
             -> totals (G8) -> voice table (G9) -> gate: >= 5 speakers (G11)
             -> per-speaker export (S5); first 3 speakers (W3)
+
+Only rows that pass the text tests have their signals touched. A corpus
+without signals uses its ``duration`` column instead, and is filtered by it
+before anything is normalised.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import signal as N
 from ..functions.predicates import duration_between, text_len_between
 from ..functions.text import normalize_text_c
 from ..operators import speakers as spk
+from ..operators.quality import prepare_or_reject, split_rejects
 from ..session import stable
+from ..sources.corpus import SourceSpec, default_speaker, load_sources
+from ..sources.export import write_voices
+from ..sources.stages import stage
 
 TEXT_MIN, TEXT_MAX = 10, 200
 DURATION_MIN, DURATION_MAX = 2.0, 15.0
@@ -26,33 +38,58 @@ MIN_CLIPS = 5
 TOP_K = 5
 
 
-def prepare_text(df: DataFrame, text_col: str = "text", duration_col: str = "duration",
-                 materialize: bool = True) -> DataFrame:
-    """Text half of the voices preparation: normalise, then the text-length
-    and duration tests (the duration here is whatever ``duration_col``
-    holds; with signals it is the processed signal's).
-
-    The normalised rows are checkpointed before the filter (the reference
-    caches this stage too): otherwise Catalyst pushes the length test, with
-    the whole normaliser inside, below the scan's spread and evaluates it
-    once per comparison, and every later branch would normalise again."""
-    out = df.withColumn(text_col, normalize_text_c(text_col))
-    if materialize:
-        out = stable(out)
-    return out.where(text_len_between(text_col, TEXT_MIN, TEXT_MAX)
-                     & duration_between(duration_col, DURATION_MIN, DURATION_MAX))
-
-
-def conditioning_clips(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN_CLIPS) -> DataFrame:
+def prepare_text(df: DataFrame, text_col: str = "text", duration_col: str = "duration") -> DataFrame:
+    """Text half of the voices preparation: the duration test, which does
+    not look at the text, then the normaliser on what is left, then the
+    length test. The kept rows are checkpointed (the reference caches this
+    stage too), so that later branches do not normalise again; the length is
+    tested on a column of its own, so that Catalyst does not push the
+    normaliser into the filter as well."""
+    kept = df.where(duration_between(duration_col, DURATION_MIN, DURATION_MAX))
+    kept = kept.withColumn(text_col, normalize_text_c(text_col))
+    return stable(kept.where(text_len_between(text_col, TEXT_MIN, TEXT_MAX)))
+
+
+@dataclass(frozen=True)
+class SignalSpec:
+    """Where a corpus has its signal, and how to clean it: the column, its
+    rate, the rate to clean at, and the cut-off of the high-pass filter."""
+    column: str
+    rate_in: int
+    rate: int = N.RATE_C
+    fc: float = N.HIGHPASS_C
+
+
+def prepare_signals(df: DataFrame, signal: SignalSpec, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(prepared rows, rejects with ``reject_reason``). Prepared rows carry
+    ``signal``, ``sample_rate`` and the ``duration`` of the cleaned signal,
+    which score and totals use. A null signal, one with a null or non-finite
+    sample, and one that is too short after cleaning are "no_result"."""
+    texts = df.withColumn(text_col, normalize_text_c(text_col)) \
+              .where(text_len_between(text_col, TEXT_MIN, TEXT_MAX))
+    clean = texts.withColumn("_resampled", N.resample(signal.column, signal.rate_in, signal.rate))
+    clean = N.with_clean_signal_c(clean, "_resampled", "_clean", signal.rate, fc=signal.fc)
+    clean = prepare_or_reject(clean.drop("_resampled", signal.column), F.col("_clean"), [
+        (~duration_between(N.duration("_clean", signal.rate), DURATION_MIN, DURATION_MAX), "duration")], "signal")
+    kept, rejects = split_rejects(stable(clean.drop("_clean")))
+    kept = kept.withColumn("duration", N.duration("signal", signal.rate)) \
+               .withColumn("sample_rate", F.lit(signal.rate)).drop("reject_reason")
+    return kept, rejects.drop("signal")
+
+
+def conditioning_clips(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN_CLIPS,
+                       fields: tuple[str, ...] = ("text", "duration")) -> DataFrame:
     """Flagship result: for every speaker with at least ``min_clips`` clips,
     its best ``k`` clips (score = length x duration, ties in source order)
-    with the speaker's total duration over all its clips."""
-    good = spk.min_rows_per_speaker(prepared, min_clips)
-    top = spk.top_clips(good, k)
-    totals = spk.total_duration(good).withColumnRenamed("speaker_id", "_t_spk")
-    out = top.join(totals, top["speaker_id"].eqNullSafe(totals["_t_spk"]), "inner").drop("_t_spk")
-    return out.select("speaker_id", "clip_rank", "text", "duration", "total_duration",
-                      "source_no", "pos")
+    with the speaker's total duration over all its clips. One aggregation
+    gives count and total of every speaker; the at most k clips of each meet
+    it, so the corpus itself is not joined to anything."""
+    stats = prepared.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("_n"),
+                                               F.sum("duration").alias("total_duration"))
+    stats = stats.where(F.col("_n") >= min_clips).drop("_n").withColumnRenamed("speaker_id", "_t_spk")
+    top = spk.top_clips(prepared, k)
+    out = top.join(stats, top["speaker_id"].eqNullSafe(stats["_t_spk"]), "inner").drop("_t_spk")
+    return out.select("speaker_id", "clip_rank", *fields, "total_duration", "source_no", "pos")
 
 
 def voice_table(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN_CLIPS) -> DataFrame:
@@ -62,32 +99,25 @@ def voice_table(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN_CLIPS)
     return spk.voice_table(good, k)
 
 
-def gates(prepared: DataFrame, voices: DataFrame, min_samples: int = 100,
-          min_speakers: int = 5) -> DataFrame:
+def gates(prepared: DataFrame, min_samples: int = 100, min_speakers: int = 5,
+          min_clips: int = MIN_CLIPS) -> DataFrame:
     """The two warnings of the voices pipeline as rows
-    (check, value, threshold, ok), computed as aggregates."""
-    a = prepared.agg(F.count(F.lit(1)).alias("value")).select(
-        F.lit("samples").alias("check"), "value", F.lit(min_samples).cast("long").alias("threshold"))
-    b = voices.agg(F.count_distinct("speaker_id").alias("nd"),
-                   F.max(F.col("speaker_id").isNull().cast("long")).alias("nn")) \
-        .select(F.lit("speakers").alias("check"),
-                (F.col("nd") + F.coalesce(F.col("nn"), F.lit(0))).alias("value"),
-                F.lit(min_speakers).cast("long").alias("threshold"))
-    return a.unionByName(b).withColumn("ok", F.col("value") >= F.col("threshold"))
+    (check, value, threshold, ok), from the clip counts of the speakers."""
+    counts = spk.speaker_counts(prepared)
+    wide = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"),
+                      F.count_if(F.col("n") >= min_clips).alias("speakers"))
+    out = wide.selectExpr(f"stack(2, 'samples', samples, {min_samples}L, 'speakers', speakers, {min_speakers}L)"
+                          " AS (check, value, threshold)")
+    return out.withColumn("ok", F.col("value") >= F.col("threshold"))
 
 
 # --- end to end ---------------------------------------------------------------
 
-from dataclasses import dataclass  # noqa: E402
-
-from ..sources.corpus import SourceSpec, default_speaker, load_sources  # noqa: E402
-from ..sources.export import write_voices  # noqa: E402
-
-
 @dataclass
 class VoicesResult:
     skipped: list
     prepared: DataFrame
+    rejects: DataFrame | None
     voices: DataFrame
     conditioning: DataFrame
     gates: DataFrame
@@ -95,15 +125,27 @@ class VoicesResult:
 
 
 def run(spark, specs: list[SourceSpec], export_path: str | None = None, k: int = TOP_K,
-        min_clips: int = MIN_CLIPS) -> VoicesResult:
+        min_clips: int = MIN_CLIPS, signal: SignalSpec | None = None, stage_root: str | None = None,
+        force: bool = False) -> VoicesResult:
     """Sources -> prepared clips -> ranked voice table -> export. Raises when
-    no source loads (the voices pipeline has no fallback)."""
+    no source loads (the voices pipeline has no fallback). With
+    ``stage_root`` the prepared clips are a stage there (S4), reused by later
+    runs with the same sources and parameters unless ``force``d."""
     corpus, skipped = load_sources(spark, specs)
-    prepared = default_speaker(prepare_text(corpus))
-    good = spk.min_rows_per_speaker(prepared, min_clips)
-    voices = spk.voice_table(good, k)
-    conditioning = voices.where(F.col("is_conditioning"))
+    rejects = None
+    if signal is None:
+        prepared = prepare_text(corpus)
+    else:
+        prepared, rejects = prepare_signals(corpus, signal)
+    prepared = default_speaker(prepared)
+    if stage_root is not None:
+        params = {"sources": [s.path for s in specs], "signal": signal, "text": [TEXT_MIN, TEXT_MAX],
+                  "duration": [DURATION_MIN, DURATION_MAX]}
+        prepared = stage(spark, "voices-prepared", lambda: prepared, stage_root, params, force=force).df
+    fields = ("text", "duration") + (("signal", "sample_rate") if signal is not None else ())
+    conditioning = conditioning_clips(prepared, k, min_clips, fields)
     if export_path is not None:
-        write_voices(conditioning, export_path, fields=("text", "duration"))
-    return VoicesResult(skipped, prepared, voices, conditioning, gates(prepared, voices),
-                        spk.first_speakers(good, 3))
+        write_voices(conditioning, export_path, fields=fields)
+    good = spk.min_rows_per_speaker(prepared, min_clips)
+    return VoicesResult(skipped, prepared, rejects, spk.voice_table(good, k), conditioning,
+                        gates(prepared, min_clips=min_clips), spk.first_speakers(good, 3))

@@ -21,6 +21,8 @@ _DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Signals can be wide rows; keep Arrow batches small (see functions.signal).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    # a checkpoint's files go when no frame reads them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -44,8 +46,10 @@ def get_spark(master: str | None = None, app: str = "parlance",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Point the context at ``spark.checkpoint.dir``; set a scratch one only
-    when the session has none (tests, local bench)."""
+    """Point the context at ``spark.checkpoint.dir``. A scratch folder is set
+    only on a local master that has none (tests, local bench); on a cluster
+    its files would lie where other machines do not see them, so there a
+    missing setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -53,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="parlance-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -67,6 +73,3 @@ def stable(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -15,17 +15,14 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 log = logging.getLogger(__name__)
 
-#: file-offset tables for up to this many files are broadcast (one short
-#: row per file); larger listings are joined by shuffle.
-BROADCAST_FILES = 500_000
-
 
 def _cores(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
@@ -80,8 +77,6 @@ def with_source_position(raw: DataFrame, name: str = "pos") -> DataFrame:
     before = Window.orderBy("_src_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("_src_file",
                            F.coalesce(F.sum("_src_n").over(before), F.lit(0)).alias("_src_off"))
-    if n_files <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return (df.join(offsets, "_src_file")
               .withColumn(name, F.col("_src_off") + F.col("_src_row"))
               .drop("_src_file", "_src_row", "_src_off"))
@@ -93,6 +88,23 @@ def head(df: DataFrame, n: int, pos_col: str = "pos") -> DataFrame:
     return df.where(F.col(pos_col) < F.lit(n))
 
 
+def read_head(spark: SparkSession, path: str | Sequence[str], n: int, schema: StructType | str | None = None,
+              source_no: int = 0) -> DataFrame:
+    """S1 and S2 together: the first ``n`` rows of a split. Rows are first
+    counted by file, which reads no column; of several files only those that
+    begin before row ``n`` are opened (they are the first in path order, so
+    positions stay the same)."""
+    raw = read_table(spark, path, schema, spread_out=False)
+    if len(raw.inputFiles()) > 1:
+        files = raw.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+        needed = files.select("f", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b")) \
+            .where(F.col("b") < n).orderBy("f").collect()
+        if needed:
+            path = [r["f"] for r in needed]
+    return head(read_corpus(spark, path, schema, source_no), n)
+
+
 def rename(df: DataFrame, mapping: dict[str, str], if_exists: bool = True) -> DataFrame:
     """Rename columns; with ``if_exists=False`` a missing name raises."""
     if not if_exists:
@@ -119,10 +131,17 @@ def default_speaker(df: DataFrame, speaker_col: str = "speaker_id", pos_col: str
 
 def concat_sources(dfs: Sequence[DataFrame]) -> DataFrame:
     """Concatenate sources by column name; duplicates kept, missing
-    columns null-filled, clashing types rejected by Spark's analyser.
+    columns null-filled. A column whose type differs between sources raises
+    (Spark alone would cast one side and fail later, or lose values).
     Source order is ``(source_no, pos)``."""
     if not dfs:
         raise ValueError("no sources")
+    types: dict[str, str] = {}
+    for d in dfs:
+        for f in d.schema.fields:
+            kind = f.dataType.simpleString()
+            if types.setdefault(f.name, kind) != kind:
+                raise TypeError(f"column {f.name}: {types[f.name]} in one source, {kind} in another")
     out = dfs[0]
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
@@ -142,35 +161,42 @@ class SourceSpec:
 
 def load_sources(spark: SparkSession, specs: Sequence[SourceSpec],
                  fallback: SourceSpec | None = None) -> tuple[DataFrame, list[str]]:
-    """S3: load each source; one that fails to resolve is skipped and
-    reported. When none loads, the fallback source is read in full (the
-    enhanced pipeline) or, without one, an error is raised (voices pipeline).
+    """S3: load each source; one that cannot be read (missing, or not what
+    it claims to be) is skipped and reported. When none loads, the fallback
+    source is read in full (the enhanced pipeline) or, without one, an error
+    is raised (voices pipeline). Errors in adapting a source that was read
+    are errors of the caller and are raised.
 
     Returns the union and the list of skipped sources with their error."""
     frames, skipped = [], []
     for i, spec in enumerate(specs):
         try:
-            frames.append(_load_one(spark, spec, i))
-        except (AnalysisException, KeyError, ValueError) as exc:  # unreadable source
+            raw = _read_one(spark, spec, i)
+        except (PySparkException, Py4JJavaError) as exc:  # whatever the reader raises
             log.warning("source %s skipped: %s", spec.path, exc)
             skipped.append(f"{spec.path}: {type(exc).__name__}")
+            continue
+        frames.append(_adapt(raw, spec))
     if frames:
         return concat_sources(frames), skipped
     if fallback is None:
         raise RuntimeError("no source could be loaded")
     full = SourceSpec(fallback.path, fallback.rename, fallback.keep, None,
                       fallback.schema, fallback.prepare)
-    return _load_one(spark, full, 0), skipped
+    return _adapt(_read_one(spark, full, 0), full), skipped
 
 
-def _load_one(spark: SparkSession, spec: SourceSpec, source_no: int) -> DataFrame:
-    df = read_corpus(spark, spec.path, spec.schema, source_no)
-    df.schema  # resolve now: a missing path or bad schema fails here, not later
+def _read_one(spark: SparkSession, spec: SourceSpec, source_no: int) -> DataFrame:
+    """Resolve a source and read one row of it, so that a missing path, a
+    bad schema or files of another format fail here and not later."""
+    df = read_corpus(spark, spec.path, spec.schema, source_no) if spec.head is None else \
+        read_head(spark, spec.path, spec.head, spec.schema, source_no)
+    read_table(spark, spec.path, spec.schema, spread_out=False).limit(1).collect()
+    return df
+
+
+def _adapt(df: DataFrame, spec: SourceSpec) -> DataFrame:
     if spec.prepare is not None:
         df = spec.prepare(df)
     df = rename(df, spec.rename)
-    if spec.keep is not None:
-        df = keep(df, spec.keep)
-    if spec.head is not None:
-        df = head(df, spec.head)
-    return df
+    return df if spec.keep is None else keep(df, spec.keep)

@@ -22,6 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: marks a folder as a stage; Spark's readers skip names with an underscore
+MARKER = "_PARLANCE_STAGE"
+
+
 @dataclass
 class Stage:
     name: str
@@ -61,17 +65,20 @@ def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame], root:
         except Exception:  # noqa: BLE001 - any read failure is a miss
             pass
     build().write.mode("overwrite").parquet(path)
+    fs, marker = _fs(spark, f"{path}/{MARKER}")
+    fs.create(marker, True).close()
     return Stage(name, key, path, False, spark.read.parquet(path))
 
 
 def clear_stages(spark: SparkSession, root: str) -> list[str]:
-    """Delete every stage folder under ``root``; return what was removed."""
+    """Delete the folders under ``root`` that :func:`stage` made (they carry
+    its marker file) and no others; return what was removed."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
     removed = []
     for st in fs.listStatus(p):
-        if st.isDirectory():
+        if st.isDirectory() and _exists(spark, f"{st.getPath()}/{MARKER}"):
             fs.delete(st.getPath(), True)
             removed.append(str(st.getPath()))
     return removed

@@ -11,22 +11,19 @@ over the accumulated output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.text import normalize_text_b, normalize_text_c
 from ..operators.quality import with_reject_reason
-from ..sources.proxies import CHARS_PER_SECOND
 
 
-def prepare_stream(stream: DataFrame, normalizer: str = "b", text_col: str = "text") -> DataFrame:
-    """Row-local preparation of a streaming (or batch) frame: duration from
-    the raw text, normalised text, and the enhanced filter's reject reason."""
+def prepare_stream(stream: DataFrame, normalizer: str = "b", text_col: str = "text",
+                   duration_col: str = "duration") -> DataFrame:
+    """Row-local preparation of a streaming (or batch) frame with a duration
+    column: normalised text, and the enhanced filter's reject reason."""
     norm = normalize_text_b if normalizer == "b" else normalize_text_c
-    out = stream.withColumn("duration", F.length(F.col(text_col)) / F.lit(CHARS_PER_SECOND))
-    out = out.withColumn(text_col, norm(text_col))
-    return with_reject_reason(out, text_col, "duration")
+    return with_reject_reason(stream.withColumn(text_col, norm(text_col)), text_col, duration_col)
 
 
 def start_ingest(spark: SparkSession, source_glob: str, schema: StructType | str, sink_dir: str,

@@ -116,4 +116,7 @@ def test_hot_key_is_spread_over_partitions(spark):
     ranged = df.repartitionByRange(8, *sort).withColumn("p", F.spark_partition_id())
     parts = {r["p"] for r in ranged.where(F.col("k") == "hot").select("p").distinct().collect()}
     assert len(parts) >= 2
-    assert ordinal.target_partitions(df) >= 4
+    cores = spark.sparkContext.defaultParallelism
+    assert ordinal.target_partitions(df) == cores
+    big = spark.range(10**12)  # its estimate is 8 TB; nothing is computed
+    assert ordinal.target_partitions(big) == -(-8 * 10**12 // ordinal.TARGET_PARTITION_BYTES)

@@ -76,10 +76,19 @@ def test_pad_batches_partition_invariant(spark):
     assert sorted(map(str, a)) == sorted(map(str, b))
 
 
-def test_encode_join_path_equals_inline(spark, monkeypatch):
-    ids = EN.vocab_ids(spark.createDataFrame([("b",), ("a",), ("é",)], "ch string"))
-    df = spark.createDataFrame([(0, "abzé"), (1, ""), (2, None), (3, "ba")], "id int, text string")
-    inline = {r["id"]: list(r["input_ids"]) for r in EN.encode_chars(df, "text", ids).collect()}
-    monkeypatch.setattr(EN, "MAX_INLINE", 0)
-    joined = {r["id"]: list(r["input_ids"]) for r in EN.encode_chars(df, "text", ids, row_key="id").collect()}
-    assert inline == joined == {0: [2, 3, EN.UNK_ID, 4], 1: [], 2: [], 3: [3, 2]}
+def test_encode_large_vocabulary(spark):
+    """30,000 characters, no key: the ids of a Python dict."""
+    chars = [chr(c) for c in range(0x3400, 0x3400 + 30_000)] + ["\U0001f642", "a"]
+    vocab = spark.createDataFrame([(c,) for c in chars], "ch string")
+    ids = {c: i + EN.FIRST_ID for i, c in enumerate(sorted(chars))}
+    texts = ["".join(chars[::997]), "a\U0001f642z", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    for r in EN.encode_chars(df, "text", EN.vocab_ids(vocab)).collect():
+        assert list(r["input_ids"]) == [ids.get(c, EN.UNK_ID) for c in texts[r["id"]] or ""]
+
+
+def test_batches_plan_without_a_join(spark):
+    df = spark.createDataFrame([(i, [1] * (i % 5)) for i in range(40)], "id int, input_ids array<int>")
+    out = KB.pad_batches(df.withColumn("vector", F.array(F.lit(0.5))), 8, ["id"], labels_col=None)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1  # the ordinal's own
+    assert {len(r["input_ids"]) for r in out.collect()} == {4} and "vector" in out.columns

@@ -8,13 +8,15 @@ from conftest import SF_SMALL
 
 
 def test_stream_equals_batch(spark):
-    src = f"{SF_SMALL}/documents*.parquet"
-    schema = spark.read.parquet(f"{SF_SMALL}/documents.parquet").schema
     base = tempfile.mkdtemp(prefix="parlance-stream-")
+    src = f"{base}/in"
+    given = spark.read.parquet(f"{SF_SMALL}/documents.parquet").selectExpr("*", "doc_id % 12 / 1.0D as duration")
+    given.write.parquet(src)
+    schema = given.schema
     q = start_ingest(spark, src, schema, f"{base}/out", f"{base}/ckpt")
     q.awaitTermination(300)
     got = spark.read.parquet(f"{base}/out").select("doc_id", "text", "reject_reason")
-    want = prepare_stream(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).select("doc_id", "text", "reject_reason")
+    want = prepare_stream(given).select("doc_id", "text", "reject_reason")
     assert got.count() == 200
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
     # restart: nothing new, nothing written twice
