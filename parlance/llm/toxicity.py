@@ -35,7 +35,7 @@ GRAM = 6
 # learn; the share of inputs left out at a time; the doubt in a label.
 MIN_TEXTS, SHRINK, TABLE_RATE, DROPOUT, DOUBT = 3, 0.01, 0.05, 0.2, 0.02
 PARTS = 4
-BLOCK = 8192
+BLOCK = 4096
 FOLDS, HELD_OUT = 4, 2
 
 _BREAKS = np.zeros(256, bool)
@@ -59,12 +59,29 @@ class Batch:
     first: np.ndarray
 
 
-def batch_of(texts: list[bytes]) -> Batch:
-    words = words_of(texts, breaks=_BREAKS)
-    hashes, seen, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    gram, gram_first = grams(words, seen)
-    return Batch((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int32), gram, gram_first,
-                 place.astype(np.int32), words.first)
+def batch_of(texts: list[bytes], slice_bytes: int = 2 << 20) -> Batch:
+    """The batch of ``texts``, made from slices of about ``slice_bytes``
+    whose distinct words are then joined; a slice bounds the memory."""
+    parts, at = [], 0
+    while at < len(texts) or not parts:
+        to, held = at, 0
+        while to < len(texts) and held < slice_bytes:
+            held += len(texts[to])
+            to += 1
+        words = words_of(texts[at:to], breaks=_BREAKS)
+        hashes, seen, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        gram, gram_first = grams(words, seen)
+        parts.append((hashes, gram, np.diff(gram_first), place, np.diff(words.first)))
+        at = to
+    hashes, seen, name = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    offset = np.cumsum([0, *(len(p[0]) for p in parts)])
+    place = np.concatenate([name[o + p[3]] for o, p in zip(offset, parts)]).astype(np.int32)
+    gram, number = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    begin, own = (np.cumsum(number) - number)[seen], number[seen]
+    gram_first = np.concatenate(([0], np.cumsum(own)))
+    inside = np.arange(gram_first[-1]) - np.repeat(gram_first[:-1], own)
+    return Batch((hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int32), gram[np.repeat(begin, own) + inside], gram_first,
+                 place, np.concatenate(([0], np.cumsum(np.concatenate([p[4] for p in parts])))))
 
 
 def grams(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,14 +248,34 @@ def steps_of(batch: Batch, begin: np.ndarray, length: np.ndarray) -> tuple[np.nd
 
 # -- training -----------------------------------------------------------------
 
-def log_odds(rows: np.ndarray, owner: np.ndarray, label: np.ndarray,
-             among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(batch: Batch, kind: str) -> np.ndarray:
+    """(text, table row) pairs that occur, each once, as text << TABLE_BITS |
+    row. Some texts at a time, so that only distinct pairs are held."""
+    out = [np.zeros(0, np.int64)]
+    n_texts = len(batch.first) - 1
+    for at in range(0, n_texts, 100):
+        edge = batch.first[at:min(at + 100, n_texts) + 1]
+        text = at + np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        distinct = np.unique(text.astype(np.int64) << 32 | batch.place[edge[0]:edge[-1]])
+        text, word = distinct >> 32, distinct & (2**32 - 1)
+        rows = batch.word[word]
+        if kind == "gram":
+            number = np.diff(batch.gram_first)[word]
+            inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+            rows = batch.gram[np.repeat(batch.gram_first[:-1][word], number) + inside]
+            text = np.repeat(text, number)
+        out.append(np.unique(text << TABLE_BITS | rows))
+    return np.concatenate(out)
+
+
+def log_odds(pairs: np.ndarray, label: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shrunken log-odds of each table row, from the texts it occurs in
-    (``among`` marks those that count at all), and
-    whether it occurs in enough of them to be learnt at all: a row of one or
-    two texts would only name those texts."""
-    pairs = np.unique(owner.astype(np.int64) << TABLE_BITS | rows)
-    rows, toxic = pairs & ((1 << TABLE_BITS) - 1), label[pairs >> TABLE_BITS]
+    (``among`` marks those that count at all), and whether it occurs in
+    enough of them to be learnt at all: a row of one or two texts would only
+    name those texts."""
+    text = pairs >> TABLE_BITS
+    kept = among[text]
+    rows, toxic = (pairs & ((1 << TABLE_BITS) - 1))[kept], label[text[kept]]
     size = 1 << TABLE_BITS
     bad, good = np.bincount(rows[toxic == 1], minlength=size), np.bincount(rows[toxic == 0], minlength=size)
     n_bad, n_good = max(1, label[among].sum()), max(1, (1 - label[among]).sum())
@@ -247,37 +284,32 @@ def log_odds(rows: np.ndarray, owner: np.ndarray, label: np.ndarray,
     return np.where(common, odds, 0), common
 
 
-def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 10, rate: float = 0.01,
+def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 6, updates: int = 150, rate: float = 0.01,
           batch_size: int = 128, seed: int = 9) -> Network:
     """A network for ``texts`` and their 0/1 ``label``; ``share`` is the
     share of label 1 among all rows that may be learnt from. Without both
-    labels the network stays untrained and scores the share."""
+    labels, or any words, the network stays untrained and scores the share."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
     net.prior = float(share)
-    if not 0 < label.sum() < len(label):
+    batch = batch_of(texts)
+    begin, length, text = windows_of(batch.first)
+    if not 0 < label.sum() < len(label) or not len(begin):
         net.weights["out"][:] = 0
         net.shift = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
         return net
     sampled = label.mean()
     net.shift = float(np.log(share / (1 - share) * (1 - sampled) / sampled))
     w = net.weights
-    batch = batch_of(texts)
-    begin, length, text = windows_of(batch.first)
-    owner = np.repeat(np.arange(len(texts)), np.diff(batch.first))
     per_word = np.diff(batch.gram_first)
-    gram_at = np.repeat(batch.gram_first[:-1][batch.place], per_word[batch.place])
-    gram_at += np.arange(len(gram_at)) - np.repeat(
-        np.cumsum(per_word[batch.place]) - per_word[batch.place], per_word[batch.place])
-    rows = {"word": (batch.word[batch.place], owner),
-            "gram": (batch.gram[gram_at], np.repeat(owner, per_word[batch.place]))}
     # The first column of the tables is log-odds. A text must not see its own
     # label in them, so while learning each part of the sample reads those
     # of the other parts.
     part = rng.integers(0, PARTS, len(texts))
-    odds = {k: [log_odds(r[part[o] != f], o[part[o] != f], label, part != f)[0] for f in range(PARTS)]
-            for k, (r, o) in rows.items()}
-    full = {k: log_odds(r, o, label, part >= 0) for k, (r, o) in rows.items()}
+    pairs = {k: occurrences(batch, k) for k in ("word", "gram")}
+    odds = {k: [log_odds(v, label, part != f)[0] for f in range(PARTS)] for k, v in pairs.items()}
+    full = {k: log_odds(v, label, part >= 0) for k, v in pairs.items()}
+    del pairs
     for k, (_, common) in full.items():
         w[k][~common] = 0
 
@@ -301,6 +333,8 @@ def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 10,
     value = each_part(first_value)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     step = 0
+    # A small sample takes more rounds to come to as many updates.
+    epochs = max(epochs, -(-updates * batch_size // (2 * len(texts))))
     for epoch in range(epochs):
         order = np.lexsort((value, text))
         last = np.flatnonzero(np.diff(np.append(text[order], -1)))
