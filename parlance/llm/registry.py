@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the DuckDB SQL of those that
 SQL can express."""
 
+from . import sql as _sql
 from . import bpe, chat, embedding_graph, mixing, ngram_join, quality, secrets, sharding, tokens, toxicity
 
 QUERIES = {
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_source_mixing": mixing.op10,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(_sql.ORACLE)
