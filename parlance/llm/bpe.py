@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import table
 from .tokens import Memo, byte_slices
@@ -205,15 +205,26 @@ def coder(path: str) -> WordBpe:
     return _coders[path]
 
 
+def id_arrays(column: pa.Array, path: str) -> pa.ListArray:
+    packed = [p for part in byte_slices(column) for p in coder(path).encode(part)]
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def id_texts(column: pa.ListArray, path: str) -> pa.Array:
+    decode, ids = coder(path).decode, column.values.to_numpy(zero_copy_only=False)
+    valid = column.is_valid().to_pylist()
+    ends = column.offsets.to_pylist()
+    return pa.array([decode(ids[a:b].tolist()) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
+
+
 def bpe_encode(text: Column, path: str) -> Column:
     """Token ids of a text column, special strings included, nothing added,
     cut or padded. Null and empty texts give an empty array."""
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode(column: pa.Array) -> pa.Array:
-        packed = [p for part in byte_slices(column) for p in coder(path).encode(part)]
-        offsets = np.zeros(len(packed) + 1, np.int32)
-        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        return id_arrays(column, path)
     return encode(text)
 
 
@@ -222,17 +233,27 @@ def bpe_decode(ids: Column, path: str) -> Column:
     vocabulary raises."""
     @F.arrow_udf(StringType())
     def decode(column: pa.Array) -> pa.Array:
-        table = coder(path)
-        return pa.array([table.decode(x.values.to_pylist()) if x.is_valid else None for x in column], pa.string())
+        return id_texts(column, path)
     return decode(ids)
 
 
+def bpe_recode(text: Column, path: str) -> Column:
+    """Struct of the token ids of a text column and the text decoded from
+    them, in one pass (chained, the encoder would run twice)."""
+    kind = StructType([StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+
+    @F.arrow_udf(kind)
+    def recode(column: pa.Array) -> pa.Array:
+        ids = id_arrays(column, path)
+        return pa.StructArray.from_arrays([ids, id_texts(ids, path)], ["token_ids", "decoded"])
+    return recode(text)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (``id_col``, token_ids, decoded) per row of ``docs``; the text
     is decoded from the ids. Repeated rows and null ids come back as they
     are, an empty table gives no rows, other columns are not read."""
-    ids = docs.select(F.col(id_col), bpe_encode(F.col(text_col), path).alias("token_ids"))
-    return ids.withColumn("decoded", bpe_decode(F.col("token_ids"), path))
+    return docs.select(F.col(id_col), bpe_recode(F.col(text_col), path).alias("_both")).select(id_col, "_both.*")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
