@@ -284,7 +284,7 @@ def log_odds(pairs: np.ndarray, label: np.ndarray, among: np.ndarray) -> tuple[n
     return np.where(common, odds, 0), common
 
 
-def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 6, updates: int = 150, rate: float = 0.01,
+def train(texts: list[bytes], label: np.ndarray, share: float, epochs: int = 6, updates: int = 600, rate: float = 0.01,
           batch_size: int = 128, seed: int = 9) -> Network:
     """A network for ``texts`` and their 0/1 ``label``; ``share`` is the
     share of label 1 among all rows that may be learnt from. Without both
