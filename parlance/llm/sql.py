@@ -116,8 +116,8 @@ r0 AS (SELECT cells.*, CAST(tokens AS DOUBLE) AS raked, {", ".join(f"to_{m}" for
 q AS (SELECT *, CASE WHEN tokens > 0 THEN raked / tokens ELSE 0 END AS ratio FROM {last}),
 {", ".join(factors)},
 g AS (SELECT source, lang, topic, ratio * (t / m) AS weight, least(1.0, ratio * f) AS probability FROM q, f{mixing.CAP_ROUNDS})
-SELECT doc_id, w.source, w.lang, w.topic, n_tokens, weight, probability,
-       CAST('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13) AS BIGINT) / {float(16 ** 13)!r} < probability AS selected
+SELECT doc_id, w.source, w.lang, w.topic, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability,
+       CAST('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13) AS BIGINT) / {float(16 ** 13)!r} < g.probability AS selected
 FROM w JOIN g ON w.source IS NOT DISTINCT FROM g.source AND w.lang IS NOT DISTINCT FROM g.lang AND w.topic = g.topic"""
 
 
