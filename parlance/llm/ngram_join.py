@@ -1,15 +1,16 @@
 """Operator 4, the n-gram Jaccard join over count vectors.
 
 A document is the set of its 5-word shingles. The shingles are hashed into
-groups; how many fall into each group makes a point, and the sum over the
-groups of the smaller count bounds what two sets can share. Points are kept
-in R-trees whose boxes give the same bound for all points inside, and only
-pairs that the bound lets through are verified on the sets themselves.
+groups, about as many as the set is large; how many fall into each group
+makes a point, and the sum over the groups of the smaller count bounds what
+two sets can share. Points are kept in R-trees whose boxes give the same
+bound for all points inside, and only pairs that the bound lets through are
+verified on the sets themselves.
 
 An R-tree holds the documents that share one *cell*: a shingle among the
 first ``n - ceil(0.75 n) + 1`` of both in one order of all shingles. Two
 sets that link share such a shingle for any order, so no link is lost; the
-order takes common shingles last, so that cells stay small. Links are
+order takes frequent shingles last, so that cells stay small. Links are
 needed only between documents that are not joined yet, so each document is
 first verified against one document of its cells, and the trees are then
 searched for pairs between different components."""
@@ -30,14 +31,22 @@ from .components import connected_components
 from .tokens import byte_slices
 
 SIZE = 5
-GROUPS = 128
-# Common shingles are marked in a bitmap of this many bits, whatever the
-# input; a mark only moves a shingle to the end of the order.
-HOT_BITS = 24
-HOT_LEAST, HOT_SHARE = 8, 1 / 500
+# A set of n shingles has FINE times the largest power of two of groups up
+# to n, of which a tree takes FINE together; this many at least. A count is
+# a byte.
+FINE, LEAST_GROUPS, MOST_COUNT = 4, 64, 255
+# A group of documents that has more surviving pairs than this for each of
+# them sends the best of them first, enough to join all that may be joined.
+MANY_PAIRS = 4
+# Frequencies are counted by hash prefix in a table of this many bits,
+# whatever the input, and kept as half octaves. They only order shingles.
+COUNT_BITS, BLOCK = 22, 4096
+# Cells of shingles counted this often are dealt out in parts.
+LARGE_CELL = 4096
 # More documents of one cell and size band than this are dealt out as pairs
-# of tiles; a leaf and a node of the tree hold FANOUT entries.
-TILE = 8000
+# of tiles; a node of the tree holds FANOUT entries. A task thins out its
+# pairs when it holds HELD_PAIRS.
+TILE, HELD_PAIRS = 4000, 1 << 20
 FANOUT = 16
 # Sizes of sets that link differ by a factor of 4/3 at most.
 BAND = 1.34
@@ -67,40 +76,84 @@ def set_ids(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix(sums[begin[1:]] - sums[begin[:-1]] + np.diff(begin).astype(np.uint64)).view(np.int64)
 
 
-def hot_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmap positions of the shingles that many texts of a batch hold."""
+def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task fall under each hash prefix, in blocks."""
+    total = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in batches:
-        parts = [shingles(words_of(part), SIZE)[0] for part in byte_slices(batch.column(0))]
-        value, number = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-        common = value[number >= max(HOT_LEAST, batch.num_rows * HOT_SHARE)]
-        at = np.unique(common >> np.uint64(64 - HOT_BITS)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
-
-
-def hot_bitmap(texts: DataFrame) -> np.ndarray:
-    """Which hash prefixes are common, from all texts: at most
-    ``2**HOT_BITS / 64`` numbers reach the driver."""
-    marks = texts.mapInArrow(hot_marks, "at bigint")
-    rows = marks.groupBy(F.expr("at div 64").alias("word")) \
-        .agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).collect()
-    words = np.zeros(1 << (HOT_BITS - 6), np.uint64)
-    for word, bits in rows:
-        words[word] = bits & (2**64 - 1)
-    return words
+        for part in byte_slices(batch.column(0)):
+            at = shingles(words_of(part), SIZE)[0] >> np.uint64(64 - COUNT_BITS)
+            total += np.bincount(at.astype(np.int64), minlength=len(total))
+    rows = total.astype("<i4").reshape(-1, BLOCK)
+    used = np.flatnonzero(rows.any(axis=1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int32()), pa.array([rows[k].tobytes() for k in used], pa.binary())], ["block", "counts"])
+
+
+def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of all tasks, as half octaves."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(counts.as_buffer(), "<i4")
+            total[block] = total.get(block, 0) + own.astype(np.int64)
+    levels = [half_octaves(v).astype(np.uint8).tobytes() for v in total.values()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["block", "levels"])
+
+
+def half_octaves(count):
+    return np.floor(2 * np.log2(np.asarray(count) + 1))
 
 
-def is_hot(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - HOT_BITS)
-    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+def frequency_levels(texts: DataFrame, partitions: int) -> np.ndarray:
+    """The half octave of the count of each hash prefix over all texts:
+    ``2**COUNT_BITS`` bytes, whatever the input."""
+    blocks = texts.mapInArrow(count_blocks, "block int, counts binary").repartition(partitions, "block")
+    out = np.zeros((1 << COUNT_BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
+    for block, levels in blocks.mapInArrow(add_blocks, "block int, levels binary").collect():
+        out[block] = np.frombuffer(bytes(levels), np.uint8)
+    return out.ravel()
+
+
+def level_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[hashes >> np.uint64(64 - COUNT_BITS)]
+
+
+def group_counts(flat: np.ndarray, begin: np.ndarray) -> list[bytes | None]:
+    """Count vector of each set; empty where a count is over a byte, which
+    lets every pair of that set through to verification."""
+    out: list[bytes | None] = []
+    for a, b in zip(begin[:-1], begin[1:]):
+        size = max(LEAST_GROUPS, FINE << (int(b - a).bit_length() - 1)) if b > a else LEAST_GROUPS
+        own = np.bincount((flat[a:b] & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        out.append(own.astype(np.uint8).tobytes() if own.max() <= MOST_COUNT else b"")
+    return out
+
+
+def points_of(counts: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Count vectors as rows of one matrix, folded to the fewest groups
+    among them (the bound of folded vectors holds, too)."""
+    sizes = np.array([len(c) for c in counts])
+    width = max(1, int(sizes[sizes > 0].min(initial=1 << 30))) if (sizes > 0).any() else 1
+    out = np.empty((len(counts), width), np.int32)
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        if size == 0:
+            out[own] = n[own][:, None]  # as if all of the set were in each group
+        else:
+            rows = np.frombuffer(b"".join([counts[i] for i in own]), np.uint8)
+            out[own] = rows.reshape(len(own), size // width, width).sum(axis=1, dtype=np.int32)
+    return out
 
 
 def features_schema(id_type: str) -> str:
-    return f"_id {id_type}, n bigint, sid bigint, counts binary, n_cold int, prefix array<bigint>"
+    return f"_id {id_type}, n bigint, sid bigint, counts binary, n_small int, prefix array<bigint>"
 
 
-def make_features(bitmap):
+def make_features(levels, large: float):
     """Per text: size and name of its set; and, unless the task has met the
-    same set before, its count vector and its first shingles."""
+    same set before, its count vector and its first shingles, of which
+    ``n_small`` come before those of large cells (level ``large``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
@@ -116,21 +169,18 @@ def make_features(bitmap):
         fresh = np.array([size > 0 and name not in met and not met.add(name)
                           for name, size in zip(names.tolist(), n.tolist())], bool)
         owner = np.repeat(np.arange(len(part)), n)
-        counts = np.bincount(owner * GROUPS + (flat % np.uint64(GROUPS)).astype(np.int64),
-                             minlength=len(part) * GROUPS).astype("<i4").tobytes()
-        width = 4 * GROUPS
-        hot = is_hot(flat, bitmap.value)
-        order = flat[np.argsort(owner * 2 + hot, kind="stable")]
+        level = level_of(flat, levels.value)
+        order = flat[np.lexsort((flat, level, owner))]
+        small = np.bincount(owner[level < large], minlength=len(part)).astype(np.int32)
         length = np.where(fresh, n - (3 * n + 3) // 4 + 1, 0)
         first = np.zeros(len(part) + 1, np.int32)
         np.cumsum(length, out=first[1:])
-        cold = np.bincount(owner[~hot], minlength=len(part)).astype(np.int32)
         take = np.repeat(begin[:-1], length) + np.arange(first[-1]) - np.repeat(first[:-1], length)
+        counts = [c if f else None for c, f in zip(group_counts(flat, begin), fresh)]
         return pa.RecordBatch.from_arrays([
-            ids, pa.array(n), pa.array(names, mask=n == 0),
-            pa.array([counts[i * width:(i + 1) * width] if f else None for i, f in enumerate(fresh)], pa.binary()),
-            pa.array(cold), pa.ListArray.from_arrays(pa.array(first), pa.array(order[take].view(np.int64))),
-        ], ["_id", "n", "sid", "counts", "n_cold", "prefix"])
+            ids, pa.array(n), pa.array(names, mask=n == 0), pa.array(counts, pa.binary()), pa.array(small),
+            pa.ListArray.from_arrays(pa.array(first), pa.array(order[take].view(np.int64))),
+        ], ["_id", "n", "sid", "counts", "n_small", "prefix"])
     return run
 
 
@@ -172,10 +222,9 @@ def runs(keep_single: bool):
 
 
 def cells_of(scratch: Scratch, features: DataFrame, partitions: int) -> DataFrame:
-    """(key, leader, sid): the cells with at least two sets. The cells of
-    common shingles are first dealt out by set as well, so that one of a
-    third of all sets is not one task's work; the leaders of their parts
-    meet in a second pass."""
+    """(key, leader, sid): the cells with at least two sets. Large cells are
+    first dealt out by set as well, so that one of a third of all sets is
+    not one task's work; the leaders of their parts meet in a second pass."""
     schema = "key bigint, leader bigint, sid bigint"
 
     def grouped(rows: DataFrame, keep_single: bool) -> DataFrame:
@@ -183,14 +232,13 @@ def cells_of(scratch: Scratch, features: DataFrame, partitions: int) -> DataFram
                     .select("key", "part", "sid").mapInArrow(runs(keep_single), schema))
 
     rows = features.where("counts is not null").select(
-        "sid", F.posexplode("prefix").alias("at", "key"), (F.col("at") >= F.col("n_cold")).alias("hot"))
-    part = F.when(F.col("hot"), 1 + F.pmod("sid", F.lit(partitions))).otherwise(0).cast("int")
+        "sid", F.posexplode("prefix").alias("at", "key"), (F.col("at") >= F.col("n_small")).alias("large"))
+    part = F.when(F.col("large"), 1 + F.pmod("sid", F.lit(partitions))).otherwise(0).cast("int")
     rows = rows.select("key", part.alias("part"), "sid")
-    # Sets of common shingles only are few; their rows are kept apart.
-    hot = scratch.write(grouped(rows.where("part > 0"), True), "hot-cells")
-    leaders = hot.select("key", F.lit(0).alias("part"), F.col("leader").alias("sid")).distinct()
-    cold = grouped(rows.where("part = 0"), False)
-    return scratch.write(cold.union(hot).union(grouped(leaders, False)), "cells")
+    large = scratch.write(grouped(rows.where("part > 0"), True), "large-cells")
+    leaders = large.select("key", F.lit(0).alias("part"), F.col("leader").alias("sid")).distinct()
+    small = grouped(rows.where("part = 0"), False)
+    return scratch.write(small.union(large).union(grouped(leaders, False)), "cells")
 
 
 # -- R-tree -------------------------------------------------------------------
@@ -234,49 +282,103 @@ class RTree:
     def _through(level, counts, n, comp, query, node):
         most, least, low, high = level
         kept = np.zeros(len(query), bool)
-        for at in range(0, len(query), 32_768):
-            q, v = query[at:at + 32_768], node[at:at + 32_768]
+        # What sizes and components rule out needs no bound.
+        other = ((low[node] != comp[query]) | (high[node] != comp[query])) & (4 * n[query] >= 3 * least[node])
+        some = np.flatnonzero(other)
+        step = max(1, (1 << 22) // counts.shape[1])
+        for at in range(0, len(some), step):
+            own = some[at:at + step]
+            q, v = query[own], node[own]
             bound = np.minimum(counts[q], most[v]).sum(axis=1)
-            other = (low[v] != comp[q]) | (high[v] != comp[q])
-            kept[at:at + 32_768] = other & (7 * bound >= required(n[q], least[v]))
+            kept[own] = 7 * bound >= required(n[q], least[v])
         return query[kept], node[kept]
 
 
-GROUP_COLUMNS = ["key", "band", "i", "j", "role", "sid", "comp", "n", "counts"]
-
-
-def tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tree_pairs(exhaustive: bool):
     """Rows sorted by (key, band, i, j) -> pairs (a, b), a < b, that the
-    bound lets through. A group has at most about ``TILE`` points (role
-    bit 1) and so many queries (bit 2)."""
-    held: list[list[np.ndarray]] = []
-
-    def pairs(rows: list[np.ndarray]) -> np.ndarray:
-        role, sid, comp, n, counts = rows[4:]
+    bound lets through. A group has at most about ``TILE`` points (role bit
+    1) and so many queries (bit 2). Unless ``exhaustive``, a group with many
+    pairs sends a forest of its best ones and its key in ``open``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)])
+            rows = [np.concatenate(x) for x in zip(*held)]
+            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in rows[:4]], axis=0)) + 1
+            edges = [0, *cut.tolist()]
+            yield packed([pairs([c[a:b] for c in rows]) for a, b in zip(edges[:-1], edges[1:])])
+            held = [[c[edges[-1]:] for c in rows]]
+        if held:
+            yield packed([pairs([np.concatenate(x) for x in zip(*held)])])
+
+    def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, int | None]:
+        key, role, sid, comp, n, counts = rows[0], *rows[4:]
         point, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         if not len(point) or not len(query) or (comp == comp[0]).all():
-            return np.zeros((0, 2), np.int64)
-        q, p = RTree(counts[point], n[point], comp[point]).search(counts[query], n[query], comp[query])
-        ends = np.stack((sid[query[q]], sid[point[p]]), axis=1)
+            return np.zeros((0, 2), np.int64), None
+        fine = points_of(counts, n)
+        width = max(1, fine.shape[1] // FINE)
+        coarse = fine.reshape(len(fine), -1, width).sum(axis=1)
+        tree = RTree(coarse[point], n[point], comp[point])
+        found, thinned = [np.zeros((0, 3), np.int64)], False
+        for at in range(0, len(query), 512):
+            own = query[at:at + 512]
+            q, p = tree.search(coarse[own], n[own], comp[own])
+            q, p = own[q], point[p]
+            for k in range(0, len(q), step := max(1, (1 << 23) // fine.shape[1])):
+                a, b = q[k:k + step], p[k:k + step]
+                excess = 7 * np.minimum(fine[a], fine[b]).sum(axis=1) - required(n[a], n[b])
+                kept = excess >= 0
+                # Shares of what is needed, in millionths.
+                share = excess[kept] * 1_000_000 // required(n[a], n[b])[kept]
+                found.append(np.stack((a[kept], b[kept], share), axis=1))
+            if not exhaustive and sum(map(len, found)) > HELD_PAIRS:
+                found, thinned = [forest(np.concatenate(found), comp)], True
+        found = np.concatenate(found)
+        if not thinned and (exhaustive or len(found) <= MANY_PAIRS * len(sid)):
+            return distinct(sid[found[:, :2]]), None
+        return distinct(sid[forest(found, comp)[:, :2]]), int(key[0])
+
+    def distinct(ends: np.ndarray) -> np.ndarray:
         return np.unique(np.sort(ends, axis=1), axis=0)
 
-    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        ends = np.concatenate([*parts, np.zeros((0, 2), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+    def packed(parts: list[tuple[np.ndarray, int | None]]) -> pa.RecordBatch:
+        ends = np.concatenate([*(p for p, _ in parts), np.zeros((0, 2), np.int64)])
+        still = [k for _, k in parts if k is not None]
+        nothing = [None] * len(still)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ends[:, 0].tolist() + nothing, pa.int64()), pa.array(ends[:, 1].tolist() + nothing, pa.int64()),
+             pa.array([None] * len(ends) + still, pa.int64())], ["a", "b", "open"])
+    return run
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
-        columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), "<i4").reshape(-1, GROUPS))
-        held.append(columns)
-        rows = [np.concatenate(x) for x in zip(*held)]
-        cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in rows[:4]], axis=0)) + 1
-        edges = [0, *cut.tolist()]
-        yield packed([pairs([c[a:b] for c in rows]) for a, b in zip(edges[:-1], edges[1:])])
-        held = [[c[edges[-1]:] for c in rows]]
-    if held:
-        yield packed([pairs([np.concatenate(x) for x in zip(*held)])])
+
+def forest(found: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b, share) those that join the components best first:
+    in rounds, each component takes its best pair to another one. The forest
+    of some pairs and later ones is that of all."""
+    label = np.unique(comp, return_inverse=True)[1]
+    out = [np.zeros((0, 3), np.int64)]
+    while True:
+        x, y = label[found[:, 0]], label[found[:, 1]]
+        found, x, y = (v[x != y] for v in (found, x, y))
+        if not len(found):
+            return np.concatenate(out)
+        order = np.argsort(-found[:, 2], kind="stable")
+        found, x, y = found[order], x[order], y[order]
+        best = np.unique(np.concatenate([np.unique(side, return_index=True)[1] for side in (x, y)]))
+        out.append(found[best])
+        root = np.arange(label.max() + 1)
+        while True:
+            low = root.copy()
+            np.minimum.at(low, x[best], root[y[best]])
+            np.minimum.at(low, y[best], root[x[best]])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        label = root[label]
 
 
 # -- verification -------------------------------------------------------------
@@ -299,10 +401,13 @@ def linked(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(BooleanType())
-def may_link(a: pa.Array, b: pa.Array) -> pa.Array:
+def may_link(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
     """Whether the bound of two count vectors lets a pair through."""
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), "<i4").reshape(-1, GROUPS) for v in (a, b))
-    return pa.array(7 * np.minimum(x, y).sum(axis=1) >= required(x.sum(axis=1), y.sum(axis=1)))
+    out = []
+    for x, n, y, m in zip(a.to_pylist(), n_a.to_pylist(), b.to_pylist(), n_b.to_pylist()):
+        u, v = points_of([x, y], np.array([n, m]))
+        out.append(bool(7 * np.minimum(u, v).sum() >= required(n, m)))
+    return pa.array(out, pa.bool_())
 
 
 def sets_for(scratch: Scratch, texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
@@ -345,6 +450,48 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(linked("_a", "_b")).select("a", "b")
 
 
+def across(scratch: Scratch, texts: DataFrame, points: DataFrame, cells: DataFrame, comps: DataFrame,
+           links: DataFrame, partitions: int, name: str, exhaustive: bool) -> tuple[DataFrame, DataFrame]:
+    """``links`` and the verified links between different components in
+    ``cells`` (key, sid), and the keys of cells that have more to verify."""
+    named = cells.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left") \
+        .withColumn("comp", F.coalesce("comp", "sid"))
+    # Cells that hold several components, alike ones once.
+    mixed = named.groupBy("key").agg(
+        F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n"),
+        F.sum(F.expr("cast(xxhash64(sid) as decimal(38,0))")).alias("_sum")).where("_low <> _high") \
+        .groupBy("_n", "_sum").agg(F.min("key").alias("key"))
+    band = F.floor(F.log(BAND, F.col("n"))).cast("int")
+    members = scratch.write(
+        named.join(mixed.select("key"), "key").join(points.select("sid", "n"), "sid").select(
+            "key", "sid", "comp", "n", F.explode(F.array(
+                F.struct(band.alias("band"), F.lit(True).alias("own")),
+                F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("_b"))
+        .select("key", "_b.band", "_b.own", "sid", "comp", "n"), f"{name}-members")
+    # Only bands with points, and with more than one component.
+    tiles = members.groupBy("key", "band").agg(
+        F.ceil(F.count("*") / TILE).cast("int").alias("k"), F.max("own").alias("_some"),
+        F.min("comp").alias("_low"), F.max("comp").alias("_high")) \
+        .where("_some and _low <> _high").select("key", "band", "k")
+    spot = F.expr("""case when k = 1 then array(struct(0 as i, 0 as j, if(own, 3, 2) as role))
+        else concat(
+          if(own, transform(sequence(0, k - 1), x -> struct(x as i, cast(pmod(sid, k) as int) as j, 1 as role)),
+                  array()),
+          transform(sequence(0, k - 1), x -> struct(cast(pmod(sid, k) as int) as i, x as j, 2 as role))) end""")
+    dealt = members.join(tiles, ["key", "band"]).join(points.select("sid", "counts"), "sid") \
+        .withColumn("_s", F.explode(spot)) \
+        .select("key", "band", "_s.i", "_s.j", "_s.role", "sid", "comp", "n", "counts")
+    found = scratch.write(
+        dealt.repartition(partitions, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+             .mapInArrow(tree_pairs(exhaustive), "a bigint, b bigint, open bigint").distinct(), f"{name}-pairs")
+    pairs = found.where("a is not null").select("a", "b")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    sets = sets_for(scratch, texts, points.join(ends, "sid").select("sid", "_id"), f"{name}-sets")
+    links = scratch.write(links.union(verified(pairs, sets)), f"{name}-links")
+    scratch.drop(f"{name}-sets", f"{name}-members")
+    return links, found.where("open is not null").select(F.col("open").alias("key")).distinct()
+
+
 # -- the join -----------------------------------------------------------------
 
 def components_by_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,9 +507,10 @@ def components_by_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "ngram-join")
     partitions = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    bitmap = spark.sparkContext.broadcast(hot_bitmap(texts.select("_text")))
+    levels = spark.sparkContext.broadcast(frequency_levels(texts.select("_text"), partitions))
     id_type = texts.schema["_id"].dataType.simpleString()
-    wide = scratch.write(texts.mapInArrow(make_features(bitmap), features_schema(id_type)), "features")
+    features = make_features(levels, float(half_octaves(LARGE_CELL)))
+    wide = scratch.write(texts.mapInArrow(features, features_schema(id_type)), "features")
     cells = cells_of(scratch, wide, partitions)
     narrow = scratch.write(wide.select("_id", "n", "sid"), "narrow")
 
@@ -371,56 +519,33 @@ def components_by_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str
     points = scratch.write(
         wide.groupBy("sid").agg(F.first("n").alias("n"), F.first("counts", True).alias("counts"),
                                 F.min("_id").alias("_id")).join(shared, "sid"), "points")
-    scratch.drop("features", "hot-cells")
+    scratch.drop("features", "large-cells")
 
     def with_points(pairs: DataFrame) -> DataFrame:
-        a = points.select(F.col("sid").alias("a"), F.col("counts").alias("_a"))
-        b = points.select(F.col("sid").alias("b"), F.col("counts").alias("_b"))
+        a = points.select(F.col("sid").alias("a"), F.col("counts").alias("_a"), F.col("n").alias("_na"))
+        b = points.select(F.col("sid").alias("b"), F.col("counts").alias("_b"), F.col("n").alias("_nb"))
         return pairs.join(b, "b").join(a, "a")
 
     # Each set against the leader that it shares most cells with.
     best = cells.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("_cells")) \
         .groupBy("sid").agg(F.max(F.struct("_cells", "leader")).alias("_best")) \
         .select(F.col("_best.leader").alias("a"), F.col("sid").alias("b"))
-    first = scratch.write(with_points(best).where(may_link("_a", "_b")).select("a", "b"), "first-pairs")
+    first = scratch.write(with_points(best).where(may_link("_a", "_na", "_b", "_nb")).select("a", "b"), "first-pairs")
     ends = first.select(F.col("a").alias("sid")).union(first.select("b")).distinct()
     sets = sets_for(scratch, texts, points.join(ends, "sid").select("sid", "_id"), "first-sets")
     links = scratch.write(verified(first, sets), "first-links")
     scratch.drop("first-sets")
     comps = connected_components(scratch, links, "first")
 
-    # Cells that still hold several components, alike ones once.
-    named = cells.select("key", "sid").distinct().join(
-        comps.select(F.col("node").alias("sid"), "comp"), "sid", "left") \
-        .withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = named.groupBy("key").agg(
-        F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n"),
-        F.sum(F.expr("cast(xxhash64(sid) as decimal(38,0))")).alias("_sum")).where("_low <> _high") \
-        .groupBy("_n", "_sum").agg(F.min("key").alias("key"))
-    members = named.join(mixed.select("key"), "key").join(points.select("sid", "n", "counts"), "sid")
-    band = F.floor(F.log(BAND, F.col("n"))).cast("int")
-    members = scratch.write(members.select(
-        "key", "sid", "comp", "n", "counts", F.explode(F.array(
-            F.struct(band.alias("band"), F.lit(True).alias("own")),
-            F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("_b"))
-        .select("key", "_b.band", "_b.own", "sid", "comp", "n", "counts"), "members")
-    tiles = members.groupBy("key", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("k"),
-                                               F.max("own").alias("_some")).where("_some").drop("_some")
-    spot = F.expr("""case when k = 1 then array(struct(0 as i, 0 as j, if(own, 3, 2) as role))
-        else concat(
-          if(own, transform(sequence(0, k - 1), x -> struct(x as i, cast(pmod(sid, k) as int) as j, 1 as role)),
-                  array()),
-          transform(sequence(0, k - 1), x -> struct(cast(pmod(sid, k) as int) as i, x as j, 2 as role))) end""")
-    dealt = members.join(tiles, ["key", "band"]).withColumn("_s", F.explode(spot)) \
-        .select("key", "band", "_s.i", "_s.j", "_s.role", "sid", "comp", "n", "counts")
-    second = scratch.write(
-        dealt.repartition(partitions, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-             .mapInArrow(tree_pairs, "a bigint, b bigint").distinct(), "second-pairs")
-    ends = second.select(F.col("a").alias("sid")).union(second.select("b")).distinct()
-    sets = sets_for(scratch, texts, points.join(ends, "sid").select("sid", "_id"), "second-sets")
-    links = scratch.write(links.union(verified(second, sets)), "links")
-    scratch.drop("second-sets", "members", "cells")
-    comps = connected_components(scratch, links, "all")
+    # Pairs between components in the cells: first all, or the best of many;
+    # then all of the cells that had many, as far as they are still apart.
+    every = cells.select("key", "sid").distinct()
+    links, still = across(scratch, texts, points, every, comps, links, partitions, "second", False)
+    comps = connected_components(scratch, links, "second")
+    if not still.isEmpty():
+        links, _ = across(scratch, texts, points, every.join(still, "key"), comps, links, partitions, "third", True)
+        comps = connected_components(scratch, links, "third")
+    scratch.drop("cells")
 
     # The smallest id of each component, for each set, then for each row.
     own = narrow.where("sid is not null").groupBy("sid").agg(F.min("_id").alias("_low")).join(
