@@ -35,7 +35,7 @@ GRAM = 6
 # learn; the share of inputs left out at a time; the doubt in a label.
 MIN_TEXTS, SHRINK, TABLE_RATE, DROPOUT, DOUBT = 3, 0.01, 0.05, 0.2, 0.02
 PARTS = 4
-BLOCK = 4096
+BLOCK = 1024
 FOLDS, HELD_OUT = 4, 2
 
 _BREAKS = np.zeros(256, bool)
@@ -59,7 +59,7 @@ class Batch:
     first: np.ndarray
 
 
-def batch_of(texts: list[bytes], slice_bytes: int = 2 << 20) -> Batch:
+def batch_of(texts: list[bytes], slice_bytes: int = 1 << 20) -> Batch:
     """The batch of ``texts``, made from slices of about ``slice_bytes``
     whose distinct words are then joined; a slice bounds the memory."""
     parts, at = [], 0
@@ -251,7 +251,8 @@ def steps_of(batch: Batch, begin: np.ndarray, length: np.ndarray) -> tuple[np.nd
 def occurrences(batch: Batch, kind: str) -> np.ndarray:
     """(text, table row) pairs that occur, each once, as text << TABLE_BITS |
     row. Some texts at a time, so that only distinct pairs are held."""
-    out = [np.zeros(0, np.int64)]
+    kind_of = np.int32 if len(batch.first) <= 1 << (31 - TABLE_BITS) else np.int64
+    out = [np.zeros(0, kind_of)]
     n_texts = len(batch.first) - 1
     for at in range(0, n_texts, 100):
         edge = batch.first[at:min(at + 100, n_texts) + 1]
@@ -264,7 +265,7 @@ def occurrences(batch: Batch, kind: str) -> np.ndarray:
             inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
             rows = batch.gram[np.repeat(batch.gram_first[:-1][word], number) + inside]
             text = np.repeat(text, number)
-        out.append(np.unique(text << TABLE_BITS | rows))
+        out.append(np.unique(text << TABLE_BITS | rows).astype(kind_of))
     return np.concatenate(out)
 
 
@@ -273,11 +274,13 @@ def log_odds(pairs: np.ndarray, label: np.ndarray, among: np.ndarray) -> tuple[n
     (``among`` marks those that count at all), and whether it occurs in
     enough of them to be learnt at all: a row of one or two texts would only
     name those texts."""
-    text = pairs >> TABLE_BITS
-    kept = among[text]
-    rows, toxic = (pairs & ((1 << TABLE_BITS) - 1))[kept], label[text[kept]]
     size = 1 << TABLE_BITS
-    bad, good = np.bincount(rows[toxic == 1], minlength=size), np.bincount(rows[toxic == 0], minlength=size)
+    number = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+    for at in range(0, len(pairs), 1 << 20):
+        text, row = pairs[at:at + (1 << 20)] >> TABLE_BITS, pairs[at:at + (1 << 20)] & (size - 1)
+        for y in (0, 1):
+            number[y] += np.bincount(row[among[text] & (label[text] == y)], minlength=size)
+    good, bad = number
     n_bad, n_good = max(1, label[among].sum()), max(1, (1 - label[among]).sum())
     odds = np.log((bad / n_bad + SHRINK) / (good / n_good + SHRINK)).astype(np.float32)
     common = bad + good >= MIN_TEXTS
@@ -414,7 +417,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where(F.octet_length("_text") <= max_bytes).join(F.broadcast(chosen), "_id")
     rows = read.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")) \
         .orderBy("_id").collect()
-    return train([r["_text"].encode() for r in rows], np.array([r["_label"] for r in rows], np.int64), share)
+    texts, label = [r["_text"].encode() for r in rows], np.array([r["_label"] for r in rows], np.int64)
+    del rows
+    return train(texts, label, share)
 
 
 def toxicity(text: Column, spark: SparkSession, net: Network) -> Column:
