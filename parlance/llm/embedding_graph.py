@@ -8,7 +8,9 @@ every query at a shard's medoid, walks greedily to its neighbourhood and
 from there expands over everything in range. What it finds is verified in
 double precision; queries that do not find themselves, and a share of all
 against brute force, show whether the walk was wide enough, and it is
-widened until it was.
+widened until it was. Before that, a share of the nodes is held against all
+others, wherever they are dealt: nodes go to more shards until enough of the
+linked pairs share one.
 
 Shards report counts and the links of a spanning forest, never all pairs."""
 
@@ -29,6 +31,10 @@ from .components import connected_components
 # vectors are dealt to them.
 SAMPLE, MAX_CENTROIDS, ROUNDS = 8192, 1024, 6
 SHARD_NODES, OVERLAP = 1000, 2
+# Nodes of each dimension that are held against all others, and the share of
+# their links (of all, and of a node's on average) whose ends must share a
+# shard.
+DEAL_AUDIT, DEAL_RECALL, DEAL_BLOCK = 4096, 0.99, 1024
 # A shard of more nodes is dealt out as pairs of tiles of its queries and
 # its nodes.
 TILE = 4000
@@ -87,9 +93,9 @@ def dealer(sent):
         for batch in batches:
             shards: list[list[int]] = []
             for unit in batch.column(1).to_pylist():
-                centre, first = sent.value[len(unit) // 8]
+                centre, first, overlap = sent.value[len(unit) // 8]
                 near = centre @ np.frombuffer(unit, "<f8")
-                shards.append(sorted((first + np.argsort(-near, kind="stable")[:OVERLAP]).tolist()))
+                shards.append(sorted((first + np.argsort(-near, kind="stable")[:overlap]).tolist()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(shards, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
     return run
@@ -270,8 +276,9 @@ def find(limit: float):
         shard = rows["shard"][0].as_py()
         role, node, copies = (rows[c].to_numpy() for c in ("role", "node", "copies"))
         unit = matrix(rows["unit"])
-        dealt = np.full((len(node), OVERLAP), -1, np.int64)
-        for i, own in enumerate(rows["shards"].to_pylist()):
+        lists = rows["shards"].to_pylist()
+        dealt = np.full((len(node), max(map(len, lists))), -1, np.int64)
+        for i, own in enumerate(lists):
             dealt[i, :len(own)] = own
         point, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         links, root = np.zeros(len(node), np.int64), np.arange(len(node))
@@ -293,10 +300,13 @@ def find(limit: float):
                 ends.append((a[other], b[other]))
             a, b = (np.concatenate(e) for e in zip(*ends))
             # A pair is counted in the first shard that both ends are in.
-            common = (dealt[a][:, :, None] == dealt[b][:, None, :]) & (dealt[a][:, :, None] >= 0)
-            first = np.where(common.any(axis=2), dealt[a], np.iinfo(np.int64).max).min(axis=1)
-            mine = first == shard
-            np.add.at(links, a[mine], copies[b[mine]])
+            before = (dealt >= 0) & (dealt < shard)
+            step = max(1, (1 << 22) // dealt.shape[1] ** 2)
+            for at in range(0, len(a), step):
+                p, q = a[at:at + step], b[at:at + step]
+                common = (dealt[p][:, :, None] == dealt[q][:, None, :]) & before[p][:, :, None]
+                mine = ~common.any(axis=(1, 2))
+                np.add.at(links, p[mine], copies[q[mine]])
             while True:
                 low = root.copy()
                 np.minimum.at(low, a, root[b])
@@ -313,17 +323,84 @@ def find(limit: float):
 
 # -- Spark --------------------------------------------------------------------
 
-def fitted_centroids(nodes: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
-    """By dimension: centroids and the number of the first one's shard, from
-    the first ``SAMPLE`` nodes by name (a hash) of each dimension."""
+def overlaps(k: int) -> list[int]:
+    """The numbers of shards of ``k`` that a node may be dealt to, each
+    about half as large again as the one before."""
+    out = [min(OVERLAP, k)]
+    while out[-1] < k:
+        out.append(min(k, out[-1] + max(1, out[-1] // 2)))
+    return out
+
+
+def ranks(centre: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` the rank of every centroid, 0 the nearest."""
+    order = np.argsort(-(x @ centre.T), axis=1, kind="stable")
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, np.broadcast_to(np.arange(len(centre)), order.shape), 1)
+    return out
+
+
+def audited_overlap(nodes: DataFrame, dim: int, centre: np.ndarray, limit: float) -> int:
+    """The fewest shards a node of this dimension must be dealt to for
+    ``DEAL_RECALL`` of the links of the first ``DEAL_AUDIT`` nodes by name,
+    found by brute force against all nodes, to have a shard in common."""
+    levels = overlaps(len(centre))
+    if len(levels) == 1:
+        return levels[0]
+    mine = nodes.where(F.octet_length("unit") == 8 * dim)
+    rows = mine.orderBy("node").limit(DEAL_AUDIT).select("node", "unit").collect()
+    names, q = np.array([r[0] for r in rows], np.int64), matrix([bytes(r[1]) for r in rows])
+    sent = nodes.sparkSession.sparkContext.broadcast((names, q, ranks(centre, q), centre))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, q_rank, centre = sent.value
+        total = np.zeros((len(names), 1 + len(levels)), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DEAL_BLOCK):
+                part = batch.slice(at, DEAL_BLOCK)
+                node, x = part.column(0).to_numpy(), matrix(part.column(1))
+                a, b = np.nonzero(q @ x.T >= limit)
+                other = names[a] != node[b]
+                a, b = a[other], b[other]
+                if not len(a):
+                    continue
+                held, place = np.unique(b, return_inverse=True)
+                x_rank = ranks(centre, x[held])
+                step = max(1, (1 << 22) // len(centre))
+                for k in range(0, len(a), step):
+                    own = a[k:k + step]
+                    # They meet when both are dealt to as many as the worse rank of some shard.
+                    met = np.maximum(q_rank[own], x_rank[place[k:k + step]]).min(axis=1)
+                    np.add.at(total[:, 0], own, 1)
+                    for i, level in enumerate(levels):
+                        np.add.at(total[:, 1 + i], own[met < level], 1)
+        some = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some), pa.array(total[some].tolist(), pa.list_(pa.int64()))], ["query", "counts"])
+
+    # At most DEAL_AUDIT rows.
+    sums = mine.select("node", "unit").mapInArrow(count, "query bigint, counts array<bigint>").groupBy("query").agg(
+        *[F.sum(F.col("counts")[i]).alias(f"_{i}") for i in range(1 + len(levels))]).drop("query").collect()
+    if not sums:
+        return levels[0]
+    found = np.array([tuple(r) for r in sums], float)
+    share = np.minimum(found[:, 1:].sum(axis=0) / found[:, 0].sum(), (found[:, 1:] / found[:, :1]).mean(axis=0))
+    return levels[int((share >= DEAL_RECALL).argmax())]
+
+
+def fitted_centroids(nodes: DataFrame, limit: float) -> dict[int, tuple[np.ndarray, int, int]]:
+    """By dimension: centroids, the number of the first one's shard and how
+    many shards a node is dealt to. The centroids are fitted to the first
+    ``SAMPLE`` nodes by name (a hash) of each dimension."""
     sizes = nodes.groupBy((F.octet_length("unit") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")) \
         .orderBy("dim").collect()  # one row for each dimension in use
     out, first = {}, 0
     for dim, n in sizes:
         rows = nodes.where(F.octet_length("unit") == 8 * dim).orderBy("node").limit(SAMPLE).select("unit").collect()
         k = min(MAX_CENTROIDS, -(-n // SHARD_NODES))
-        out[dim] = centroids(matrix([bytes(r[0]) for r in rows]), k), first
-        first += len(out[dim][0])
+        centre = centroids(matrix([bytes(r[0]) for r in rows]), k)
+        out[dim] = centre, first, audited_overlap(nodes, dim, centre, limit)
+        first += len(centre)
     return out
 
 
@@ -347,7 +424,7 @@ def link_embeddings(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_i
     rows = scratch.write(rows, "rows")
     nodes = scratch.write(rows.where("node is not null").groupBy("node").agg(
         F.first("unit").alias("unit"), F.count("*").alias("copies")), "nodes")
-    sent = spark.sparkContext.broadcast(fitted_centroids(nodes))
+    sent = spark.sparkContext.broadcast(fitted_centroids(nodes, limit))
     dealt = nodes.select("node", "unit", "copies").mapInArrow(
         dealer(sent), "node bigint, unit binary, copies bigint, shards array<int>")
     dealt = scratch.write(dealt.withColumn("shard", F.explode("shards")), "dealt")
@@ -357,7 +434,7 @@ def link_embeddings(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_i
     # Graphs of the shards, and each node's lists as one.
     links = dealt.select("shard", "tile", "node", "unit").repartition(partitions, "shard", "tile") \
         .sortWithinPartitions("shard", "tile").mapInArrow(build, "a bigint, b bigint")
-    # At most OVERLAP times a graph's width for each node.
+    # At most a graph's width for each shard of a node.
     near = scratch.write(links.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("near")), "near")
 
     spot = F.expr("""case when k = 1 then array(struct(0 as i, 0 as j, 3 as role))

@@ -103,3 +103,22 @@ def test_walk_widens_until_audited():
     want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.8))}
     pairs = set(zip(q.tolist(), p.tolist()))
     assert pairs <= want and len(pairs) >= 0.95 * len(want)
+
+
+def test_links_across_shards_are_kept(spark):
+    """Unclustered vectors in 21 shards, with planted pairs that the two
+    nearest centroids often part."""
+    rng = np.random.default_rng(11)
+    n, planted, dim = 20_600, 1200, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((planted, dim))
+    side -= (side * x[:planted]).sum(axis=1, keepdims=True) * x[:planted]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.901, 0.95, (planted, 1))
+    x[planted:2 * planted] = cosine * x[:planted] + np.sqrt(1 - cosine * cosine) * side
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_graph.link_embeddings(frame).collect()}
+    assert all(found[i] in ((0, i), (1, i)) for i in range(planted))
+    assert all(found[i] == (0, i) for i in range(2 * planted, n))
+    assert sum(found[planted + i] == (1, i) for i in range(planted)) >= 0.96 * planted
