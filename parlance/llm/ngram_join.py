@@ -21,9 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType
 
 from .bytewords import mix, shingles, words_of
 from .common import Scratch, shuffle_partitions, table
@@ -503,6 +503,16 @@ def components_by_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with one name of 64 bits. Null ids are never the smallest of several;
     repeated rows come back as they are; an empty table gives no rows; other
     columns are not read."""
+    narrow, named = set_components(docs, id_col, text_col)
+    return narrow.join(named, "sid", "left").select(
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.coalesce("_low", "_id").alias("component_id"))
+
+
+def set_components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, n, sid) for every row of ``docs``, sid null without words; and
+    (sid, comp, _own, _low) for every set: its component's name, the smallest
+    id of its own rows, and that of the whole component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     partitions = shuffle_partitions(spark)
@@ -552,25 +562,47 @@ def components_by_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str
         comps.select(F.col("node").alias("sid"), "comp"), "sid")
     own = scratch.write(own, "set-ids")
     low = scratch.write(own.groupBy("comp").agg(F.min("_low").alias("_low")), "component-ids")
-    named = scratch.write(own.select("sid", "comp").join(low, "comp").select("sid", "_low"), "set-components")
-    alone = narrow.where("sid is not null").groupBy("sid").agg(F.min("_id").alias("_low")) \
-        .join(named.select("sid"), "sid", "left_anti")
-    named = scratch.write(named.union(alone), "final-components")
-    return narrow.join(named, "sid", "left").select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("_low", "_id").alias("component_id"))
+    named = scratch.write(own.withColumnRenamed("_low", "_own").join(low, "comp")
+                          .select("sid", "comp", "_own", "_low"), "set-components")
+    alone = narrow.where("sid is not null").groupBy("sid").agg(F.min("_id").alias("_own")) \
+        .join(named.select("sid"), "sid", "left_anti") \
+        .select("sid", F.col("sid").alias("comp"), "_own", F.col("_own").alias("_low"))
+    return narrow, scratch.write(named.union(alone), "final-components")
+
+
+def set_name(text: Column) -> Column:
+    """The name (sid) of a text's set."""
+    @F.arrow_udf(LongType())
+    def named(column: pa.Array) -> pa.Array:
+        parts = [set_ids(*sets_of(part)) for part in byte_slices(column)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.int64())
+    return named(text)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their
-    component; of rows that share that id, one stays. Texts without words
-    link with nothing and all stay."""
-    found = components_by_ngrams(docs, id_col, text_col)
-    kept = found.where((F.col("n_shingles") > 0) & F.col(id_col).eqNullSafe(F.col("component_id"))) \
-        .select(F.col(id_col).alias("_kept_id")).distinct()
+    """The rows of ``docs``, all columns, without near duplicates: of each
+    component one row stays, one of the smallest id (null only if there is no
+    other), and of the sets under that id the one with the smallest name.
+    Texts without words link with nothing and all stay."""
+    narrow, named = set_components(docs, id_col, text_col)
+    kept = named.groupBy("comp").agg(F.min(F.struct(F.col("_own").isNull().alias("_none"), "_own", "sid")).alias("_k")) \
+        .select(F.col("_k._own").alias("_kept_id"), F.col("_k.sid").alias("_kept_sid"))
+    # An id names a row when one row with words has it; else the set decides.
+    repeated = narrow.where("sid is not null and _id is not null").groupBy("_id").agg(F.count("*").alias("_n")) \
+        .where("_n > 1").select(F.col("_id").alias("_many"))
+    some = not repeated.isEmpty()
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    first = docs.where(words).join(kept, docs[id_col].eqNullSafe(kept["_kept_id"])).drop("_kept_id") \
-        .dropDuplicates([id_col])
+    clear = kept.where("_kept_id is not null")
+    unclear = docs.where(words & F.col(id_col).isNull())
+    if some:
+        clear = clear.join(repeated, clear["_kept_id"] == repeated["_many"], "left_anti")
+        unclear = unclear.union(docs.where(words).join(repeated, docs[id_col] == repeated["_many"], "left_semi"))
+    first = docs.where(words).join(clear, docs[id_col] == clear["_kept_id"]).select(*[docs[c] for c in docs.columns])
+    if some or not narrow.where("sid is not null and _id is null").isEmpty():
+        own = unclear.withColumn("_sid", set_name(F.col(text_col)))
+        own = own.join(kept, (F.col("_sid") == kept["_kept_sid"]) & own[id_col].eqNullSafe(kept["_kept_id"])) \
+            .dropDuplicates([id_col, "_sid"]).select(*docs.columns)
+        first = first.union(own)
     return first.union(docs.where(~words))
 
 

@@ -86,6 +86,20 @@ def test_odd_and_empty_tables(spark, odd, empty):
     assert ids.count(1) == 1 and 6 not in ids and {2, 3, 4, 5, 7} <= set(ids)
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    """Null and repeated ids name several rows; components decide."""
+    own = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcdefg"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1].upper()), (None, own[2]), (5, own[2]), (7, own[3]), (7, own[4]),
+            (7, own[4] + " "), (9, own[4]), (9, own[5]), (11, own[6]), (None, ""), (None, None)]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r["doc_id"], r["text"] and r["text"].strip().lower()) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([
+        (None, own[0]), (None, own[1]), (5, own[2]), (7, own[3]), (7, own[4]), (9, own[5]), (11, own[6]),
+        (None, ""), (None, None)], key=str)
+    unique = spark.createDataFrame([(1, own[0]), (2, own[0]), (3, own[1])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one_of_each(unique).collect()) == [1, 3]
+
+
 def test_shingle_hashes_name_shingles():
     texts = ["", "a", "a b c", "a b c d e", "a b c d e f", "e d c b a", "é ü a b c", "a\tb\x0bc d e", "a b c d ef"]
     flat, first = shingles(words_of([t.encode() for t in texts]))
