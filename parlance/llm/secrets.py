@@ -39,6 +39,7 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})"
                     r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]*)(={0,2})")
 
 # A layer, and all layers of one text together, may hold this many bytes; a
 # larger stream (a decompression bomb) is scanned as far as that and counted
@@ -183,7 +184,37 @@ def unwrapped(run: str) -> tuple[str, bool] | None:
         if not seen:
             return None
         text = data.decode("utf-8", "replace")
-    return (text, cut) if seen or text.replace("\n", " ").replace("\t", " ").replace("\r", " ").isprintable() else None
+    return text, cut
+
+
+def decoded_runs(text: str) -> Iterator[tuple[int, int, tuple[str, bool]]]:
+    """(start, end, what is behind it) of the base64 runs. A run goes on over
+    single line breaks while the lines are equally long; the last may be
+    shorter, or no part of it. Lines that give nothing together are tried
+    one by one."""
+    done = tried = 0
+    for m in BASE64_RUN.finditer(text):
+        if m.start() < done:
+            continue
+        if m.start() >= tried and m[0][-1] != "=":
+            end, lines, line = m.end(), [m[0]], NEXT_LINE.match(text, m.end())
+            while line and len(line[1]) == len(m[0]) and not line[2]:
+                lines.append(line[1])
+                end, line = line.end(), NEXT_LINE.match(text, line.end())
+            whole = "".join(lines)
+            ways = [(end, whole)] if len(lines) > 1 else []
+            if line and 0 < len(line[1]) + len(line[2]) <= len(m[0]):
+                ways.insert(0, (line.end(), whole + line[1] + line[2]))
+            tried = end
+            for end, run in ways:
+                if found := unwrapped(run):
+                    yield m.start(), end, found
+                    done = end
+                    break
+            if done > m.start():
+                continue
+        if found := unwrapped(m[0]):
+            yield m.start(), m.end(), found
 
 
 def derived(layer: Layer) -> Iterator[tuple[Layer, bool]]:
@@ -193,9 +224,8 @@ def derived(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         yield below, False
     if ("\\" in text or "&#" in text) and (below := in_place(layer, ESCAPE, escape)):
         yield below, False
-    for m in BASE64_RUN.finditer(text):
-        if found := unwrapped(m[0]):
-            yield Layer(found[0], layer.at(m.start(), m.end())), found[1]
+    for start, end, found in decoded_runs(text):
+        yield Layer(found[0], layer.at(start, end)), found[1]
 
 
 def scan(text: str) -> dict:

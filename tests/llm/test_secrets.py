@@ -75,6 +75,30 @@ def test_cycles_and_bombs_end():
     assert secrets.scan(bomb)["n_cut"] == 1
 
 
+@pytest.mark.parametrize("beside", ["\u00a0", "\u3000", "\u200d", "\ufeff", "\f", "\x1b", "\u2028"])
+def test_layers_with_other_characters_are_scanned(beside):
+    code = base64.b64encode(f"mot de passe{beside}: {SECRET}".encode()).decode()
+    assert {(0, 0, len(code)), (0, 2, len(code))} <= set(found(code, base=False))
+
+
+@pytest.mark.parametrize("width", [19, 64, 76])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_wrapped_base64_is_one_layer(width, line_end):
+    rng = random.Random(width)
+    filler = " ".join(f"{rng.random()}" for _ in range(40))
+    for raw in (f"{filler} {SECRET} {filler}".encode(), gzip.compress(f"{filler} {SECRET}".encode()),
+                *(f"{SECRET}{'x' * k}".encode() for k in range(4))):
+        code = base64.b64encode(raw).decode()
+        code = line_end.join(code[k:k + width] for k in range(0, len(code), width))
+        for tail in ("", f"{line_end}", f"{line_end}{line_end}next", f"{line_end}-----END-----", " end"):
+            assert (4, 0, 4 + len(code)) in found(f"abc {code}{tail}", base=False) or (
+                tail == f"{line_end}-----END-----" and any(s == 4 and k == 0 for s, k, _ in found(f"abc {code}{tail}")))
+    # Lines that are no single run are still read one by one.
+    line = base64.b64encode(SECRET.encode()).decode().rstrip("=")
+    other = "_" * len(line)
+    assert (0, 0, len(line)) in found(f"{line}\n{other}", base=False)
+
+
 def test_redaction():
     text = f"x {SECRET} y {base64.b64encode(SECRET.encode()).decode()} z"
     masked = secrets.redacted(text, "[SECRET]")
