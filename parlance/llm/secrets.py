@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -20,6 +21,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +43,19 @@ ESCAPE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]*)(={0,2})")
 
-# A layer, and all layers of one text together, may hold this many bytes; a
-# larger stream (a decompression bomb) is scanned as far as that and counted
-# in n_cut.
+# No match of the rules, no escape and no base64 run holds another character
+# than these, so what lies between others can be decoded on its own.
+REACH = re.compile(r"""[A-Za-z0-9+/_.=\-"':\x20%\\&#;{}\r\n]*""")
+REACHED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"': %\\&#;{}\r\n")
+
+# A decompressed stream is scanned in blocks of this many characters, split
+# between matches; where nothing within OVERLAP ends a match, the next block
+# begins that much earlier, and the stream is counted in n_cut, as is one
+# that lies in more than MAX_PEELED others. The layers of one text together
+# may hold LAYER_BYTES and SHARE times the text; one beyond that is left out
+# and counted.
 LAYER_BYTES = 64 << 20
+OVERLAP, STEP, MAX_PEELED, SHARE = 1 << 20, 1 << 20, 100, 16
 
 SPANS = ("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_cut:bigint,"
          "spans:array<struct<kind:string,start:int,end:int,base:boolean>>>")
@@ -74,9 +85,12 @@ def matches(text: str) -> Iterator[tuple[int, int, int]]:
 class Layer:
     """A decoded text. ``origin`` is None for the text itself, one (start,
     end) when every character came from the same stretch, else a list with
-    the stretch of each character."""
+    the stretch of each character. ``block`` marks a block of a large
+    stream, ``cut`` that something may be lost where it ends."""
     text: str
     origin: None | tuple[int, int] | list[tuple[int, int]] = None
+    block: bool = False
+    cut: bool = False
 
     def at(self, start: int, end: int) -> tuple[int, int]:
         if self.origin is None:
@@ -86,32 +100,42 @@ class Layer:
         return self.origin[start][0], self.origin[end - 1][1]
 
 
-def in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """``layer`` with each match replaced by what ``decode`` makes of it
-    (None leaves it), or None when nothing changed."""
+def in_place(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
+    """The stretches of ``layer`` in which ``decode`` makes something of a
+    match (None leaves it), with these matches replaced."""
+    text, single = layer.text, isinstance(layer.origin, tuple)
     parts: list[str] = []
     spans: list[tuple[int, int]] = []
-    last, changed = 0, False
+    last, reach = 0, -1
 
     def keep(start: int, end: int) -> None:
-        parts.append(layer.text[start:end])
-        if not isinstance(layer.origin, tuple):
+        parts.append(text[start:end])
+        if not single:
             spans.extend([(i, i + 1) for i in range(start, end)] if layer.origin is None
                          else layer.origin[start:end])
 
-    for m in pattern.finditer(layer.text):
+    def stretch() -> Layer:
+        keep(last, reach)
+        return Layer("".join(parts), layer.origin if single else spans)
+
+    for m in pattern.finditer(text):
         found = decode(m)
         if found is None:
             continue
+        if m.start() >= reach:
+            if reach >= 0:
+                yield stretch()
+            parts, spans, start = [], [], m.start()
+            while start > max(reach, 0) and text[start - 1] in REACHED:
+                start -= 1
+            last, reach = start, REACH.match(text, m.end()).end()
         keep(last, m.start())
         parts.append(found)
-        if not isinstance(layer.origin, tuple):
+        if not single:
             spans.extend([layer.at(m.start(), m.end())] * len(found))
-        last, changed = m.end(), True
-    if not changed:
-        return None
-    keep(last, len(layer.text))
-    return Layer("".join(parts), layer.origin if isinstance(layer.origin, tuple) else spans)
+        last = m.end()
+    if reach >= 0:
+        yield stretch()
 
 
 def url_run(m: re.Match) -> str | None:
@@ -132,37 +156,94 @@ def escape(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def inflate(data: bytes) -> tuple[bytes, bool] | None:
-    """What a compressed stream holds and whether it was cut, or None when
-    ``data`` is no such stream. Several wrappings are peeled by the caller."""
-    if data[:2] == b"\x1f\x8b":
-        opener = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 < 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        opener = zlib.decompressobj(15)
-    elif data[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+class Zstd:
+    """A zstd frame with the interface of the other decompressors, fed
+    little at a time, as little may become much."""
+    def __init__(self):
         import zstandard
 
-        opener = zstandard.ZstdDecompressor().decompressobj()
+        self.inner, self.error = zstandard.ZstdDecompressor().decompressobj(), zstandard.ZstdError
+        self.held, self.at, self.eof, self.unused_data = b"", 0, False, b""
+
+    def decompress(self, data: bytes, limit: int) -> bytes:
+        self.held, self.at = (self.held[self.at:] + data, 0) if data else (self.held, self.at)
+        out = []
+        while self.at < len(self.held) and not self.eof and sum(map(len, out)) < limit:
+            piece = self.held[self.at:self.at + 512]
+            self.at += len(piece)
+            try:
+                out.append(self.inner.decompress(piece))
+            except self.error as e:
+                raise ValueError from e
+            self.eof = self.inner.eof
+        if self.eof:
+            self.unused_data = self.inner.unused_data + self.held[self.at:]
+        return b"".join(out)
+
+
+def opener_of(data: bytes):
+    """A decompressor for what ``data`` begins with, or None."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 < 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return Zstd()
+    return None
+
+
+def inflated(data: bytes, source: Iterator[bytes], state: dict) -> Iterator[bytes]:
+    """What the compressed streams that begin with ``data`` and go on in
+    ``source`` hold, one after the other, as far as they can be read.
+    ``state["ended"]`` tells whether the last one was whole."""
+    opener = opener_of(data)
+    while opener:
         try:
-            out = opener.decompress(data)
-        except (zstandard.ZstdError, MemoryError):
-            return None
-        return out[:LAYER_BYTES], len(out) > LAYER_BYTES
-    else:
-        return None
-    try:
-        out = opener.decompress(data, LAYER_BYTES)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return out, len(out) >= LAYER_BYTES
-
-
-def unwrapped(run: str) -> tuple[str, bool] | None:
-    """The text behind a base64 run, through any compressed streams."""
+            out = opener.decompress(data, STEP)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, MemoryError):
+            state["ended"] = state.get("ended", False) and not state.get("begun", True)
+            return
+        state["begun"] = True
+        data = getattr(opener, "unconsumed_tail", b"")
+        if out:
+            yield out
+        if opener.eof:
+            state["ended"], data = True, opener.unused_data
+            while len(data) < 6 and (more := next(source, b"")):
+                data += more
+            opener, state["begun"] = opener_of(data), False
+        elif not out and not data and not (data := next(source, b"")):
+            state["ended"] = False
+            return
+
+
+def texts_of(source: Iterator[bytes]) -> Iterator[tuple[str, bool, bool]]:
+    """The blocks of a stream's text, whether it is large, and whether
+    something may be lost where the block ends."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held, size, large = [], 0, False
+    for data in chain(source, [None]):
+        held.append(decoder.decode(data or b"", data is None))
+        size += len(held[-1])
+        large = large or size > STEP
+        while size > LAYER_BYTES:
+            text = "".join(held)
+            end = LAYER_BYTES
+            while end > LAYER_BYTES - OVERLAP and text[end - 1] in REACHED:
+                end -= 1
+            cut = end == LAYER_BYTES - OVERLAP
+            yield text[:LAYER_BYTES if cut else end], True, cut
+            held, size = [text[end:]], len(text) - end
+    yield "".join(held), large, False
+
+
+def unwrapped(run: str) -> tuple[Iterator[tuple[str, bool, bool]], bool] | None:
+    """The blocks of the text behind a base64 run, through any compressed
+    streams, and whether the run holds whole streams."""
     body = run.rstrip("=")
     if len(body) % 4 == 1:
         return None
@@ -171,26 +252,36 @@ def unwrapped(run: str) -> tuple[str, bool] | None:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    cut, seen = False, set()
-    while (found := inflate(data)) is not None:
-        data, cut = found[0], cut or found[1]
-        mark = hashlib.sha256(data).digest()
-        if mark in seen:  # a stream that unpacks to itself
+    source, seen, outer = iter(()), {hashlib.sha256(data).digest()}, None
+    while opener_of(data) is not None:
+        if len(seen) > MAX_PEELED:
+            return iter([("", False, True)]), False
+        state: dict = {}
+        below = inflated(data, source, state)
+        first = next(below, b"")
+        while first and len(first) < 6 and (more := next(below, b"")):
+            first += more
+        if not first:
+            break
+        mark = hashlib.sha256(first).digest()
+        if mark in seen and len(first) < STEP:  # a stream that unpacks to itself
             return None
-        seen.add(mark)
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        if not seen:
+        seen.add(mark if len(first) < STEP else len(seen))
+        data, source, outer = first, below, outer or state
+    if outer is None:
+        try:
+            return iter([(data.decode(), False, False)]), False
+        except UnicodeDecodeError:
             return None
-        text = data.decode("utf-8", "replace")
-    return text, cut
+    blocks = texts_of(chain([data], source))
+    first = next(blocks)
+    return chain([first], blocks), outer.get("ended", False)
 
 
-def decoded_runs(text: str) -> Iterator[tuple[int, int, tuple[str, bool]]]:
-    """(start, end, what is behind it) of the base64 runs. A run goes on over
-    single line breaks while the lines are equally long; the last may be
-    shorter, or no part of it. Lines that give nothing together are tried
+def decoded_runs(text: str) -> Iterator[tuple[int, int, Iterator[tuple[str, bool, bool]]]]:
+    """(start, end, the blocks behind it) of the base64 runs. A run goes on
+    over single line breaks while the lines are equally long; the last may be
+    shorter, or no part of it, as when the streams end before it. Lines that give nothing together are tried
     one by one."""
     done = tried = 0
     for m in BASE64_RUN.finditer(text):
@@ -204,28 +295,31 @@ def decoded_runs(text: str) -> Iterator[tuple[int, int, tuple[str, bool]]]:
             whole = "".join(lines)
             ways = [(end, whole)] if len(lines) > 1 else []
             if line and 0 < len(line[1]) + len(line[2]) <= len(m[0]):
-                ways.insert(0, (line.end(), whole + line[1] + line[2]))
-            tried = end
+                ways = [(end, whole), (line.end(), whole + line[1] + line[2])]
+            tried, best = end, None
             for end, run in ways:
                 if found := unwrapped(run):
-                    yield m.start(), end, found
-                    done = end
-                    break
-            if done > m.start():
+                    best = end, found[0]
+                    if found[1]:
+                        break
+            if best:
+                done = best[0]
+                yield m.start(), *best
                 continue
         if found := unwrapped(m[0]):
-            yield m.start(), m.end(), found
+            yield m.start(), m.end(), found[0]
 
 
-def derived(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """The layers one step below ``layer``, and whether each was cut."""
+def derived(layer: Layer) -> Iterator[Layer]:
+    """The layers one step below ``layer``."""
     text = layer.text
-    if "%" in text and (below := in_place(layer, URL_RUN, url_run)):
-        yield below, False
-    if ("\\" in text or "&#" in text) and (below := in_place(layer, ESCAPE, escape)):
-        yield below, False
-    for start, end, found in decoded_runs(text):
-        yield Layer(found[0], layer.at(start, end)), found[1]
+    if "%" in text:
+        yield from in_place(layer, URL_RUN, url_run)
+    if "\\" in text or "&#" in text:
+        yield from in_place(layer, ESCAPE, escape)
+    for start, end, blocks in decoded_runs(text):
+        for below, block, cut in blocks:
+            yield Layer(below, layer.at(start, end), block, cut)
 
 
 def scan(text: str) -> dict:
@@ -233,26 +327,32 @@ def scan(text: str) -> dict:
     by start, kind and end."""
     first = list(matches(text))
     spans = {(start, kind, end): True for kind, start, end in first}
-    n_cut, held, seen = 0, 0, set()
-    work = deque([Layer(text)])
+    n_cut, held, seen, most = 0, 0, set(), LAYER_BYTES + SHARE * len(text)
+    # What is below each layer. The blocks of a large stream are gone through
+    # one by one, so that no two are held, and do not count.
+    work = deque([derived(Layer(text))])
     while work:
-        layer = work.popleft()
-        for below, cut in derived(layer):
-            n_cut += cut
+        layers = work.popleft()
+        for below in layers:
+            n_cut += below.cut
             origin = below.origin
             mark = (hashlib.sha256(below.text.encode("utf-8", "replace")).digest(),
-                    origin if isinstance(origin, tuple) else None)
-            if mark in seen or below.text == text:
+                    origin if isinstance(origin, tuple) else (origin[0], origin[-1]))
+            if mark in seen or below.text == text or not below.text:
                 continue
             seen.add(mark)
-            held += len(below.text)
-            if held > LAYER_BYTES:
+            if not below.block and held + len(below.text) > most:
                 n_cut += 1
                 continue
             for kind, start, end in matches(below.text):
                 s, e = below.at(start, end)
                 spans.setdefault((s, kind, e), False)
-            work.append(below)
+            if below.block:
+                work.appendleft(layers)
+                work.appendleft(derived(below))
+                break
+            held += len(below.text)
+            work.append(derived(below))
     counts = [sum(kind == k for kind, _, _ in first) for k in range(3)]
     return {"n_assign": counts[0], "n_access": counts[1], "n_hex": counts[2], "n_cut": n_cut,
             "spans": [{"kind": KINDS[k], "start": s, "end": e, "base": base}

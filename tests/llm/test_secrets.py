@@ -99,6 +99,46 @@ def test_wrapped_base64_is_one_layer(width, line_end):
     assert (0, 0, len(line)) in found(f"{line}\n{other}", base=False)
 
 
+def test_long_texts_keep_their_layers(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 50_000)
+    code = base64.b64encode(urllib.parse.quote(SECRET, safe="").encode()).decode()
+    text = "some words, " * 6000 + f"%41 and, {code}, {urllib.parse.quote(SECRET)}"
+    got = secrets.scan(text)
+    assert got["n_cut"] == 0
+    assert {(s["start"], s["kind"]) for s in got["spans"]} >= {(text.index(code), "assign"), (text.index("token"), "assign")}
+
+
+def test_streams_are_scanned_to_their_end(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 50_000)
+    monkeypatch.setattr(secrets, "OVERLAP", 2_000)
+    inner = base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    raw = ("some words, " * 9000 + SECRET + ", " + "other words, " * 9000 + inner).encode()
+    for code in (gzip.compress(raw), bz2.compress(raw), zlib.compress(raw), gzip.compress(gzip.compress(raw))):
+        code = base64.b64encode(code).decode()
+        got = secrets.scan(code)
+        assert got["n_cut"] == 0 and {s["kind"] for s in got["spans"] if not s["base"]} >= {"assign", "hex"}
+    only = base64.b64encode(gzip.compress(("other words, " * 9000 + inner).encode())).decode()
+    assert (0, 0, len(only)) in found(only, base=False)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, zlib.compress])
+def test_every_member_of_a_stream_is_scanned(pack):
+    code = base64.b64encode(pack(b"nothing here, ") + pack(SECRET.encode())).decode()
+    assert (0, 0, len(code)) in found(code, base=False)
+    # A whole stream ends with its line, whatever the next line begins with.
+    line = base64.b64encode(pack(SECRET.encode())).decode().rstrip("=")
+    assert (0, 0, len(line)) in found(f"{line}\nnext words", base=False)
+
+
+def test_a_refused_layer_costs_nothing(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    monkeypatch.setattr(secrets, "SHARE", 0)
+    large = base64.b64encode(("some words, " * 90).encode()).decode()
+    small = base64.b64encode(SECRET.encode()).decode()
+    got = secrets.scan(f"{large}, {small}")
+    assert got["n_cut"] == 1 and any(s["start"] == len(large) + 2 for s in got["spans"])
+
+
 def test_redaction():
     text = f"x {SECRET} y {base64.b64encode(SECRET.encode()).decode()} z"
     masked = secrets.redacted(text, "[SECRET]")
