@@ -81,3 +81,29 @@ def global_prefix(scratch: Scratch, df: DataFrame, order: list[Column], sums: di
     out = out.join(F.broadcast(offsets), "_part")
     out = out.withColumns({o: F.col(f"_in_{o}") + F.col(f"_before_{o}") for o in sums})
     return out.drop("_part", "_tie", *[f"_in_{o}" for o in sums], *[f"_before_{o}" for o in sums])
+
+
+# A table of up to this many rows of a few numbers or short strings may be
+# broadcast (some 20 MB at most); a longer one is shuffled.
+BROADCAST_ROWS = 1 << 17
+SALTS = 16
+
+
+def with_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: Column,
+                how: str = "left", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``lookup``, a written table with one row per
+    ``keys`` (null equals null) and no other column of ``rows``. A short
+    lookup is broadcast, its rows counted first. Else both are shuffled,
+    every key dealt to ``salts`` tasks by ``spread_by``, so that a key
+    which a third of the rows share does not fill one task."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    right = lookup.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, name in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    if lookup.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(right), same, how).drop(*names.values())
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    right = right.withColumn("_salt_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(right, same & (F.col("_salt") == F.col("_salt_of")), how) \
+        .drop("_salt", "_salt_of", *names.values())

@@ -3,7 +3,7 @@ others are tested against brute force (tests/llm)."""
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, vector_codes
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -121,9 +121,42 @@ SELECT doc_id, w.source, w.lang, w.topic, n_tokens, round(weight, 9) AS weight,
 FROM w JOIN g ON w.source IS NOT DISTINCT FROM g.source AND w.lang IS NOT DISTINCT FROM g.lang AND w.topic = g.topic"""
 
 
+# -- 13: every distance of every round -----------------------------------------------
+
+def vector_codes_sql() -> str:
+    """Parts as lists of whole numbers; a codebook after each round, and all
+    entries compared with all parts."""
+    v = vector_codes
+    steps = []
+    for k in range(v.ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, label, p, x, arg_min(struct_pack(e := e, d := d), (d, e)) AS near FROM (
+  SELECT vec_id, label, cut.p, cut.x, e, list_sum(list_transform(list_zip(cut.x, b{k}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM cut JOIN b{k} ON cut.p = b{k}.p) GROUP BY 1, 2, 3, 4)""")
+        if k < v.ROUNDS:
+            steps.append(f"""s{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (
+  SELECT p, near.e AS e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM a{k}, range(1, len(x) + 1) t(j) GROUP BY 1, 2, 3)
+  GROUP BY 1, 2),
+b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN s{k} USING (p, e))""")
+    last = v.ROUNDS
+    return f"""
+WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * {v.SCALE}) AS BIGINT)) AS y
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, label, p, list_slice(y, p * len(y) // {v.PARTS} + 1, (p + 1) * len(y) // {v.PARTS}) AS x
+  FROM w, range({v.PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM cut
+  WHERE vec_id IN (SELECT vec_id FROM w ORDER BY vec_id LIMIT {v.ENTRIES})),
+{", ".join(steps)},
+found AS (SELECT vec_id, label, string_agg(printf('%02x', near.e), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error
+  FROM a{last} GROUP BY 1, 2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{last}) AS codebooks_sha256
+FROM found"""
+
+
 ORACLE = {
     "op4_ngram_jaccard_join": NGRAM_JOIN,
     "op5_embedding_near_dedup": EMBEDDINGS,
     "op7_chat_formatting": CHAT,
     "op10_source_mixing": mixing_sql(),
+    "op13_vector_codes": vector_codes_sql(),
 }
