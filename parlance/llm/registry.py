@@ -2,7 +2,7 @@
 SQL can express."""
 
 from . import sql as _sql
-from . import bpe, chat, embedding_graph, mixing, ngram_join, quality, secrets, sharding, tokens, toxicity, vector_codes
+from . import alignment, bpe, chat, embedding_graph, mixing, ngram_join, quality, secrets, sharding, tokens, toxicity, vector_codes
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8,
     "op9_toxicity": toxicity.op9,
     "op10_source_mixing": mixing.op10,
+    "op11_alignment": alignment.op11,
     "op13_vector_codes": vector_codes.op13,
 }
 
