@@ -2,7 +2,7 @@
 SQL can express."""
 
 from . import sql as _sql
-from . import alignment, bpe, chat, embedding_graph, mixing, ngram_join, quality, secrets, sharding, tokens, toxicity, vector_codes
+from . import alignment, bpe, chat, embedding_graph, mixing, ngram_join, pii, quality, secrets, sharding, tokens, toxicity, vector_codes
 
 QUERIES = {
     "op1_token_counts": tokens.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9,
     "op10_source_mixing": mixing.op10,
     "op11_alignment": alignment.op11,
+    "op12_private_data": pii.op12,
     "op13_vector_codes": vector_codes.op13,
 }
 
