@@ -25,8 +25,10 @@ an empty ``groups``. Repeated rows and null ids are rows of their own."""
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .tokens import byte_slices
+from .tokens import Memo, byte_slices
 
 # Most pairs that are broadcast, some 6 MB.
 HOT_PAIRS = 1 << 18
+# Bytes of text that are tokenised at a time, unless one text is longer.
+SLICE_BYTES = 1 << 20
+# Words kept in memory by a worker, twice over: some 90 MB at most.
+WORDS = 150_000
+# Texts given to a tokenizer at a time.
+ENCODED = 1024
 # Probes beside the middle before the rest of an interval is tried at once.
 PROBES = 32
 
+INNER_SPACE = re.compile(r"\S ")
+SPACE_AFTER_SPACE = re.compile(r"\s ")
+WORD_BREAK = re.compile(r"(?<=\S)(?= +[^ ])")
+
 ALIGNED = ("n_a long, n_b long, n_groups long, n_links long, groups string,"
            " pair_a array<int>, pair_b array<int>, pair_links array<int>")
 
@@ -56,13 +68,25 @@ def _byte_of_letter() -> dict[str, int]:
 
 @dataclass
 class Pieces:
-    """One tokenizer: ``encode`` gives the ids of each text of a list,
-    ``of[id]`` the id's bytes."""
-    encode: object
+    """One tokenizer: ``encode`` gives the ids of texts that begin with a
+    space, ``of[id]`` the id's bytes. ``apart`` tells that no token joins a
+    letter to a space after it, so that a text can be encoded word by word."""
+    encode: Callable[[list[str]], list[list[int]]]
     of: list[bytes]
+    apart: bool = True
 
     def __post_init__(self):
         self.sizes = np.array([len(p) for p in self.of], np.int64)
+        self.apart = self.apart and not any(INNER_SPACE.search(p.decode(errors="replace")) for p in self.of)
+
+    def encoded(self, texts: list[str]) -> list[list[int] | None]:
+        """The ids of each text; None where they do not join to it."""
+        out = []
+        for at in range(0, len(texts), ENCODED):
+            part = texts[at:at + ENCODED]
+            out += [ids if b"".join(map(self.of.__getitem__, ids)) == text.encode() else None
+                    for ids, text in zip(self.encode(part), part)]
+        return out
 
 
 def byte_level(path: str) -> Pieces:
@@ -82,7 +106,7 @@ def byte_level(path: str) -> Pieces:
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    return Pieces(encode, of)
+    return Pieces(encode, of, tokenizer.normalizer is None)
 
 
 def sentence_pieces(path: str) -> Pieces:
@@ -94,7 +118,7 @@ def sentence_pieces(path: str) -> Pieces:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         of.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Pieces(lambda texts: model.encode(texts, num_threads=1), of)
+    return Pieces(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), of)
 
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -143,6 +167,15 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, low: np.ndarray, high: n
     return np.sort(np.concatenate(found))
 
 
+def words_of(text: str) -> list[str]:
+    """A text that begins with a space, cut before each space that follows
+    another kind of letter, without the spaces cut at. White space stays
+    together, as do the spaces that end a text."""
+    if SPACE_AFTER_SPACE.search(text, 1) is None and text[-1] != " ":
+        return text[1:].split(" ")
+    return [w[1:] for w in WORD_BREAK.split(text)]
+
+
 def _id_letters(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Decimal ids as rows of letters with room for a separator, and their lengths."""
     width = len(str(max(n - 1, 0)))
@@ -155,24 +188,41 @@ class Aligner:
     def __init__(self, a: Pieces, b: Pieces):
         self.a, self.b = a, b
         self.letters = _id_letters(max(len(a.of), len(b.of)))
-
-    def tokens(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both kinds; none for texts that do not come back."""
-        plain = [t.decode() for t in texts]
-        out = []
-        for ids, of in ((self.a.encode([" " + t for t in plain]), self.a.of), (self.b.encode(plain), self.b.of)):
-            out.append([i if t and b"".join(map(of.__getitem__, i)) == b" " + t else None for i, t in zip(ids, texts)])
-        for k, (x, y) in enumerate(zip(*out)):
-            if x is None or y is None:
-                out[0][k], out[1][k] = [], []
-        return out[0], out[1]
+        # word -> packed ids of both kinds with the space before it, or two
+        # None where they do not join to it
+        self.memo = Memo(WORDS)
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), ENCODED):
+            part = words[at:at + ENCODED]
+            both = [kind.encoded([" " + w for w in part]) for kind in (self.a, self.b)]
+            self.memo.young.update((w, (None, None) if x is None or y is None else
+                                    (array("I", x).tobytes(), array("I", y).tobytes())) for w, x, y in zip(part, *both))
+
+    def tokens(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Packed ids of both kinds; none for texts that do not come back."""
+        words = [words_of(" " + t) if t and self.a.apart and self.b.apart else [t] if t else [] for t in texts]
+        self.learn(list(self.memo.missing(set().union(*words))))
+        known = self.memo.young.__getitem__
+        out = [], []
+        for text, own in zip(texts, words):
+            ids_a, ids_b = zip(*map(known, own)) if own else ((), ())
+            if None in ids_a:  # one word alone did not: the whole text decides
+                ids_a, ids_b = [] if len(own) == 1 else [kind.encoded([" " + text])[0] for kind in (self.a, self.b)], ()
+                if ids_a and None not in ids_a:
+                    ids_a, ids_b = ([array("I", ids).tobytes()] for ids in ids_a)
+                else:
+                    ids_a = ()
+            out[0].append(b"".join(ids_a))
+            out[1].append(b"".join(ids_b))
+        return out
 
     def align(self, texts: list[bytes]) -> list[pa.Array]:
         """The columns of ``ALIGNED`` for a slice of texts."""
-        ids_a, ids_b = self.tokens(texts)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+        ids_a, ids_b = self.tokens([t.decode() for t in texts])
+        n_a, n_b = (np.array([len(x) // 4 for x in ids], np.int64) for ids in (ids_a, ids_b))
         first_a, first_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        flat_a, flat_b = (np.frombuffer(b"".join(ids), np.uint32).astype(np.int64) for ids in (ids_a, ids_b))
         # Offsets run on from text to text, so the last end of each is shared.
         ends_a, ends_b = np.cumsum(self.a.sizes[flat_a]), np.cumsum(self.b.sizes[flat_b])
         some = n_a > 0
@@ -233,17 +283,19 @@ class Aligner:
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def aligned(path_a: str, path_b: str):
-    """A struct of ``ALIGNED`` from a text."""
-    @F.arrow_udf(f"struct<{ALIGNED.replace(' ', ': ').replace(',:', ',')}>")
-    def run(texts: pa.Array) -> pa.Array:
+def _aligning(path_a: str, path_b: str):
+    """(id, text) -> (id, ``ALIGNED``), a slice of texts at a time, so that
+    no more than a slice's tokens are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (path_a, path_b)
         if key not in _aligners:
             _aligners[key] = Aligner(byte_level(path_a), sentence_pieces(path_b))
-        parts = [_aligners[key].align(part) for part in byte_slices(texts)]
-        names = [f.split()[0] for f in ALIGNED.split(", ")]
-        empty = _aligners[key].align([])
-        return pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(empty, *parts)], names)
+        names = ["_id", *(f.split()[0] for f in ALIGNED.split(", "))]
+        for batch in batches:
+            at = 0
+            for part in byte_slices(batch.column(1), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *_aligners[key].align(part)], names)
+                at += len(part)
     return run
 
 
@@ -251,8 +303,9 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     """Per row ``id_col`` and the columns of ``ALIGNED``: counts of tokens,
     groups and links, the groups written out, and per distinct pair of ids
     how many links the text has. Other columns are not read."""
-    return docs.select(F.col(id_col).alias("_id"), aligned(path_a, path_b)(F.col(text_col)).alias("_found")) \
-        .select("_id", "_found.*").withColumnRenamed("_id", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(_aligning(path_a, path_b), f"_id {kind}, {ALIGNED}") \
+        .withColumnRenamed("_id", id_col)
 
 
 def _occurrences(found: DataFrame, *keys: str) -> DataFrame:

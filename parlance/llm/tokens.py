@@ -44,18 +44,25 @@ def tokenizer_digest(path: str) -> str:
 class Memo:
     """Results by word, in two generations: when the young one is full it
     becomes the old one, and old results in use move up. Words that keep
-    coming stay, and at most twice ``limit`` plus one slice's words are held."""
+    coming stay, and at most twice ``limit`` plus one slice's words are held.
+    Words over ``LONG_WORD`` bytes or letters go with the next slice, so that
+    the memory is bounded whatever the texts hold."""
 
-    def __init__(self, limit: int = 250_000):
-        self.limit, self.young, self.old = limit, {}, {}
+    LONG_WORD = 64
 
-    def missing(self, words: set[bytes]) -> set[bytes]:
+    def __init__(self, limit: int = 100_000):
+        self.limit, self.young, self.old, self.long = limit, {}, {}, []
+
+    def missing(self, words: set) -> set:
         """The words without a result; all others are in ``young`` after."""
+        for w in self.long:
+            self.young.pop(w, None)
         if len(self.young) + len(words) > self.limit:
             self.old, self.young = self.young, {}
         new = words.difference(self.young)
         held = new.intersection(self.old)
         self.young.update((w, self.old[w]) for w in held)
+        self.long = [w for w in new if len(w) > self.LONG_WORD]
         return new - held
 
 
