@@ -42,10 +42,10 @@ from .tokens import Memo, byte_slices
 HOT_PAIRS = 1 << 18
 # Bytes of text that are tokenised at a time, unless one text is longer.
 SLICE_BYTES = 1 << 20
-# Words kept in memory by a worker, twice over: some 90 MB at most.
-WORDS = 150_000
-# Texts given to a tokenizer at a time.
-ENCODED = 1024
+# Words kept in memory by a worker, twice over: some 180 MB at most.
+WORDS = 300_000
+# Words encoded in one run.
+RUN_WORDS = 256
 # Probes beside the middle before the rest of an interval is tried at once.
 PROBES = 32
 
@@ -79,14 +79,32 @@ class Pieces:
         self.sizes = np.array([len(p) for p in self.of], np.int64)
         self.apart = self.apart and not any(INNER_SPACE.search(p.decode(errors="replace")) for p in self.of)
 
-    def encoded(self, texts: list[str]) -> list[list[int] | None]:
-        """The ids of each text; None where they do not join to it."""
-        out = []
-        for at in range(0, len(texts), ENCODED):
-            part = texts[at:at + ENCODED]
-            out += [ids if b"".join(map(self.of.__getitem__, ids)) == text.encode() else None
-                    for ids, text in zip(self.encode(part), part)]
-        return out
+    def alone(self, text: str) -> bytes | None:
+        """The packed ids of a text and a space before it; None where they
+        do not join to it."""
+        ids = self.encode([" " + text])[0]
+        return array("I", ids).tobytes() if b"".join(map(self.of.__getitem__, ids)) == (" " + text).encode() else None
+
+    def words(self, words: list[str]) -> list[bytes | None]:
+        """:meth:`alone` for many words: those that end in a letter are
+        encoded one behind the other, since nothing joins them, and the ids
+        cut where the words end."""
+        out: dict[int, bytes | None] = {i: self.alone(w) for i, w in enumerate(words) if not w or w[-1].isspace()}
+        rest = [i for i in range(len(words)) if i not in out]
+        runs = [rest[at:at + RUN_WORDS] for at in range(0, len(rest), RUN_WORDS)]
+        texts = ["".join(" " + words[i] for i in run) for run in runs]
+        for run, text, ids in zip(runs, texts, self.encode(texts)):
+            ends = np.cumsum(self.sizes[ids])
+            want = np.cumsum([len(words[i].encode()) + 1 for i in run])
+            stop = np.searchsorted(ends, want)
+            if b"".join(map(self.of.__getitem__, ids)) != text.encode() or not np.array_equal(ends[stop], want):
+                out.update((i, self.alone(words[i])) for i in run)
+                continue
+            packed, at = array("I", ids).tobytes(), 0
+            for i, end in zip(run, (4 * (stop + 1)).tolist()):
+                out[i] = packed[at:end]
+                at = end
+        return [out[i] for i in range(len(words))]
 
 
 def byte_level(path: str) -> Pieces:
@@ -193,11 +211,8 @@ class Aligner:
         self.memo = Memo(WORDS)
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), ENCODED):
-            part = words[at:at + ENCODED]
-            both = [kind.encoded([" " + w for w in part]) for kind in (self.a, self.b)]
-            self.memo.young.update((w, (None, None) if x is None or y is None else
-                                    (array("I", x).tobytes(), array("I", y).tobytes())) for w, x, y in zip(part, *both))
+        both = zip(*(kind.words(words) for kind in (self.a, self.b)))
+        self.memo.young.update((w, ids if None not in ids else (None, None)) for w, ids in zip(words, both))
 
     def tokens(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids of both kinds; none for texts that do not come back."""
@@ -208,11 +223,8 @@ class Aligner:
         for text, own in zip(texts, words):
             ids_a, ids_b = zip(*map(known, own)) if own else ((), ())
             if None in ids_a:  # one word alone did not: the whole text decides
-                ids_a, ids_b = [] if len(own) == 1 else [kind.encoded([" " + text])[0] for kind in (self.a, self.b)], ()
-                if ids_a and None not in ids_a:
-                    ids_a, ids_b = ([array("I", ids).tobytes()] for ids in ids_a)
-                else:
-                    ids_a = ()
+                whole = [kind.alone(text) for kind in (self.a, self.b)]
+                ids_a, ids_b = ((), ()) if None in whole else ([ids] for ids in whole)
             out[0].append(b"".join(ids_a))
             out[1].append(b"".join(ids_b))
         return out

@@ -50,7 +50,7 @@ class Memo:
 
     LONG_WORD = 64
 
-    def __init__(self, limit: int = 100_000):
+    def __init__(self, limit: int = 150_000):
         self.limit, self.young, self.old, self.long = limit, {}, {}, []
 
     def missing(self, words: set) -> set:
