@@ -117,30 +117,35 @@ def min_len_or_null(x: Column | str, n: int) -> Column:
     return F.when(F.size(x) >= n, x)
 
 
-def resample(x: Column | str, r_in: int, r_out: int) -> Column:
+def resample(x: Column | str, r_in: int | Column | str, r_out: int | Column | str) -> Column:
     """Linear-interpolation resampling to ``r_out``; length
     ``floor(n * r_out / r_in)``, the last sample held at the end. Not
-    band-limited (no anti-alias filter)."""
-    if r_in == r_out:
+    band-limited (no anti-alias filter). The rates are whole numbers, given
+    or from columns, so that rows of different rates become one; a null or
+    not positive rate gives null."""
+    if isinstance(r_in, int) and isinstance(r_out, int) and r_in == r_out:
         return _c(x)
+    r_in, r_out = ((F.lit(r) if isinstance(r, int) else _c(r)).cast("long") for r in (r_in, r_out))
 
-    def interpolated(x: Column) -> Column:
+    def interpolated(given: Column) -> Column:
+        x, r_in, r_out = (given[k] for k in ("x", "r_in", "r_out"))
         n = F.size(x)
-        m = F.floor(n.cast("long") * F.lit(r_out) / F.lit(r_in))
+        m = F.floor(n.cast("long") * r_out / F.nullif(r_in, F.lit(0)))
 
         def at(i: Column) -> Column:
             # Whole numbers up to the last division: no drift along the signal.
-            t = i * F.lit(r_in).cast("long")
-            left = t % F.lit(r_out).cast("long")
-            k = ((t - left) / F.lit(r_out)).cast("int")
+            t = i * r_in
+            left = t % r_out
+            k = ((t - left) / r_out).cast("int")
             a = F.element_at(x, F.least(k + 1, n))
             b = F.element_at(x, F.least(k + 2, n))
-            return a + left / F.lit(float(r_out)) * (b - a)
+            return a + left / r_out.cast("double") * (b - a)
 
-        return F.when(m > 0, F.transform(F.sequence(F.lit(0).cast("long"), m - 1), at)) \
-                .when(m == 0, F.array().cast("array<double>"))
+        return F.when(r_in == r_out, x) \
+                .when((r_in > 0) & (r_out > 0) & (m > 0), F.transform(F.sequence(F.lit(0).cast("long"), m - 1), at)) \
+                .when((r_in > 0) & (r_out > 0) & (m == 0), F.array().cast("array<double>"))
 
-    return bound(x, interpolated)
+    return bound(F.struct(_c(x).alias("x"), r_in.alias("r_in"), r_out.alias("r_out")), interpolated)
 
 
 def l2_normalize(v: Column | str) -> Column:
@@ -170,18 +175,25 @@ def _highpass_poles(order: int, fc: float, fs: float):
     return poles, gain
 
 
+@functools.lru_cache(maxsize=16)
+def highpass_modes(order: int, fc: float, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """(poles, residues) of the filter's partial fractions: beside the
+    sample itself times the gain, a past sample counts for the sum of
+    residue * pole ** (how long ago it was)."""
+    poles, gain = _highpass_poles(order, fc, fs)
+    return poles, np.array([gain * (1 - 1 / p) ** order / np.prod(1 - np.delete(poles, i) / p)
+                            for i, p in enumerate(poles)])
+
+
 @functools.lru_cache(maxsize=16)
 def _impulse_response(order: int, fc: float, fs: float, n: int) -> np.ndarray:
     """First ``n`` samples of the filter's impulse response, by partial
     fractions over its distinct poles."""
-    poles, gain = _highpass_poles(order, fc, fs)
+    poles, residues = highpass_modes(order, fc, fs)
+    gain = _highpass_poles(order, fc, fs)[1]
     h = np.zeros(n)
     if n == 0:
         return h
-    residues = []
-    for i, p in enumerate(poles):
-        others = np.delete(poles, i)
-        residues.append(gain * (1 - 1 / p) ** order / np.prod(1 - others / p))
     t = np.arange(n)
     acc = np.zeros(n, dtype=complex)
     for r, p in zip(residues, poles):
@@ -194,14 +206,18 @@ def _impulse_response(order: int, fc: float, fs: float, n: int) -> np.ndarray:
 def highpass_numpy(x: np.ndarray, fc: float, fs: float, order: int = FILTER_ORDER) -> np.ndarray:
     """Causal filtering with zero initial state (``y = h * x`` cut to the
     signal's length), rounded to float32 like the reference's tensors."""
+    return highpass_exact(x, fc, fs, order).astype(np.float32).astype(np.float64)
+
+
+def highpass_exact(x: np.ndarray, fc: float, fs: float, order: int = FILTER_ORDER) -> np.ndarray:
+    """:func:`highpass_numpy` before rounding."""
     n = len(x)
     if n == 0:
         return np.asarray(x, dtype=np.float64)
     size = 1 << int(np.ceil(np.log2(2 * n)))
     cached = 1 << int(np.ceil(np.log2(max(n, 1024))))
     h = _impulse_response(order, float(fc), float(fs), cached)[:n]
-    y = np.fft.irfft(np.fft.rfft(np.asarray(x, dtype=np.float64), size) * np.fft.rfft(h, size), size)[:n]
-    return y.astype(np.float32).astype(np.float64)
+    return np.fft.irfft(np.fft.rfft(np.asarray(x, dtype=np.float64), size) * np.fft.rfft(h, size), size)[:n]
 
 
 def filtered_or_none(x, fc: float, fs: float, order: int) -> np.ndarray | None:

@@ -81,3 +81,28 @@ def sequence(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] =
         name, (F.col("_seq_off") + F.col("_seq_mid") - F.col("_seq_m0") + 1).cast("long"))
     drop = ["_seq_mid", "_seq_m0", "_seq_off", "_seq_part", "_seq_p2"]
     return out.drop(*drop, *[f"_seq_k{i}" for i in range(len(keys))])
+
+
+def running_total(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = (),
+                  name: str = "before", partitions: int | None = None) -> DataFrame:
+    """Add ``name``: the sum of the long column ``value`` over the rows of
+    the same ``keys`` that come before by ``order`` (total inside a group;
+    null keys form one group). As in :func:`sequence` a group is spread over
+    many tasks: sums inside each range partition, plus what earlier
+    partitions hold of the group. ``df`` should be narrow."""
+    n = partitions or target_partitions(df)
+    keys = list(keys)
+    ranged = stable(df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
+                      .withColumn("_sum_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_sum_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_sum_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    names = [f"_sum_k{i}" for i in range(len(keys))]
+    runs = ranged.groupBy(F.col("_sum_part").alias("_sum_p2"), *[F.col(k).alias(m) for k, m in zip(keys, names)]) \
+                 .agg(F.sum(value).alias("_sum_n"))
+    before = Window.partitionBy(*names).orderBy("_sum_p2").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.withColumn("_sum_off", F.coalesce(F.sum("_sum_n").over(before), F.lit(0))).drop("_sum_n")
+    same = F.col("_sum_part") == F.col("_sum_p2")
+    for k, m in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(m))
+    return ranged.join(offsets, same).withColumn(name, (F.col("_sum_in") + F.col("_sum_off")).cast("long")) \
+                 .drop("_sum_part", "_sum_in", "_sum_p2", "_sum_off", *names)

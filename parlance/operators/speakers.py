@@ -20,8 +20,11 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 from .ordinal import sequence
 
@@ -128,27 +131,58 @@ def clip_score(text_col: str = "text", duration_col: str = "duration") -> Column
     return F.length(F.col(text_col)) * F.col(duration_col)
 
 
+def wide_columns(df: DataFrame) -> list[str]:
+    """The columns that may hold a signal or another long value, which
+    sorts and exchanges should not carry along."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType, BinaryType))]
+
+
+def fetch(narrow: DataFrame, df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``narrow`` with the columns ``cols`` of the rows of ``df`` that it has
+    by ``keys``, which tell the rows of ``df`` apart (null equals null).
+    With few rows in ``narrow`` AQE broadcasts them, and the others of
+    ``df`` are read but not moved."""
+    own = {k: f"_fetch_{i}" for i, k in enumerate(keys)}
+    right = df.select(*[F.col(k).alias(own[k]) for k in keys], *cols)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(own[k]))
+    return narrow.join(right, same).drop(*own.values())
+
+
 def rank_clips(df: DataFrame, speaker_col: str = SPK, score: Column | None = None,
                order_cols=("source_no", "pos"), name: str = "clip_rank") -> DataFrame:
     """1-based rank of every clip inside its speaker by score
     descending; ties keep source order (Python's sort is stable). Exact and
-    skew-safe (range partitioned, see ``ordinal.sequence``)."""
+    skew-safe (range partitioned, see ``ordinal.sequence``). Where ``df``
+    has wide columns only speaker, score and ``order_cols`` (which tell the
+    clips of a speaker apart) are sorted, and the rest is fetched by them."""
     score = clip_score() if score is None else score
-    scored = df.withColumn("_score", score)
+    wide = wide_columns(df)
+    keys = [speaker_col, *order_cols]
+    scored = (df.select(*keys, score.alias("_score")) if wide else df.withColumn("_score", score))
     out = sequence(scored, [F.col("_score").desc_nulls_last()] + [F.col(c).asc() for c in order_cols],
-                   keys=[speaker_col], name=name)
-    return out.drop("_score")
+                   keys=[speaker_col], name=name).drop("_score")
+    if not wide:
+        return out
+    return fetch(out, df, keys, [c for c in df.columns if c not in keys]).select(*df.columns, name)
 
 
 def top_clips(df: DataFrame, k: int = 5, speaker_col: str = SPK, score: Column | None = None,
               order_cols=("source_no", "pos"), name: str = "clip_rank") -> DataFrame:
     """The best ``k`` clips per speaker (fewer if it has fewer), with
-    their rank. Planned as partial + final ``WindowGroupLimit``."""
+    their rank. Planned as partial + final ``WindowGroupLimit``; wide columns
+    are fetched for the clips that stay, as in :func:`rank_clips`."""
     score = clip_score() if score is None else score
+    wide, keys = wide_columns(df), [speaker_col, *order_cols]
     w = Window.partitionBy(speaker_col).orderBy(
-        *([score.desc_nulls_last()] + [F.col(c).asc() for c in order_cols]))
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k) \
-             .withColumn(name, F.col(name).cast("long"))
+        *([F.col("_score").desc_nulls_last()] + [F.col(c).asc() for c in order_cols]))
+    scored = df.select(*keys, score.alias("_score")) if wide else df.withColumn("_score", score)
+    top = scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k) \
+                .withColumn(name, F.col(name).cast("long")).drop("_score")
+    if not wide:
+        return top
+    return fetch(top, df, keys, [c for c in df.columns if c not in keys]).select(*df.columns, name)
 
 
 def total_duration(df: DataFrame, speaker_col: str = SPK, duration_col: str = "duration") -> DataFrame:
@@ -161,10 +195,13 @@ def voice_table(df: DataFrame, k: int = 5, speaker_col: str = SPK, score: Column
     """G9 in long form: one row per clip with its rank inside the speaker,
     ``is_conditioning`` for the best ``k`` (they also stay training clips)
     and the speaker's total duration. Nothing is collected per speaker."""
-    ranked = rank_clips(df, speaker_col, score, order_cols)
+    wide, keys = wide_columns(df), [speaker_col, *order_cols]
+    ranked = rank_clips(df.drop(*wide), speaker_col, score, order_cols)
     # totals from the ranked rows (read from the ranking's checkpoint)
     totals = total_duration(ranked, speaker_col).withColumnRenamed(speaker_col, "_tot_spk")
     out = ranked.join(totals, ranked[speaker_col].eqNullSafe(totals["_tot_spk"]), "inner").drop("_tot_spk")
+    if wide:  # last, so that nothing before it carries them
+        out = fetch(out, df, keys, wide)
     return out.withColumn("is_conditioning", F.col("clip_rank") <= k)
 
 

@@ -73,6 +73,7 @@ FROM r JOIN tot ON r.speaker_id IS NOT DISTINCT FROM tot.speaker_id WHERE r.clip
 # -- signals (N1-N10, P5, F8, F9) --------------------------------------------
 
 from ..functions import signal as N  # noqa: E402
+from ..operators import segments as SEG  # noqa: E402
 from ..sources import signals as SG  # noqa: E402
 
 #: proxy sample rate of event signals: 45-99 samples become 5.6-12.4 s, so
@@ -205,6 +206,58 @@ def q_highpass(spark, sf_dir):
     return c.select("speaker_id", "clip_no", F.posexplode(N.highpass("x", FC_B, EVENT_RATE)).alias("i", "y"))
 
 
+#: the events' signals cut into segments of so many samples
+SEGMENT_SAMPLES = 16
+
+
+def _event_segments(spark, sf_dir) -> DataFrame:
+    return SG.event_signals(spark, sf_dir, SEGMENT_SAMPLES, EVENT_RATE).select("speaker_id", "clip_no", "x")
+
+
+@register("signal_segments_highpass", f"SELECT speaker_id, CAST(i - 1 AS INTEGER) AS i, y FROM"
+                                      f" {S.highpass_samples(_clips_sql(), FC_B, float(EVENT_RATE))}")
+def q_segments_highpass(spark, sf_dir):
+    """N5 over signals in segments, one row per sample of the whole."""
+    y = SEG.highpass_segments(_event_segments(spark, sf_dir), ["speaker_id"], FC_B, EVENT_RATE)
+    return y.select("speaker_id", "clip_no", F.posexplode("y").alias("i", "y")) \
+            .select("speaker_id", (F.col("clip_no") * SEGMENT_SAMPLES + F.col("i")).cast("int").alias("i"), "y")
+
+
+@register("signal_segments_clean",
+          f"SELECT speaker_id, b.y AS clean_b, c.y AS clean_c FROM ({_chain_b_sql(_clips_sql(), EVENT_RATE)}) b"
+          f" JOIN ({_chain_c_sql(_clips_sql(), EVENT_RATE)}) c USING (speaker_id, clip_no)")
+def q_segments_clean(spark, sf_dir):
+    """N8 over signals in segments, each cleaned as one."""
+    seg = _event_segments(spark, sf_dir)
+    b = SEG.clean_segments(seg, ["speaker_id"], SEG.chain_b(EVENT_RATE, FC_B)).withColumnRenamed("signal", "clean_b")
+    c = SEG.clean_segments(seg, ["speaker_id"], SEG.chain_c(EVENT_RATE, FC_C)).withColumnRenamed("signal", "clean_c")
+    return b.join(c, "speaker_id")
+
+
+@register("signal_segments_resample",
+          f"SELECT speaker_id, CAST(i AS INTEGER) AS i, y[i + 1] AS x FROM (SELECT speaker_id, {S.resample('x', 8, 11)} AS y"
+          f" FROM ({_clips_sql()})), range(0, len(y)) t(i)")
+def q_segments_resample(spark, sf_dir):
+    """N9 over signals in segments, one row per sample of the whole."""
+    out = SEG.resample_segments(_event_segments(spark, sf_dir), ["speaker_id"], 8, 11)
+    first = F.ceil(F.col("clip_no") * SEGMENT_SAMPLES * 11 / 8)
+    return out.select("speaker_id", first.alias("first"), F.posexplode("x").alias("i", "x")) \
+              .select("speaker_id", (F.col("first") + F.col("i")).cast("int").alias("i"), "x")
+
+
+@register("signal_rates",
+          f"SELECT speaker_id, CASE WHEN CAST(speaker_id AS BIGINT) % 2 = 0 THEN {S.resample('x', 8, 11)}"
+          f" ELSE {S.resample('x', 5, 11)} END AS x, 11 AS rate, CAST(CAST(speaker_id AS BIGINT) % 2 AS INTEGER) AS source_no"
+          f" FROM ({_clips_sql()})")
+def q_rates(spark, sf_dir):
+    """N9 with U1: two sources of different rates become one of one rate."""
+    c = _clips(spark, sf_dir).select("speaker_id", "x")
+    odd = F.col("speaker_id").cast("long") % 2
+    both = SC.concat_sources([c.where(odd == k).withColumn("rate", F.lit(r)).withColumn("source_no", F.lit(k))
+                              for k, r in ((0, 8), (1, 5))])
+    return both.withColumn("x", N.resample("x", "rate", 11)).withColumn("rate", F.lit(11))
+
+
 # -- text functions on whole documents (T1-T12) -------------------------------
 
 from ..functions import text as T  # noqa: E402
@@ -701,38 +754,48 @@ def _uid(df):
     return df.withColumn("uid", F.col("source_no").cast("long") * F.lit(10 ** 12) + F.col("pos"))
 
 
+def _voices(spark, sf_dir) -> DataFrame:
+    """The events' signals in segments, by ``voice`` (the user's id)."""
+    return _event_segments(spark, sf_dir).select(F.col("speaker_id").cast("long").alias("voice"), "clip_no", "x")
+
+
+def _segments(spark, sf_dir) -> SEG.Segments:
+    return SEG.Segments(lambda: _voices(spark, sf_dir), "voice", reads=(px.table_path(sf_dir, "events"),))
+
+
 def _voiced(spark, sf_dir, key: str):
-    """Adapter that gives a text row the signal of the event user whose id
-    is the row's ``key`` (rows of other keys have none and go), and that
-    user's vector."""
+    """Adapter that gives a text row a voice and a vector. With n users the
+    voice is ``key`` modulo n + n / 10: one in eleven rows has the voice of
+    no user, so no signal, and is rejected for that."""
     def adapt(df):
-        clips = _clips(spark, sf_dir).where("clip_no = 0").select(
-            F.col("speaker_id").cast("long").alias("_user"), "x")
+        users = px.table(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("_n"))  # one row
         vectors = px.embeddings_table(spark, sf_dir).select(
             F.col("vec_id").alias("_vec"), F.transform("embedding", lambda v: v.cast("double") * 3).alias("vector"))
-        out = df.join(clips, F.col(key) == F.col("_user")).join(vectors, F.col(key) == F.col("_vec"), "left")
-        return _uid(out.drop("_user", "_vec"))
+        out = df.crossJoin(F.broadcast(users)).withColumn("voice", F.expr(f"{key} % (_n + _n div 10)")).drop("_n")
+        return _uid(out.join(vectors, F.col(key) == F.col("_vec"), "left").drop("_vec"))
     return adapt
 
 
 VOICED_SQL = f"""
 clips AS (SELECT CAST(speaker_id AS BIGINT) AS _user, x FROM ({_clips_sql()}) WHERE clip_no = 0),
+users AS (SELECT count(DISTINCT user_id) AS n FROM events),
 raw AS (SELECT text, lang AS speaker_id, 0 AS source_no, row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id AS k FROM documents
         UNION ALL SELECT text, role, 1, row_number() OVER (ORDER BY conv_id, turn) - 1, conv_id FROM conversations),
 u AS (SELECT raw.*, x, list_transform(embedding, lambda e: CAST(e AS DOUBLE) * 3) AS vector,
              source_no * 1000000000000 + pos AS uid
-      FROM raw JOIN clips ON k = _user LEFT JOIN embeddings ON vec_id = k)"""
+      FROM raw CROSS JOIN users LEFT JOIN clips ON k % (n + n // 10) = _user LEFT JOIN embeddings ON vec_id = k)"""
 
 
 def _voiced_sources(spark, sf_dir: str):
     """The two sources of the pipelines, with signals: the first kept whole
     (as the reference does), the second renamed and pruned."""
-    keep = ["text", "speaker_id", "uid", "x", "vector"]
+    keep = ["text", "speaker_id", "uid", "voice", "vector"]
+    reads = [px.table_path(sf_dir, "events"), px.table_path(sf_dir, "embeddings")]
     return [
         SC.SourceSpec(px.table_path(sf_dir, "documents"), rename={"lang": "speaker_id"},
-                      prepare=_voiced(spark, sf_dir, "doc_id")),
+                      prepare=_voiced(spark, sf_dir, "doc_id"), reads=reads),
         SC.SourceSpec(px.table_path(sf_dir, "conversations"), rename={"role": "speaker_id"}, keep=keep,
-                      prepare=_voiced(spark, sf_dir, "conv_id")),
+                      prepare=_voiced(spark, sf_dir, "conv_id"), reads=reads),
     ]
 
 
@@ -759,7 +822,8 @@ def _split_side_sql(key: str, seed: int, fraction: float) -> str:
             f" < {fraction!r} * 4294967296 THEN 'test' ELSE 'train' END")
 
 
-_SIGNAL_B = B.SignalSpec("x", EVENT_RATE, FC_B, _MIN_B)
+# A row that is long enough but has no signal is "no_result".
+_B_REASON_SQL = _reason_sql().replace("THEN 'text_length'", "THEN 'text_length' WHEN x IS NULL THEN 'no_result'", 1)
 _B_TEXT_SQL = f"""{VOICED_SQL},
 nb AS (SELECT uid, source_no, pos, speaker_id, {S.normalize_text_b('text')} AS text, len(x) / {EVENT_RATE}::DOUBLE AS duration,
               x, vector FROM u)"""
@@ -775,9 +839,13 @@ s AS (SELECT k.uid, k.source_no, k.pos, enc.input_ids, signal, {S.l2_normalize('
 {_pad_sql('s', 'source_no, pos', 1, 'uid, signal, speaker_embedding')}"""
 
 
+def _signal_b(spark, sf_dir) -> B.SignalSpec:
+    return B.SignalSpec(None, EVENT_RATE, FC_B, _MIN_B, _segments(spark, sf_dir))
+
+
 def _run_b(spark, sf_dir, **more):
     return B.run(spark, _voiced_sources(spark, sf_dir), SP.char_vocab(_conv_text(spark, sf_dir)), "uid",
-                 signal=_SIGNAL_B, **more)
+                 signal=_signal_b(spark, sf_dir), **more)
 
 
 @register("pipeline_enhanced", _PIPELINE_B_SQL)
@@ -804,7 +872,7 @@ def q_pipeline_b_funnel(spark, sf_dir):
 
 @register("pipeline_enhanced_rejects", f"""
 WITH {_B_TEXT_SQL},
-k0 AS (SELECT *, {_reason_sql()} AS reason FROM nb)
+k0 AS (SELECT *, {_B_REASON_SQL} AS reason FROM nb)
 SELECT uid, reason AS reject_reason FROM k0 WHERE reason IS NOT NULL
 UNION ALL
 SELECT uid, CASE WHEN c.y IS NULL THEN 'no_result' ELSE 'too_short' END FROM k0
@@ -850,17 +918,34 @@ def q_pipeline_a_report(spark, sf_dir):
 
 #: the voices pipeline's rate on the proxy signals, at the reference's ratio
 RATE_C_PROXY = 11
-_SIGNAL_C = C.SignalSpec("x", EVENT_RATE, RATE_C_PROXY, N.HIGHPASS_C / N.RATE_C * RATE_C_PROXY)
+FC_C_PROXY = N.HIGHPASS_C / N.RATE_C * RATE_C_PROXY
 
 
-@register("pipeline_voices", f"""
-WITH {VOICED_SQL},
+def _signal_c(spark, sf_dir) -> C.SignalSpec:
+    return C.SignalSpec(None, EVENT_RATE, RATE_C_PROXY, FC_C_PROXY, _segments(spark, sf_dir))
+
+
+_VOICES_SQL = f"""{VOICED_SQL},
 t AS (SELECT * FROM (SELECT uid, {S.normalize_text_c('text')} AS text, speaker_id, source_no, pos, x FROM u)
       WHERE length(text) BETWEEN 10 AND 200),
 p AS (SELECT t.* EXCLUDE (x), c.y AS signal, len(c.y) / {RATE_C_PROXY}::DOUBLE AS duration FROM t JOIN (
-      {_chain_c_sql(f"SELECT CAST(uid AS VARCHAR) AS speaker_id, 0 AS clip_no, {S.resample('x', EVENT_RATE, RATE_C_PROXY)} AS x FROM t", RATE_C_PROXY, _SIGNAL_C.fc)}) c
+      {_chain_c_sql(f"SELECT CAST(uid AS VARCHAR) AS speaker_id, 0 AS clip_no, {S.resample('x', EVENT_RATE, RATE_C_PROXY)} AS x FROM t", RATE_C_PROXY, FC_C_PROXY)}) c
       ON c.speaker_id = CAST(uid AS VARCHAR)),
-f AS (SELECT * FROM p WHERE duration BETWEEN 2.0 AND 15.0),
+f AS (SELECT * FROM p WHERE duration BETWEEN 2.0 AND 15.0)"""
+
+
+@register("utterance_record_audio", f"""
+WITH {_VOICES_SQL}
+SELECT uid, {{'text': text, 'audio': signal, 'speaker_id': speaker_id, 'duration': duration, 'sample_rate': {RATE_C_PROXY}}} AS record
+FROM f""")
+def q_record_audio(spark, sf_dir):
+    """P6 with its audio: the cleaned signal, its rate and its duration."""
+    prepared = C.run(spark, _voiced_sources(spark, sf_dir), signal=_signal_c(spark, sf_dir)).prepared
+    return prepared.select("uid", C.utterance_record().alias("record"))
+
+
+@register("pipeline_voices", f"""
+WITH {_VOICES_SQL},
 g AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM (SELECT speaker_id FROM f GROUP BY speaker_id HAVING count(*) >= 5) k
       WHERE k.speaker_id IS NOT DISTINCT FROM f.speaker_id)),
 tot AS (SELECT speaker_id, sum(duration) AS total_duration FROM g GROUP BY speaker_id),
@@ -871,7 +956,7 @@ def q_pipeline_c(spark, sf_dir):
     """Entry 3 end to end, signals resampled and cleaned; the rows are read
     back from the per-speaker export."""
     path = _scratch(spark, "voices")
-    C.run(spark, _voiced_sources(spark, sf_dir), export_path=path, signal=_SIGNAL_C,
+    C.run(spark, _voiced_sources(spark, sf_dir), export_path=path, signal=_signal_c(spark, sf_dir),
           stage_root=_scratch(spark, "voices-stages"))
     return EX.read_voices(spark, path).select("speaker_id", "clip_no", "text", "duration", "signal", "sample_rate")
 

@@ -18,8 +18,9 @@ before anything is normalised.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signal as N
@@ -27,10 +28,12 @@ from ..functions.predicates import duration_between, text_len_between
 from ..functions.text import normalize_text_c
 from ..operators import speakers as spk
 from ..operators.quality import prepare_or_reject, split_rejects
+from ..operators.segments import Segments, chain_c, with_clean_segments
 from ..session import stable
-from ..sources.corpus import SourceSpec, default_speaker, load_sources
+from ..sources.corpus import SourceSpec, default_speaker, load_sources, source_identity, still_skipped
 from ..sources.export import write_voices
-from ..sources.stages import stage
+from ..sources.identity import code_digest, files_digest
+from ..sources.stages import Built, materialise
 
 TEXT_MIN, TEXT_MAX = 10, 200
 DURATION_MIN, DURATION_MAX = 2.0, 15.0
@@ -45,36 +48,59 @@ def prepare_text(df: DataFrame, text_col: str = "text", duration_col: str = "dur
     stage too), so that later branches do not normalise again; the length is
     tested on a column of its own, so that Catalyst does not push the
     normaliser into the filter as well."""
+    return stable(normalised_clips(df, text_col, duration_col))
+
+
+def normalised_clips(df: DataFrame, text_col: str = "text", duration_col: str = "duration") -> DataFrame:
+    """:func:`prepare_text` without the checkpoint."""
     kept = df.where(duration_between(duration_col, DURATION_MIN, DURATION_MAX))
     kept = kept.withColumn(text_col, normalize_text_c(text_col))
-    return stable(kept.where(text_len_between(text_col, TEXT_MIN, TEXT_MAX)))
+    return kept.where(text_len_between(text_col, TEXT_MIN, TEXT_MAX))
 
 
 @dataclass(frozen=True)
 class SignalSpec:
-    """Where a corpus has its signal, and how to clean it: the column, its
-    rate, the rate to clean at, and the cut-off of the high-pass filter."""
-    column: str
-    rate_in: int
+    """Where a corpus has its signal, and how to clean it: the column, or a
+    table of segments (for signals too long for a row), its rate (a number,
+    or a column where rows differ; a number for segments), the rate to clean
+    at, and the cut-off of the high-pass filter."""
+    column: str | None
+    rate_in: int | str
     rate: int = N.RATE_C
     fc: float = N.HIGHPASS_C
+    segments: Segments | None = None
 
 
-def prepare_signals(df: DataFrame, signal: SignalSpec, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(prepared rows, rejects with ``reject_reason``). Prepared rows carry
-    ``signal``, ``sample_rate`` and the ``duration`` of the cleaned signal,
-    which score and totals use. A null signal, one with a null or non-finite
-    sample, and one that is too short after cleaning are "no_result"."""
+def cleaned_clips(df: DataFrame, signal: SignalSpec, text_col: str = "text") -> DataFrame:
+    """Rows that pass the text test, with ``signal`` (the cleaned one),
+    ``sample_rate``, its ``duration`` and ``reject_reason``: null for
+    prepared rows, "no_result" for a missing signal, one with a null or
+    non-finite sample, or one too short after cleaning, "duration" for one
+    outside the bounds."""
     texts = df.withColumn(text_col, normalize_text_c(text_col)) \
               .where(text_len_between(text_col, TEXT_MIN, TEXT_MAX))
-    clean = texts.withColumn("_resampled", N.resample(signal.column, signal.rate_in, signal.rate))
-    clean = N.with_clean_signal_c(clean, "_resampled", "_clean", signal.rate, fc=signal.fc)
-    clean = prepare_or_reject(clean.drop("_resampled", signal.column), F.col("_clean"), [
+    if signal.segments is not None:
+        clean = with_clean_segments(stable(texts), signal.segments, chain_c(signal.rate, signal.fc), "_clean", signal.rate_in)
+    else:
+        clean = texts.withColumn("_resampled", N.resample(signal.column, signal.rate_in, signal.rate))
+        clean = N.with_clean_signal_c(clean, "_resampled", "_clean", signal.rate, fc=signal.fc) \
+                 .drop("_resampled", signal.column)
+    clean = prepare_or_reject(clean, F.col("_clean"), [
         (~duration_between(N.duration("_clean", signal.rate), DURATION_MIN, DURATION_MAX), "duration")], "signal")
-    kept, rejects = split_rejects(stable(clean.drop("_clean")))
-    kept = kept.withColumn("duration", N.duration("signal", signal.rate)) \
-               .withColumn("sample_rate", F.lit(signal.rate)).drop("reject_reason")
-    return kept, rejects.drop("signal")
+    return clean.drop("_clean").withColumn("duration", N.duration("signal", signal.rate)) \
+                .withColumn("sample_rate", F.lit(signal.rate))
+
+
+def prepare_signals(df: DataFrame, signal: SignalSpec, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(prepared rows, rejects with ``reject_reason``) of
+    :func:`cleaned_clips`, written once."""
+    kept, rejects = split_rejects(stable(cleaned_clips(df, signal, text_col)))
+    return kept.drop("reject_reason"), rejects.drop("signal", "duration", "sample_rate")
+
+
+def utterance_record() -> Column:
+    """The record of a prepared row, with its cleaned signal."""
+    return F.struct("text", F.col("signal").alias("audio"), "speaker_id", "duration", "sample_rate")
 
 
 def conditioning_clips(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN_CLIPS,
@@ -84,6 +110,12 @@ def conditioning_clips(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN
     with the speaker's total duration over all its clips. One aggregation
     gives count and total of every speaker; the at most k clips of each meet
     it, so the corpus itself is not joined to anything."""
+    wide = spk.wide_columns(prepared.select(*fields))
+    if wide:  # ranked without them, fetched for the clips that stay
+        keys = ["speaker_id", "source_no", "pos"]
+        narrow = conditioning_clips(prepared.drop(*wide), k, min_clips, tuple(f for f in fields if f not in wide))
+        return spk.fetch(narrow, prepared, keys, wide).select(
+            "speaker_id", "clip_rank", *fields, "total_duration", "source_no", "pos")
     stats = prepared.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("_n"),
                                                F.sum("duration").alias("total_duration"))
     stats = stats.where(F.col("_n") >= min_clips).drop("_n").withColumnRenamed("speaker_id", "_t_spk")
@@ -115,37 +147,62 @@ def gates(prepared: DataFrame, min_samples: int = 100, min_speakers: int = 5,
 
 @dataclass
 class VoicesResult:
+    """What a run prepared; each report is planned when it is asked for."""
     skipped: list
     prepared: DataFrame
     rejects: DataFrame | None
-    voices: DataFrame
-    conditioning: DataFrame
-    gates: DataFrame
-    first_speakers: DataFrame
+    reused: bool
+    k: int
+    min_clips: int
+    fields: tuple[str, ...]
+
+    @cached_property
+    def conditioning(self) -> DataFrame:
+        return conditioning_clips(self.prepared, self.k, self.min_clips, self.fields)
+
+    @cached_property
+    def voices(self) -> DataFrame:
+        return voice_table(self.prepared, self.k, self.min_clips)
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        return gates(self.prepared, min_clips=self.min_clips)
+
+    @cached_property
+    def first_speakers(self) -> DataFrame:
+        return spk.first_speakers(spk.min_rows_per_speaker(
+            self.prepared.select("speaker_id", "source_no", "pos"), self.min_clips), 3)
 
 
 def run(spark, specs: list[SourceSpec], export_path: str | None = None, k: int = TOP_K,
         min_clips: int = MIN_CLIPS, signal: SignalSpec | None = None, stage_root: str | None = None,
         force: bool = False) -> VoicesResult:
     """Sources -> prepared clips -> ranked voice table -> export. Raises when
-    no source loads (the voices pipeline has no fallback). With
-    ``stage_root`` the prepared clips are a stage there (S4), reused by later
-    runs with the same sources and parameters unless ``force``d."""
-    corpus, skipped = load_sources(spark, specs)
-    rejects = None
-    if signal is None:
-        prepared = prepare_text(corpus)
-    else:
-        prepared, rejects = prepare_signals(corpus, signal)
-    prepared = default_speaker(prepared)
-    if stage_root is not None:
-        params = {"sources": [s.path for s in specs], "signal": signal, "text": [TEXT_MIN, TEXT_MAX],
-                  "duration": [DURATION_MIN, DURATION_MAX]}
-        prepared = stage(spark, "voices-prepared", lambda: prepared, stage_root, params, force=force).df
+    no source loads (the voices pipeline has no fallback).
+
+    The prepared clips and the rejects are one stage (S4). With
+    ``stage_root`` it is kept there and reused, without a job, by later runs
+    whose sources (their files, adapters and what these read), signal and
+    code are the same, unless ``force``d; else it is a checkpoint."""
+    def build() -> Built:
+        corpus, skipped = load_sources(spark, specs)
+        if signal is None:
+            rows = normalised_clips(corpus).withColumn("reject_reason", F.lit(None).cast("string"))
+        else:
+            rows = cleaned_clips(corpus, signal)
+        return Built(default_speaker(rows), {"skipped": skipped})
+
+    params = {} if stage_root is None else {
+        "sources": [source_identity(spark, s) for s in specs],
+        "segments": [[p, files_digest(spark, p)] for p in (signal.segments.reads if signal and signal.segments else ())],
+        "code": code_digest(signal, normalised_clips, cleaned_clips, default_speaker)}
+    made = materialise(spark, "voices-prepared", build, stage_root, params, force=force,
+                       accept=lambda info: still_skipped(spark, specs, info["skipped"]))
+    prepared, rejects = split_rejects(made.df)
     fields = ("text", "duration") + (("signal", "sample_rate") if signal is not None else ())
-    conditioning = conditioning_clips(prepared, k, min_clips, fields)
+    result = VoicesResult(made.info["skipped"], prepared.drop("reject_reason"),
+                          None if signal is None else rejects.drop("signal", "duration", "sample_rate"), made.reused,
+                          k, min_clips, fields)
     if export_path is not None:
-        write_voices(conditioning, export_path, fields=fields)
-    good = spk.min_rows_per_speaker(prepared, min_clips)
-    return VoicesResult(skipped, prepared, rejects, spk.voice_table(good, k), conditioning,
-                        gates(prepared, min_clips=min_clips), spk.first_speakers(good, 3))
+        write_voices(result.conditioning, export_path, fields=fields)
+    return result

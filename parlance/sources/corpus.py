@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .identity import code_digest, files_digest
+
 log = logging.getLogger(__name__)
 
 
@@ -50,8 +52,7 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: StructTyp
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    paths = [path] if isinstance(path, str) else list(path)
-    df = reader.parquet(*paths)
+    df = reader.parquet(*_paths(path))
     return spread(df) if spread_out else df
 
 
@@ -150,31 +151,97 @@ def concat_sources(dfs: Sequence[DataFrame]) -> DataFrame:
 
 @dataclass
 class SourceSpec:
-    """One corpus source: where it is, how to adapt its columns."""
+    """One corpus source: where it is, how to adapt its columns. ``reads``
+    names what ``prepare`` reads beside the source (paths of tables that it
+    joins, say), so that a saved stage is not taken for current when those
+    have changed."""
     path: str
     rename: dict[str, str] = field(default_factory=dict)
     keep: Sequence[str] | None = None
     head: int | None = None
     schema: StructType | str | None = None
     prepare: Callable[[DataFrame], DataFrame] | None = None
+    reads: Sequence[str] = ()
+
+
+def source_identity(spark: SparkSession, spec: SourceSpec) -> dict:
+    """What the rows of a source depend on, without a job: its files and
+    those of ``reads``, how it is adapted, and the code that does it. A
+    source without files has the files None."""
+    return {"path": spec.path, "files": files_digest(spark, spec.path), "rename": spec.rename,
+            "keep": None if spec.keep is None else list(spec.keep), "head": spec.head, "schema": str(spec.schema),
+            "reads": [[p, files_digest(spark, p)] for p in spec.reads], "prepare": code_digest(spec.prepare)}
+
+
+def still_skipped(spark: SparkSession, specs: Sequence[SourceSpec], skipped: Sequence[str]) -> bool:
+    """Whether the sources that a saved stage lacks still cannot be read.
+    (That a missing one has files now shows in its identity; one that had
+    files but could not be read may be readable by now.)"""
+    for spec in specs:
+        if any(s.startswith(f"{spec.path}: ") for s in skipped) and files_digest(spark, spec.path) is not None:
+            try:
+                check_files(spark, spec)
+            except (PySparkException, Py4JJavaError, BrokenSource):
+                continue
+            return False
+    return True
+
+
+class BrokenSource(Exception):
+    """A source with files that are not Parquet."""
+
+
+def check_files(spark: SparkSession, spec: SourceSpec) -> None:
+    """Raise when a file of the source has no readable footer. The files
+    are counted where they are read, by one task each or so, without a
+    column; a file that Spark has to leave out is looked at again, since one
+    without rows is left out as well."""
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    if spec.schema is not None:
+        reader = reader.schema(spec.schema)
+    df = reader.parquet(*_paths(spec.path))
+    files = df.select(F.col("_metadata.file_path").alias("f"))
+    listed = df.inputFiles()
+    if files.agg(F.count_distinct("f")).first()[0] == len(listed):
+        return
+    seen = {r["f"] for r in files.distinct().collect()}
+    broken = []
+    for path in sorted(set(listed) - {_plain(f) for f in seen} - seen):
+        try:
+            spark.read.parquet(path).schema
+        except (PySparkException, Py4JJavaError):
+            broken.append(path.rsplit("/", 1)[1])
+    if broken:
+        raise BrokenSource(", ".join(broken[:10]) + (f" and {len(broken) - 10} more" if len(broken) > 10 else ""))
+
+
+def _plain(path: str) -> str:
+    """``inputFiles`` writes local paths with three slashes, the metadata
+    column with one or three."""
+    return path.replace("file:///", "file:/", 1) if path.startswith("file:///") else path.replace("file:/", "file:///", 1)
+
+
+def _paths(path: str | Sequence[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
 
 
 def load_sources(spark: SparkSession, specs: Sequence[SourceSpec],
                  fallback: SourceSpec | None = None) -> tuple[DataFrame, list[str]]:
-    """S3: load each source; one that cannot be read (missing, or not what
-    it claims to be) is skipped and reported. When none loads, the fallback
-    source is read in full (the enhanced pipeline) or, without one, an error
-    is raised (voices pipeline). Errors in adapting a source that was read
-    are errors of the caller and are raised.
+    """S3: load each source; one that cannot be read (missing, or with a
+    file that is not what it claims to be) is skipped whole and reported,
+    with the files at fault. When none loads, the fallback source is read in
+    full (the enhanced pipeline) or, without one, an error is raised (voices
+    pipeline). Errors in adapting a source that was read are errors of the
+    caller and are raised.
 
     Returns the union and the list of skipped sources with their error."""
     frames, skipped = [], []
     for i, spec in enumerate(specs):
         try:
             raw = _read_one(spark, spec, i)
-        except (PySparkException, Py4JJavaError) as exc:  # whatever the reader raises
+        except (PySparkException, Py4JJavaError, BrokenSource) as exc:  # whatever the reader raises
             log.warning("source %s skipped: %s", spec.path, exc)
-            skipped.append(f"{spec.path}: {type(exc).__name__}")
+            skipped.append(f"{spec.path}: {type(exc).__name__}" + (f" ({exc})" if isinstance(exc, BrokenSource) else ""))
             continue
         frames.append(_adapt(raw, spec))
     if frames:
@@ -187,12 +254,11 @@ def load_sources(spark: SparkSession, specs: Sequence[SourceSpec],
 
 
 def _read_one(spark: SparkSession, spec: SourceSpec, source_no: int) -> DataFrame:
-    """Resolve a source and read one row of it, so that a missing path, a
-    bad schema or files of another format fail here and not later."""
-    df = read_corpus(spark, spec.path, spec.schema, source_no) if spec.head is None else \
+    """Resolve a source and look at every file's footer, so that a missing
+    path, a bad schema or a file of another format fails here and not later."""
+    check_files(spark, spec)
+    return read_corpus(spark, spec.path, spec.schema, source_no) if spec.head is None else \
         read_head(spark, spec.path, spec.head, spec.schema, source_no)
-    read_table(spark, spec.path, spec.schema, spread_out=False).limit(1).collect()
-    return df
 
 
 def _adapt(df: DataFrame, spec: SourceSpec) -> DataFrame:

@@ -134,9 +134,9 @@ def test_pipelines_reuse_their_stages(spark):
     from parlance.plans import voices as C
 
     root = _scratch("pipeline-stages")
-    first = C.run(spark, R._voiced_sources(spark, SF_SMALL), signal=R._SIGNAL_C, stage_root=root)
+    first = C.run(spark, R._voiced_sources(spark, SF_SMALL), signal=R._signal_c(spark, SF_SMALL), stage_root=root)
     names = sorted(os.listdir(root))
-    again = C.run(spark, R._voiced_sources(spark, SF_SMALL), signal=R._SIGNAL_C, stage_root=root)
+    again = C.run(spark, R._voiced_sources(spark, SF_SMALL), signal=R._signal_c(spark, SF_SMALL), stage_root=root)
     assert sorted(os.listdir(root)) == names and len(names) == 1
     assert first.prepared.count() == again.prepared.count() > 0
     assert "signal" in first.conditioning.columns and first.rejects is not None
