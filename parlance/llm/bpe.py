@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import release_memory, table
 from .tokens import Memo, byte_slices
 
 # A word of more bytes takes the heap; the matrix would cost its square.
 SHORT_WORD = 64
+# Bytes of text split into words at a time; it only bounds memory.
+SLICE_BYTES = 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -206,17 +208,24 @@ def coder(path: str) -> WordBpe:
 
 
 def id_arrays(column: pa.Array, path: str) -> pa.ListArray:
-    packed = [p for part in byte_slices(column) for p in coder(path).encode(part)]
-    offsets = np.zeros(len(packed) + 1, np.int32)
-    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+    size, joined = [np.zeros(1, np.int64)], []
+    for part in byte_slices(column, SLICE_BYTES):
+        packed = coder(path).encode(part)
+        size.append(np.array([len(p) // 4 for p in packed], np.int64))
+        joined.append(b"".join(packed))
+    offsets = np.cumsum(np.concatenate(size)).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(joined), "<i4")))
+    release_memory()
+    return ids
 
 
 def id_texts(column: pa.ListArray, path: str) -> pa.Array:
     decode, ids = coder(path).decode, column.values.to_numpy(zero_copy_only=False)
     valid = column.is_valid().to_pylist()
     ends = column.offsets.to_pylist()
-    return pa.array([decode(ids[a:b].tolist()) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
+    out = pa.array([decode(ids[a:b].tolist()) if v else None for a, b, v in zip(ends, ends[1:], valid)], pa.string())
+    release_memory()
+    return out
 
 
 def bpe_encode(text: Column, path: str) -> Column:

@@ -3,8 +3,10 @@ intermediate tables into the folder that every executor can reach."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def release_memory() -> None:
+    """Give back to the system what Arrow and the C library keep for later.
+    Spark reuses its Python workers, so what one batch or stage once needed
+    would otherwise stay theirs while the next one runs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """Intermediate tables of one run of an operator, as Parquet under
     ``spark.checkpoint.dir`` (shared by driver and executors): a written

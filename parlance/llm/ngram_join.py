@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
 from .bytewords import mix, shingles, words_of
-from .common import Scratch, shuffle_partitions, table
+from .common import Scratch, release_memory, shuffle_partitions, table
 from .components import connected_components
 from .tokens import byte_slices
 
@@ -161,6 +161,7 @@ def make_features(levels, large: float):
             for part in byte_slices(batch.column(1)):
                 yield one(batch.column(0).slice(at, len(part)), part, met)
                 at += len(part)
+        release_memory()
 
     def one(ids: pa.Array, part: list[bytes], met: set[int]) -> pa.RecordBatch:
         flat, begin = sets_of(part)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .bytewords import Words, mix, words_of
-from .common import table
+from .common import release_memory, table
 from .tokens import byte_slices
 
 # Bounds of the sample that is learnt from: rows of each label, and the
@@ -433,6 +433,7 @@ def toxicity(text: Column, spark: SparkSession, net: Network) -> Column:
     @F.arrow_udf(DoubleType())
     def score(column: pa.Array) -> pa.Array:
         parts = [sent.value.scores(part) for part in byte_slices(column, 2 << 20)]
+        release_memory()
         return pa.array(np.concatenate([*parts, np.zeros(0)]).astype(np.float64))
     return score(text)
 
