@@ -92,6 +92,20 @@ def _replace_chain(col: Column, pairs) -> Column:
     return col
 
 
+def _replace_words(col: Column, pairs) -> Column:
+    """Every leftmost and longest of the abbreviations that begins a word
+    replaced, in one pass: what is put in is not looked at again, and a word
+    that merely ends like an abbreviation is left alone."""
+    found = sorted((a for a, _ in pairs), key=len, reverse=True)
+    pattern = f"(?<![{WORD}])(?:" + "|".join(a.replace(".", r"\.") for a in found) + ")"
+    full = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    between = F.split(col, pattern, -1)
+    put_in = F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), lambda a: full[a])
+    # One more stretch between than matches.
+    parts = F.zip_with(between, put_in, lambda b, p: F.concat(b, F.coalesce(p, F.lit(""))))
+    return F.array_join(parts, "")
+
+
 def empty_if_null(c: Column | str) -> Column:
     """Null (or missing) text becomes the empty string."""
     return F.coalesce(_c(c), F.lit(""))
@@ -127,33 +141,35 @@ def squeeze_ws(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(c), RE_WS_RUN, " "))
 
 
-def expand_abbr_b(c: Column | str) -> Column:
+def expand_abbr_b(c: Column | str, strict: bool = False) -> Column:
     """Expand abbreviations in table order, each as written and then
     capitalised; plain substring matches (``sig.ra`` therefore becomes
-    ``signorra``)."""
+    ``signorra``). ``strict`` takes the longest first and only where a word
+    begins: ``sig.ra`` is ``signora``, and ``ragion.`` stays."""
     pairs = []
     for abbr, full in ABBREVIATIONS_B:
         pairs.append((abbr, full))
         pairs.append((_capitalize(abbr), _capitalize(full)))
-    return _replace_chain(_c(c), pairs)
+    return _replace_words(_c(c), pairs) if strict else _replace_chain(_c(c), pairs)
 
 
-def expand_abbr_c(c: Column | str) -> Column:
-    """Expand the voices pipeline's abbreviations (lower case only)."""
-    return _replace_chain(_c(c), ABBREVIATIONS_C)
+def expand_abbr_c(c: Column | str, strict: bool = False) -> Column:
+    """Expand the voices pipeline's abbreviations (lower case only);
+    ``strict`` as in :func:`expand_abbr_b`."""
+    return _replace_words(_c(c), ABBREVIATIONS_C) if strict else _replace_chain(_c(c), ABBREVIATIONS_C)
 
 
-def normalize_text_b(c: Column | str) -> Column:
+def normalize_text_b(c: Column | str, strict: bool = False) -> Column:
     """Null -> "", fold letters, filter characters, squeeze spaces,
     expand abbreviations (after trimming)."""
-    return expand_abbr_b(squeeze_ws(keep_word_chars(fold_letters(empty_if_null(c)))))
+    return expand_abbr_b(squeeze_ws(keep_word_chars(fold_letters(empty_if_null(c)))), strict)
 
 
-def normalize_text_c(c: Column | str) -> Column:
+def normalize_text_c(c: Column | str, strict: bool = False) -> Column:
     """Null -> "", lower-case, filter characters, squeeze spaces,
     expand abbreviations. (The voices pipeline defines an accent table but
     never applies it.)"""
-    return expand_abbr_c(squeeze_ws(keep_italian_chars(F.lower(empty_if_null(c)))))
+    return expand_abbr_c(squeeze_ws(keep_italian_chars(F.lower(empty_if_null(c)))), strict)
 
 
 def special_count(c: Column | str) -> Column:

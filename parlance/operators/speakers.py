@@ -41,8 +41,10 @@ def _semi_null_safe(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
 def char_vocab(df: DataFrame, text_col: str = "text") -> DataFrame:
     """G1: distinct characters of all texts (code points). The reference
     joins the texts with spaces before taking the set, so a space is a
-    member whenever there are at least two rows."""
-    chars = (df.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "")).alias("ch"))
+    member whenever there are at least two rows. Every text gives its
+    distinct characters only, so what is exploded and aggregated is some
+    dozens of rows a text however long it is."""
+    chars = (df.select(F.explode(F.array_distinct(F.split(F.coalesce(F.col(text_col), F.lit("")), ""))).alias("ch"))
                .where(F.length("ch") > 0))
     # "at least two rows" needs two rows, not a count of the table
     joiner = (df.limit(2).agg(F.count(F.lit(1)).alias("n"))

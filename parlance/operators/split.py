@@ -7,8 +7,13 @@ or row order (which ``randomSplit`` depends on).
   hash are below ``fraction * 2**32``. A per-row expression: no shuffle, no
   count; the test size is ``fraction * n`` in expectation.
 * ``exact=True``: the ``ceil(n * fraction)`` rows with the smallest hashes.
-  Numbered with ``ordinal.sequence`` (range partitioned), so no single task
-  sees all rows.
+  The largest hash among them is found by counting hashes by their first
+  digits, then by the next digits within the group that it lies in, until
+  few are left; the split is then the same per-row test, and neither the
+  rows nor their keys are sorted or moved. Rows of one key stay together, so
+  the test side is larger than that by at most the rows of its last key.
+
+A null key is a key of its own.
 
 The rows chosen can never equal the reference library's shuffle; the
 properties kept are the fraction, the seed and disjoint, complete sides.
@@ -22,14 +27,42 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import sequence
-
 TWO_32 = 4294967296  # 2**32
 
 
+#: hex digits counted at a time (65,536 counts at most), and how many hashes
+#: of one group are sorted
+DIGITS, FEW = 4, 1 << 16
+
+
 def split_hash(seed: int, key: Column | str) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), k.cast("string")))
+    return F.md5(F.concat(F.lit(str(seed)), F.coalesce(F.concat(F.lit(":"), k.cast("string")), F.lit(""))))
+
+
+def smallest_share(df: DataFrame, h: Column, fraction: float) -> str | None:
+    """The ``ceil(n * fraction)``-th smallest of the hashes ``h`` (hex, all
+    of one length) of the n rows of ``df``; None when that is none of them.
+    Only counts by digits, and at most ``FEW`` hashes, leave the executors."""
+    hashes, prefix, want = df.select(h.alias("_h")), "", None
+    while True:
+        inside = hashes.where(F.col("_h").startswith(prefix)) if prefix else hashes
+        digits = F.substring("_h", len(prefix) + 1, DIGITS)
+        counts = inside.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+        if want is None:
+            want = math.ceil(round(sum(r["n"] for r in counts) * fraction, 9))
+            if want <= 0:
+                return None
+        for row in counts:
+            if want <= row["n"]:
+                break
+            want -= row["n"]
+        if row["d"] == "":  # all digits are used up: one hash
+            return prefix
+        prefix += row["d"]
+        if row["n"] <= FEW:
+            last = hashes.where(F.col("_h").startswith(prefix)).orderBy("_h").limit(want)
+            return last.agg(F.max("_h")).first()[0]
 
 
 def assign_split(df: DataFrame, fraction: float, key: str, seed: int | None = 42,
@@ -43,10 +76,8 @@ def assign_split(df: DataFrame, fraction: float, key: str, seed: int | None = 42
     if not exact:
         first32 = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
         return df.withColumn(name, first32 < F.lit(fraction * TWO_32)), seed
-    n = df.count()
-    k = math.ceil(round(n * fraction, 9))
-    numbered = sequence(df.withColumn("_split_h", h), ["_split_h", key], name="_split_seq")
-    return numbered.withColumn(name, F.col("_split_seq") <= k).drop("_split_h", "_split_seq"), seed
+    last = smallest_share(df, h, fraction)
+    return df.withColumn(name, F.lit(False) if last is None else h <= F.lit(last)), seed
 
 
 def train_test(df: DataFrame, fraction: float, key: str, seed: int | None = 42,

@@ -281,6 +281,8 @@ _text_query("text_keep_italian_chars", lambda: T.keep_italian_chars(F.lower("tex
 _text_query("text_squeeze_ws", lambda: T.squeeze_ws("text"), S.squeeze_ws("text"))
 _text_query("text_expand_abbr_b", lambda: T.expand_abbr_b("text"), S.expand_abbr_b("text"))
 _text_query("text_expand_abbr_c", lambda: T.expand_abbr_c(F.lower("text")), S.expand_abbr_c("lower(text)"))
+_text_query("text_expand_words_b", lambda: T.expand_abbr_b("text", strict=True), S.expand_words_b("text"))
+_text_query("text_expand_words_c", lambda: T.expand_abbr_c(F.lower("text"), strict=True), S.expand_words_c("lower(text)"))
 _text_query("text_lower_or_empty", lambda: F.lower(T.empty_if_null("text")), "lower(coalesce(text, ''))")
 _text_query("text_normalize_b", lambda: T.normalize_text_b("text"), S.normalize_text_b("text"))
 _text_query("text_normalize_c", lambda: T.normalize_text_c("text"), S.normalize_text_c("text"))

@@ -52,6 +52,23 @@ def expand_abbr_c(x: str) -> str:
     return _replace_chain(x, T.ABBREVIATIONS_C)
 
 
+def _expand_words(x: str, pairs) -> str:
+    """Abbreviations where a word begins, the longest first: each word is
+    marked in front, so that what is put in does not count as a word."""
+    mark = "\x01"
+    marked = f"regexp_replace({x}, '([{T.WORD}]+)', '{mark}\\1', 'g')"
+    in_front = [(mark + a.replace(".", "." + mark).removesuffix(mark), b) for a, b in sorted(pairs, key=lambda p: -len(p[0]))]
+    return f"replace({_replace_chain(marked, in_front)}, '{mark}', '')"
+
+
+def expand_words_b(x: str) -> str:
+    return _expand_words(x, [p for a, b in T.ABBREVIATIONS_B for p in ((a, b), (T._capitalize(a), T._capitalize(b)))])
+
+
+def expand_words_c(x: str) -> str:
+    return _expand_words(x, T.ABBREVIATIONS_C)
+
+
 def normalize_text_b(col: str) -> str:
     return expand_abbr_b(squeeze_ws(keep_word_chars(fold_letters(f"coalesce({col}, '')"))))
 

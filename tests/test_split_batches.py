@@ -92,3 +92,34 @@ def test_batches_plan_without_a_join(spark):
     out = KB.pad_batches(df.withColumn("vector", F.array(F.lit(0.5))), 8, ["id"], labels_col=None)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1  # the ordinal's own
     assert {len(r["input_ids"]) for r in out.collect()} == {4} and "vector" in out.columns
+
+
+@pytest.mark.parametrize("digits,few", [(4, 1 << 16), (1, 1), (2, 10)])
+def test_exact_split_by_counting_digits(spark, monkeypatch, digits, few):
+    """The same rows as sorting all hashes, whatever is counted at a time."""
+    import hashlib
+
+    monkeypatch.setattr(SPL, "DIGITS", digits)
+    monkeypatch.setattr(SPL, "FEW", few)
+    keys = [f"k{i}" for i in range(300)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(3)
+    for fraction in (0.15, 0.0, 1.0, 0.001, 1 / 3):
+        marked, _ = SPL.assign_split(df, fraction, "k", 42, exact=True)
+        order = sorted(keys, key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+        assert {r["k"] for r in marked.where("is_test").collect()} == set(order[:math.ceil(round(300 * fraction, 9))])
+
+
+def test_exact_split_keeps_repeated_and_null_keys_together(spark):
+    rows = [("hot",)] * 400 + [(None,)] * 100 + [(f"k{i}",) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string").repartition(4)
+    marked, _ = SPL.assign_split(df, 0.3, "k", 42, exact=True)
+    sides = marked.groupBy("k").agg(F.count_distinct("is_test").alias("n")).where("n <> 1").count()
+    n_test = marked.where("is_test").count()
+    assert sides == 0 and marked.where("is_test is null").count() == 0 and 300 <= n_test < 300 + 400
+    assert SPL.assign_split(df.where("false"), 0.3, "k", 42, exact=True)[0].count() == 0
+
+
+def test_exact_split_moves_no_rows(spark):
+    marked, _ = SPL.assign_split(spark.range(1000), 0.15, "id", 42, exact=True)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan

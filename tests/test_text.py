@@ -100,3 +100,25 @@ def test_not_blank_knows_all_white_space(spark):
     rows = [("\n" * 12,), ("\u00a0\u2003\u001c ",), (" x ",), ("",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(P.not_blank("t")).collect()]
     assert got == [False, False, True, False, None]
+
+
+STRICT = [("sig.ra Rossi", "signora Rossi"), ("la ragion. fu", "la ragion. fu"), ("ing.on. Dr.", "ingegneronorevole Dottor"),
+          ("Sig.ra e sig.", "Signora e signor"), ("x_on. on.", "x_on. onorevole"), ("7on. é on.", "7on. é onorevole"),
+          ("SIG. avv.prof.", "SIG. avvocatoprofessor"), ("", ""), (None, None), ("on.", "onorevole"), ("sig..", "signor.")]
+
+
+def test_strict_abbreviations_begin_words(spark):
+    import re
+
+    from parlance.functions import text as T
+
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(STRICT)], "id int, text string")
+    got = {r["id"]: r["out"] for r in df.select("id", T.expand_abbr_b("text", strict=True).alias("out")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(STRICT)}
+    # the same by one substitution with a table
+    table = dict(T.ABBREVIATIONS_C)
+    rule = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, table), key=len, reverse=True)) + ")")
+    texts = [" ".join(t for t, _ in STRICT if t).lower(), "etc.vs. etc.,vs.x", "dott.dr.sig.ra.sig.raffaele"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(T.expand_abbr_c("text", strict=True)).collect()]
+    assert got == [rule.sub(lambda m: table[m.group()], t) for t in texts]
