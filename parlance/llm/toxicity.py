@@ -432,7 +432,7 @@ def toxicity(text: Column, spark: SparkSession, net: Network) -> Column:
 
     @F.arrow_udf(DoubleType())
     def score(column: pa.Array) -> pa.Array:
-        parts = [sent.value.scores(part) for part in byte_slices(column, 2 << 20)]
+        parts = [sent.value.scores(part) for part in byte_slices(column)]
         release_memory()
         return pa.array(np.concatenate([*parts, np.zeros(0)]).astype(np.float64))
     return score(text)
