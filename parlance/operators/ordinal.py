@@ -37,11 +37,17 @@ def target_partitions(df: DataFrame) -> int:
     ``TARGET_PARTITION_BYTES`` of what its plan reads each, never fewer than
     the cluster's cores (so a hot key still spreads); planning only, no job.
     The sizes are those of the plan's leaves: estimates further up multiply
-    at every join. A leaf of unknown size (a local RDD) counts as nothing."""
+    at every join. A checkpoint carries such an estimate along, so of it, and
+    of a local RDD, the number of partitions counts instead."""
     floor = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = sum(size for size in sizes if size < UNKNOWN_BYTES)
+    known = 0
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        size = int(str(leaf.stats().sizeInBytes()))
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            floor = max(floor, leaf.rdd().getNumPartitions())
+        elif size < UNKNOWN_BYTES:
+            known += size
     return max(floor, -(-known // TARGET_PARTITION_BYTES))
 
 

@@ -92,8 +92,8 @@ def with_clean_segments(rows: DataFrame, segments: Segments, chain: Chain, out:
     used = stable(rows.select(key).where(F.col(key).isNotNull()).distinct())
     seg = segments.read().select(key, F.col(segments.order).alias("clip_no"), F.col(segments.x).alias("x"))
     seg = lookup(seg, used, [key], F.col("clip_no"), "inner")
-    if rate_in is not None:
-        seg = resample_segments(seg, [key], rate_in, chain.rate)
+    if rate_in is not None and rate_in != chain.rate:
+        seg = stable(resample_segments(seg, [key], rate_in, chain.rate))  # read three times
     clean = clean_segments(seg, [key], chain).select(F.col(key).alias("_signal_of"), F.col("signal").alias(out))
     return rows.join(clean, F.col(key) == F.col("_signal_of"), "left").drop("_signal_of")
 
@@ -129,7 +129,7 @@ def clean_segments(segments: DataFrame, keys: Sequence[str], chain: Chain, order
                                                F.max("_missing").alias("_missing")))
     placed = running_total(measured.select(*each, "_n"), "_n", ["_no"], keys, "_before")
     # One row per segment: where it lies, and what its signal is scaled by.
-    placed = stable(lookup(placed, whole.select(*keys, "_m"), keys, F.col("_no")))
+    placed = lookup(placed, whole.select(*keys, "_m"), keys, F.col("_no"))
 
     scaled = fetch(placed, seg, each, ["_x"]).withColumn("_y", _scaled(F.col("_x"), F.col("_m"), chain.gain))
     mask = F.transform("_y", lambda v: F.abs(v) > F.lit(chain.silence))
@@ -141,7 +141,7 @@ def clean_segments(segments: DataFrame, keys: Sequence[str], chain: Chain, order
 
     bounds = loud.groupBy(*keys).agg(F.min(F.col("_before") + F.col("_first")).alias("_s"),
                                      F.max(F.col("_before") + F.col("_last")).alias("_e"))
-    bounds = lookup(whole.drop("_m"), stable(bounds), keys, F.lit(0))
+    bounds = fetch_left(whole.drop("_m"), bounds, keys)
     s, e, n = F.col("_s"), F.col("_e"), F.col("_total")
     if chain.pad is None:
         start, end = s, e + 1
@@ -204,9 +204,8 @@ def resample_segments(segments: DataFrame, keys: Sequence[str], r_in: int, r_out
                                  F.get("_x", F.lit(0)).alias("_head")))
     whole = stable(measured.groupBy(*keys).agg(F.sum("_n").alias("_total")))
     placed = running_total(measured.select(*each, "_n"), "_n", ["_no"], keys, "_before")
-    placed = stable(lookup(placed, whole, keys, F.col("_no")))
+    placed = lookup(placed, whole, keys, F.col("_no"))
     numbered = sequence(measured.where("_n > 0").select(*each, "_head"), ["_no"], keys, "_seq")
-    numbered = stable(numbered)
     after = numbered.select(*keys, (F.col("_seq") - 1).alias("_seq"), F.col("_head").alias("_next"), F.lit(True).alias("_more"))
     heads = fetch_left(numbered.drop("_head"), after, [*keys, "_seq"]).drop("_seq")
     placed = fetch_left(placed, heads, each)

@@ -9,6 +9,7 @@ computed column identically on both sides. Double aggregates are rounded
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -714,7 +715,7 @@ def q_batches_r(spark, sf_dir):
 
 import uuid  # noqa: E402
 
-from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..session import ensure_checkpoint_dir, stable  # noqa: E402
 from ..sources import export as EX  # noqa: E402
 from ..sources import stages as ST  # noqa: E402
 from . import base as A  # noqa: E402
@@ -762,7 +763,9 @@ def _voices(spark, sf_dir) -> DataFrame:
 
 
 def _segments(spark, sf_dir) -> SEG.Segments:
-    return SEG.Segments(lambda: _voices(spark, sf_dir), "voice", reads=(px.table_path(sf_dir, "events"),))
+    # Put together from single samples, so kept for the several reads.
+    return SEG.Segments(functools.cache(lambda: stable(_voices(spark, sf_dir))), "voice",
+                        reads=(px.table_path(sf_dir, "events"),))
 
 
 def _voiced(spark, sf_dir, key: str):

@@ -53,9 +53,15 @@ def prepare_text(df: DataFrame, text_col: str = "text", duration_col: str = "dur
 
 def normalised_clips(df: DataFrame, text_col: str = "text", duration_col: str = "duration") -> DataFrame:
     """:func:`prepare_text` without the checkpoint."""
-    kept = df.where(duration_between(duration_col, DURATION_MIN, DURATION_MAX))
-    kept = kept.withColumn(text_col, normalize_text_c(text_col))
-    return kept.where(text_len_between(text_col, TEXT_MIN, TEXT_MAX))
+    return _of_length(df.where(duration_between(duration_col, DURATION_MIN, DURATION_MAX)), text_col)
+
+
+def _of_length(df: DataFrame, text_col: str) -> DataFrame:
+    """Rows whose normalised text has the right length. Catalyst would put
+    the normaliser into both comparisons and run it three times; a condition
+    on a number that is made beside the text keeps the filter above it."""
+    made = df.withColumns({text_col: normalize_text_c(text_col), "_made": F.monotonically_increasing_id()})
+    return made.where(text_len_between(text_col, TEXT_MIN, TEXT_MAX) & (F.col("_made") >= 0)).drop("_made")
 
 
 @dataclass(frozen=True)
@@ -77,8 +83,7 @@ def cleaned_clips(df: DataFrame, signal: SignalSpec, text_col: str = "text") ->
     prepared rows, "no_result" for a missing signal, one with a null or
     non-finite sample, or one too short after cleaning, "duration" for one
     outside the bounds."""
-    texts = df.withColumn(text_col, normalize_text_c(text_col)) \
-              .where(text_len_between(text_col, TEXT_MIN, TEXT_MAX))
+    texts = _of_length(df, text_col)
     if signal.segments is not None:
         clean = with_clean_segments(stable(texts), signal.segments, chain_c(signal.rate, signal.fc), "_clean", signal.rate_in)
     else:

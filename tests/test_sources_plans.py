@@ -187,6 +187,25 @@ def test_normaliser_is_planned_once(spark):
     assert kept.count() < d.count()
 
 
+def test_length_filter_does_not_repeat_the_normaliser(spark):
+    from parlance.plans import voices as C
+
+    d = px.documents_corpus(spark, SF_SMALL).withColumn("duration", F.lit(3.0))
+    plan = C.normalised_clips(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 and "_made" not in plan.split("\n")[0]  # T4 and T5, once
+
+
+def test_partitions_of_a_checkpoint_are_counted(spark):
+    """A checkpoint of joins carries an estimate that multiplied at each."""
+    from parlance.operators import ordinal
+    from parlance.session import stable
+
+    a = spark.range(10**6).select(F.col("id").alias("a"))
+    wide = stable(a.crossJoin(F.broadcast(spark.range(3).select(F.col("id").alias("b")))).limit(10))
+    joined = stable(wide.join(wide.withColumnRenamed("b", "c"), "a").repartition(7))
+    assert ordinal.target_partitions(joined) == max(7, spark.sparkContext.defaultParallelism)
+
+
 def test_conditioning_does_not_join_the_corpus(spark):
     from parlance.plans import voices as C
 
