@@ -4,6 +4,7 @@ straight from the UTF-8 buffer, without a Python object per word."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -41,9 +42,8 @@ class Words:
     end: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word, from prefix sums of a polynomial in an
-        odd base (which has an inverse modulo 2**64)."""
+    @cached_property
+    def _hashes(self) -> np.ndarray:
         n = len(self.buffer)
         if not len(self.start):
             return np.zeros(0, np.uint64)
@@ -52,6 +52,11 @@ class Words:
         value = (sums[self.end] - sums[self.start]) * _powers(_INVERSE, n)[self.start]
         return mix(value + (self.end - self.start).astype(np.uint64))
 
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of each word, from prefix sums of a polynomial in an
+        odd base (which has an inverse modulo 2**64)."""
+        return self._hashes
+
 
 def words_of(texts: list[bytes], lower: bool = True, breaks: np.ndarray = _SPACE) -> Words:
     """The words of ``texts``, with A-Z lower-cased if asked. ``breaks``
@@ -89,3 +94,19 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         parts = np.array([counts[i], *(turned[k][own][k] for k in range(counts[i]))], np.uint64)
         out[first[i]] = (parts * np.array([_INVERSE, *[1] * counts[i]], np.uint64)).sum(dtype=np.uint64)
     return mix(out), first
+
+
+def least_in_shingles(words: Words, value: np.ndarray, size: int = 5) -> np.ndarray:
+    """The least ``value`` (one per word) among the words of each run that
+    :func:`shingles` hashes, in the same order."""
+    counts = np.diff(words.first)
+    least = value.copy()
+    for k in range(1, size):
+        least[:max(len(value) - k, 0)] = np.minimum(least[:max(len(value) - k, 0)], value[k:])
+    number = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    first = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(number, out=first[1:])
+    out = least[np.repeat(words.first[:-1], number) + np.arange(first[-1]) - np.repeat(first[:-1], number)]
+    for i in np.flatnonzero((counts > 0) & (counts < size)):
+        out[first[i]] = value[words.first[i]:words.first[i + 1]].min()
+    return out

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
-from .bytewords import mix, shingles, words_of
+from .bytewords import least_in_shingles, mix, shingles, words_of
 from .common import Scratch, release_memory, shuffle_partitions, table
 from .components import connected_components
 from .tokens import byte_slices
@@ -38,8 +38,12 @@ FINE, LEAST_GROUPS, MOST_COUNT = 4, 64, 255
 # A group of documents that has more surviving pairs than this for each of
 # them sends the best of them first, enough to join all that may be joined.
 MANY_PAIRS = 4
-# Frequencies are counted by hash prefix in a table of this many bits,
-# whatever the input, and kept as half octaves. They only order shingles.
+# Frequencies are counted by hash prefix in two tables of this many bits,
+# whatever the input, one of shingles and one of words, and kept as half
+# octaves. Neither count is too low, and no shingle is more frequent than its
+# rarest word, so the lesser of them is the better one: when a large corpus
+# has filled the table of shingles, the words still tell rare shingles from
+# common ones. They only order shingles.
 COUNT_BITS, BLOCK = 22, 4096
 # Cells of shingles counted this often are dealt out in parts.
 LARGE_CELL = 4096
@@ -63,11 +67,32 @@ def required(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and where
     each text's begin."""
-    hashes, first = shingles(words_of(texts), SIZE)
-    own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
-    begin = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(x) for x in own], out=begin[1:])
-    return np.concatenate([*own, np.zeros(0, np.uint64)]), begin
+    flat, begin, _ = _sets(*shingles(words_of(texts), SIZE))
+    return flat, begin
+
+
+def _sets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`sets_of` from the shingles with repeats, and a place of each
+    among them."""
+    own = [np.unique(hashes[a:b], return_index=True) for a, b in zip(first[:-1], first[1:])]
+    begin = np.zeros(len(first), np.int64)
+    np.cumsum([len(x) for x, _ in own], out=begin[1:])
+    places = [at + a for (_, at), a in zip(own, first[:-1])]
+    return (np.concatenate([*(x for x, _ in own), np.zeros(0, np.uint64)]), begin,
+            np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64))
+
+
+def ranked_sets(texts: list[bytes], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`sets_of`, and the level of each shingle's frequency."""
+    words = words_of(texts)
+    hashes, first = shingles(words, SIZE)
+    by_word = least_in_shingles(words, levels[1][_prefix(words.hashes())], SIZE)
+    flat, begin, place = _sets(hashes, first)
+    return flat, begin, np.minimum(levels[0][_prefix(flat)], by_word[place])
+
+
+def _prefix(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
 def set_ids(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -77,12 +102,15 @@ def set_ids(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of a task fall under each hash prefix, in blocks."""
-    total = np.zeros(1 << COUNT_BITS, np.int64)
+    """How many shingles, and how many words, of a task fall under each hash
+    prefix, in blocks."""
+    total = np.zeros((2, 1 << COUNT_BITS), np.int32)
     for batch in batches:
         for part in byte_slices(batch.column(0)):
-            at = shingles(words_of(part), SIZE)[0] >> np.uint64(64 - COUNT_BITS)
-            total += np.bincount(at.astype(np.int64), minlength=len(total))
+            words = words_of(part)
+            for counts, hashes in zip(total, (shingles(words, SIZE)[0], words.hashes())):
+                at, n = np.unique(_prefix(hashes), return_counts=True)
+                counts[at] += n.astype(np.int32)
     rows = total.astype("<i4").reshape(-1, BLOCK)
     used = np.flatnonzero(rows.any(axis=1))
     yield pa.RecordBatch.from_arrays(
@@ -106,17 +134,13 @@ def half_octaves(count):
 
 
 def frequency_levels(texts: DataFrame, partitions: int) -> np.ndarray:
-    """The half octave of the count of each hash prefix over all texts:
-    ``2**COUNT_BITS`` bytes, whatever the input."""
+    """The half octave of the count of each hash prefix over all texts, of
+    shingles and of words: ``2**COUNT_BITS`` bytes each, whatever the input."""
     blocks = texts.mapInArrow(count_blocks, "block int, counts binary").repartition(partitions, "block")
-    out = np.zeros((1 << COUNT_BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
+    out = np.zeros((2 << COUNT_BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
     for block, levels in blocks.mapInArrow(add_blocks, "block int, levels binary").collect():
         out[block] = np.frombuffer(bytes(levels), np.uint8)
-    return out.ravel()
-
-
-def level_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    return levels[hashes >> np.uint64(64 - COUNT_BITS)]
+    return out.reshape(2, -1)
 
 
 def group_counts(flat: np.ndarray, begin: np.ndarray) -> list[bytes | None]:
@@ -164,13 +188,12 @@ def make_features(levels, large: float):
         release_memory()
 
     def one(ids: pa.Array, part: list[bytes], met: set[int]) -> pa.RecordBatch:
-        flat, begin = sets_of(part)
+        flat, begin, level = ranked_sets(part, levels.value)
         n = np.diff(begin)
         names = set_ids(flat, begin)
         fresh = np.array([size > 0 and name not in met and not met.add(name)
                           for name, size in zip(names.tolist(), n.tolist())], bool)
         owner = np.repeat(np.arange(len(part)), n)
-        level = level_of(flat, levels.value)
         order = flat[np.lexsort((flat, level, owner))]
         small = np.bincount(owner[level < large], minlength=len(part)).astype(np.int32)
         length = np.where(fresh, n - (3 * n + 3) // 4 + 1, 0)
