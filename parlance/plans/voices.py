@@ -131,9 +131,11 @@ def conditioning_clips(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN
 
 def voice_table(prepared: DataFrame, k: int = TOP_K, min_clips: int = MIN_CLIPS) -> DataFrame:
     """G9 long form: every clip of every speaker with >= ``min_clips``
-    clips, ranked, flagged as conditioning for the best ``k``."""
-    good = spk.min_rows_per_speaker(prepared, min_clips)
-    return spk.voice_table(good, k)
+    clips, ranked, flagged as conditioning for the best ``k``. Signals are
+    fetched at the end, for the clips that stay."""
+    wide = spk.wide_columns(prepared)
+    good = spk.voice_table(spk.min_rows_per_speaker(prepared.drop(*wide), min_clips), k)
+    return spk.fetch(good, prepared, ["speaker_id", "source_no", "pos"], wide) if wide else good
 
 
 def gates(prepared: DataFrame, min_samples: int = 100, min_speakers: int = 5,

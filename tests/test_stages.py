@@ -271,6 +271,8 @@ def test_wide_columns_are_fetched_last(spark, corpus):
     window = text.index("Window")
     assert text.count("Join") == 2 and "signal" not in text[window:].split("LogicalRDD")[0]
     table = C.voice_table(prepared)
+    lines = [x for x in table._jdf.queryExecution().optimizedPlan().toString().split("\n") if "signal" in x]
+    assert len(lines) == 3 and "Project" in lines[0]  # the result, and the side that is fetched from
     assert sorted(table.columns) == sorted([*prepared.columns, "clip_rank", "total_duration", "is_conditioning"])
     narrow = C.voice_table(prepared.drop("signal"))
     assert sorted(table.drop("signal").select(narrow.columns).collect()) == sorted(narrow.collect())
