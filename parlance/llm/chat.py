@@ -34,11 +34,14 @@ def json_object(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-# Whether the text of an argument, p.x, is what its schema, p.t, asks for.
+# Whether the JSON text of an argument, p.x, is what its schema, p.t, asks for.
 _FITS = """case p.t.type
   when 'integer' then p.x rlike '^-?(0|[1-9][0-9]*)$'
   when 'number' then p.x rlike '^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$'
   when 'boolean' then p.x in ('true', 'false')
+  when 'string' then startswith(p.x, '"')
+  when 'object' then startswith(p.x, '{')
+  when 'array' then startswith(p.x, '[')
   else true end"""
 _IN_RANGE = """p.t.type not in ('integer', 'number')
   or ((p.t.minimum is null or try_cast(p.x as double) >= p.t.minimum)
@@ -47,42 +50,48 @@ _IN_RANGE = """p.t.type not in ('integer', 'number')
 
 def of_given(test: str) -> str:
     """A test of one given argument ``g`` under its schema, if it has one."""
-    return f"""exists(array(struct(try_element_at(_params, g.key) as t, g.value as x)),
+    return f"""exists(array(struct(try_element_at(_params, g.key) as t, g.value.json as x)),
                       p -> p.t is not null and ({test}))"""
 
 
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """``calls`` with ``_problems`` (sorted) and ``_canonical`` arguments.
 
-    Arguments are a JSON object; what else they hold is "not an object". A
-    value counts as an integer, number or boolean by its JSON text, and a
-    null value as missing. Numbers and booleans that fit stay bare in the
-    canonical form, all else is a string."""
-    tools = schemas.groupBy(F.col("name").alias("_tool")).agg(F.map_from_entries(F.collect_list(F.struct(
-        "param", F.struct("type", "required", "minimum", "maximum")))).alias("_params"))
+    Arguments are a JSON object; what else they hold is "not an object", and
+    one that names a key twice, at any depth, has a "duplicate key". The
+    values keep their JSON types in the canonical form, whether or not a
+    schema knows them: keys in order at every depth, no white space, numbers
+    in their shortest form. A null value counts as missing. Of several
+    schema rows for one parameter the least counts; rows without a tool or a
+    parameter name say nothing."""
+    rules = schemas.where("name is not null and param is not null").groupBy("name", "param").agg(
+        F.min(F.struct("type", "required", "minimum", "maximum")).alias("_rule"))
+    tools = rules.groupBy(F.col("name").alias("_tool")).agg(
+        F.map_from_entries(F.collect_list(F.struct("param", "_rule"))).alias("_params"))
     calls = calls.join(tools, F.col("name") == F.col("_tool"), "left") \
-        .withColumn("_args", F.from_json("arguments", "map<string,string>")) \
-        .withColumn("_given", F.expr("""coalesce(
-            array_sort(map_entries(map_filter(_args, (k, v) -> v is not null))),
-            cast(array() as array<struct<key:string,value:string>>))""")) \
-        .withColumn("_rules", F.expr("coalesce(map_entries(_params), array())"))
+        .withColumn("_args", F.expr("try_variant_get(try_parse_json(arguments), '$', 'map<string,variant>')")) \
+        .withColumn("_given", F.expr("""coalesce(array_sort(map_entries(transform_values(
+            map_filter(_args, (k, v) -> not is_variant_null(v)),
+            (k, v) -> struct(cast(v as string) as value, to_json(v) as json)))),
+            cast(array() as array<struct<key:string,value:struct<value:string,json:string>>>))""")) \
+        .withColumn("_rules", F.expr("coalesce(map_entries(_params), array())")) \
+        .withColumn("_twice", F.expr("try_parse_json(arguments) is null and from_json(arguments, 'map<string,string>') is not null"))
     problems = F.expr(f"""array_sort(flatten(array(
-      if(_args is null, array('not an object'), array()),
+      if(_twice, array('duplicate key'), if(_args is null, array('not an object'), array())),
       if(_tool is null, array('unknown tool'), array()),
-      transform(filter(_rules, e -> e.value.required and not exists(_given, g -> g.key = e.key)),
+      transform(filter(_rules, e -> e.value.required and not _twice and not exists(_given, g -> g.key = e.key)),
                 e -> concat('missing ', e.key)),
       if(_tool is null, array(), transform(filter(_given, g -> not map_contains_key(_params, g.key)),
                                            g -> concat('unknown ', g.key))),
       transform(filter(_given, g -> {of_given(f"not ({_FITS})")}), g -> concat('type ', g.key)),
       transform(filter(_given, g -> {of_given(f"({_FITS}) and not ({_IN_RANGE})")}),
                 g -> concat('range ', g.key)))))""")
-    bare = F.expr(f"""transform(_given, g -> {of_given(f"p.t.type in ('integer', 'number', 'boolean') and ({_FITS})")})""")
-    body = F.array_join(F.zip_with("_given", bare, lambda g, b: F.concat(
-        quoted(g["key"]), F.lit(":"), F.when(b, g["value"]).otherwise(quoted(g["value"])))), ",")
+    body = F.array_join(F.transform("_given", lambda g: F.concat(quoted(g["key"]), F.lit(":"), g["value"]["json"])), ",")
     return calls.withColumn("_problems", F.filter(problems, lambda p: p.isNotNull())) \
         .withColumn("_canonical", F.when(F.col("_args").isNull(), quoted(F.col("arguments")))
                     .otherwise(F.concat(F.lit("{"), F.coalesce(body, F.lit("")), F.lit("}")))) \
-        .drop("_tool", "_params", "_args", "_rules")
+        .withColumn("_given", F.transform("_given", lambda g: g["value"]["value"])) \
+        .drop("_tool", "_params", "_args", "_rules", "_twice")
 
 
 def leveled(scratch: Scratch, calls: DataFrame) -> DataFrame:
@@ -91,8 +100,7 @@ def leveled(scratch: Scratch, calls: DataFrame) -> DataFrame:
     calls on or behind a cycle. One join per level, which ends when no call
     gets one any more."""
     key = ["conv_id", "turn", "call_id"]
-    named = calls.select(*key, F.explode(F.filter(F.transform("_given", lambda g: g["value"]),
-                                                  lambda v: v.startswith("$"))).alias("_ref"))
+    named = calls.select(*key, F.explode(F.filter("_given", lambda v: v.startswith("$"))).alias("_ref"))
     named = named.select("conv_id", "turn", "call_id", F.expr("substring(_ref, 2)").alias("_on"))
     known = calls.select("conv_id", "turn", F.col("call_id").alias("_on")).distinct()
     needs = scratch.write(named.join(known, ["conv_id", "turn", "_on"]).distinct(), "needs")

@@ -166,9 +166,11 @@ def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     weighed = docs.select(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
                           topic_of(text).alias("topic"), words_in(text).alias("n_tokens"))
     cells = cell_probabilities(scratch, weighed, budget, targets=targets)
-    tagged = docs.withColumn("_topic", topic_of(text))
-    kept = meet(tagged, cells, {"source": source_col, "lang": lang_col, "topic": "_topic"})
-    return kept.where(uniform(F.col(id_col), seed) < F.col("_probability")).select(*docs.columns)
+    # The row as one value, so that no column of it can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                       F.col(lang_col).alias("lang"), topic_of(text).alias("topic"))
+    kept = meet(rows, cells, {m: m for m in TEMPER})
+    return kept.where(uniform(F.col("id"), seed) < F.col("_probability")).select("row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -610,24 +610,26 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts without words link with nothing and all stay."""
     narrow, named = set_components(docs, id_col, text_col)
     kept = named.groupBy("comp").agg(F.min(F.struct(F.col("_own").isNull().alias("_none"), "_own", "sid")).alias("_k")) \
-        .select(F.col("_k._own").alias("_kept_id"), F.col("_k.sid").alias("_kept_sid"))
+        .select(F.col("_k._own").alias("kept_id"), F.col("_k.sid").alias("kept_sid"))
+    # The row as one value, so that no column of it can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # An id names a row when one row with words has it; else the set decides.
     repeated = narrow.where("sid is not null and _id is not null").groupBy("_id").agg(F.count("*").alias("_n")) \
-        .where("_n > 1").select(F.col("_id").alias("_many"))
+        .where("_n > 1").select(F.col("_id").alias("many"))
     some = not repeated.isEmpty()
-    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    clear = kept.where("_kept_id is not null")
-    unclear = docs.where(words & F.col(id_col).isNull())
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    clear = kept.where("kept_id is not null")
+    unclear = rows.where(words & F.col("id").isNull())
     if some:
-        clear = clear.join(repeated, clear["_kept_id"] == repeated["_many"], "left_anti")
-        unclear = unclear.union(docs.where(words).join(repeated, docs[id_col] == repeated["_many"], "left_semi"))
-    first = docs.where(words).join(clear, docs[id_col] == clear["_kept_id"]).select(*[docs[c] for c in docs.columns])
+        clear = clear.join(repeated, F.col("kept_id") == F.col("many"), "left_anti")
+        unclear = unclear.union(rows.where(words).join(repeated, F.col("id") == F.col("many"), "left_semi"))
+    first = rows.where(words).join(clear, F.col("id") == F.col("kept_id")).select("row")
     if some or not narrow.where("sid is not null and _id is null").isEmpty():
-        own = unclear.withColumn("_sid", set_name(F.col(text_col)))
-        own = own.join(kept, (F.col("_sid") == kept["_kept_sid"]) & own[id_col].eqNullSafe(kept["_kept_id"])) \
-            .dropDuplicates([id_col, "_sid"]).select(*docs.columns)
+        own = unclear.withColumn("sid", set_name(F.col("text")))
+        own = own.join(kept, (F.col("sid") == F.col("kept_sid")) & F.col("id").eqNullSafe(F.col("kept_id"))) \
+            .dropDuplicates(["id", "sid"]).select("row")
         first = first.union(own)
-    return first.union(docs.where(~words))
+    return first.union(rows.where(~words).select("row")).select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,9 +62,8 @@ rows AS (
            CASE WHEN tool = 'lookup' AND n % 3 = 0 THEN 'unknown exact' END,
            CASE WHEN tool = 'browse' THEN 'unknown tool' END], lambda x: x IS NOT NULL), '; '),
          '{"arguments":{' || array_to_string(list_filter([
-           CASE WHEN n % 3 = 0 THEN '"exact":' || CASE WHEN tool = 'search' THEN CAST(n % 2 = 0 AS VARCHAR)
-                                                       ELSE '"' || CAST(n % 2 = 0 AS VARCHAR) || '"' END END,
-           '"limit":' || CASE WHEN tool = 'browse' THEN '"' || (n % 120) || '"' ELSE CAST(n % 120 AS VARCHAR) END,
+           CASE WHEN n % 3 = 0 THEN '"exact":' || CAST(n % 2 = 0 AS VARCHAR) END,
+           '"limit":' || CAST(n % 120 AS VARCHAR),
            CASE WHEN n % 5 <> 0 AND text IS NOT NULL THEN '"query":' || to_json(text)::VARCHAR END], lambda x: x IS NOT NULL), ',')
          || '},"id":"' || id || '-a","name":"' || tool || '","type":"function"}'
   FROM a

@@ -138,7 +138,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
 
     def stored() -> DataFrame:
         cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-        return cache.where(F.col("tokenizer") == version).select(F.col("content").alias("_key"), "n_tokens")
+        # A text that two writers added at once, or a writer that was run
+        # again, is there more than once.
+        return cache.where(F.col("tokenizer") == version).groupBy(F.col("content").alias("_key")) \
+            .agg(F.max("n_tokens").alias("n_tokens"))
 
     text = F.col(text_col)
     key = F.unhex(F.sha2(canonical(text), 256)).alias("_key")

@@ -453,8 +453,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``threshold``."""
     net = fit(docs, labels, id_col, text_col)
-    return docs.withColumn("_toxicity", toxicity(F.col(text_col), docs.sparkSession, net)) \
-        .where(F.col("_toxicity") < threshold).drop("_toxicity")
+    # The row as one value, so that no column of it can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    scored = rows.withColumn("score", toxicity(F.col("text"), docs.sparkSession, net))
+    return scored.where(F.col("score") < threshold).select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages against the operators' own decisions."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from parlance.llm import mixing, ngram_join, secrets, toxicity
 
@@ -41,10 +43,12 @@ def test_run_is_the_stages_in_order(spark, documents):
 
 
 def test_odd_and_empty_tables(spark, odd, empty):
-    for frame in (odd.drop("_id"), empty):
+    clash = {c: F.lit(7) for c in ("_sid", "_kept_sid", "_kept_id", "_many", "_toxicity", "_weight", "_probability",
+                                   "_topic", "_cell_source", "row", "id", "score", "sid", "topic", "probability")}
+    for frame in (odd, odd.withColumns(clash), empty):
         docs = frame
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, SF)
             assert docs.columns == frame.columns
-            docs.count()
+            assert all(r[c] == 7 for r in docs.collect() for c in set(clash) & set(docs.columns))
         corpus_pipeline.encode(spark, docs, SF).count()

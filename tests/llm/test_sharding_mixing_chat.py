@@ -50,6 +50,13 @@ def test_written_shards(documents, spark, tmp_path):
     assert sorted(back.drop("_shard").select(documents.columns).collect(), key=str) == sorted(documents.collect(), key=str)
 
 
+def test_written_shards_of_repeated_and_null_ids(odd, spark, tmp_path):
+    for k, frame in enumerate((odd, odd.withColumns({"_slot": F.lit(1), "_size": F.lit("x"), "_row": F.lit(2)}))):
+        sharding.write_shards(frame, str(tmp_path / f"{k}"), 3)
+        back = spark.read.parquet(str(tmp_path / f"{k}")).select(frame.columns)
+        assert sorted(back.collect(), key=str) == sorted(frame.collect(), key=str)
+
+
 # -- mixing -----------------------------------------------------------------------
 
 def test_margins_are_met(spark, documents):
@@ -135,6 +142,28 @@ def test_arguments(spark, schemas, name, arguments, problems):
     json.loads(row["json"])
 
 
+@pytest.mark.parametrize("arguments,canonical,problems", [
+    ('{"opts":{"b":[1, 2],"a":null},"n":1.50,"query":"x","limit":2}',
+     {"limit": 2, "n": 1.5, "opts": {"a": None, "b": [1, 2]}, "query": "x"}, "unknown n; unknown opts"),
+    ('{"query":"x","limit":"2"}', {"limit": "2", "query": "x"}, "type limit"),
+    ('{"query":5,"limit":2}', {"limit": 2, "query": 5}, "type query"),
+    ('{"query":"a","query":"b","limit":2}', '{"query":"a","query":"b","limit":2}', "duplicate key"),
+    ('{"query":"x","limit":2,"deep":{"a":1,"a":2}}', '{"query":"x","limit":2,"deep":{"a":1,"a":2}}', "duplicate key")])
+def test_arguments_keep_their_types(spark, schemas, arguments, canonical, problems):
+    row = formatted(spark, schemas, calls=[(1, 1, 0, "a", "search", arguments)], results=[(1, 1, "a", "r")])[0]
+    assert row["problems"] == problems and json.loads(row["json"])["arguments"] == canonical
+    if isinstance(canonical, dict):  # keys in order, no white space
+        assert json.dumps(canonical, separators=(",", ":"), sort_keys=True) in row["json"]
+
+
+def test_repeated_and_null_schema_rows(spark):
+    rows = [*chat.TOOL_ROWS, *chat.TOOL_ROWS[:2], ("search", None, "string", True, None, None), (None, "x", "string", True, None, None),
+            ("search", "limit", "integer", True, 1.0, 5000.0), ("search", "query", None, None, None, None)]
+    schemas = spark.createDataFrame(rows, SCHEMA)
+    row = formatted(spark, schemas, calls=[(1, 1, 0, "a", "search", '{"query":"x","limit":1000}')], results=[(1, 1, "a", "r")])[0]
+    assert row["problems"] == "range limit"  # the least of the rows for limit
+
+
 def test_cycles_duplicates_nulls_and_empty(spark, schemas):
     rows = formatted(spark, schemas, calls=[
         (1, 1, 0, "a", "summarise", '{"text":"$b"}'), (1, 1, 1, "b", "summarise", '{"text":"$a"}'),

@@ -89,6 +89,23 @@ def test_cache_is_used_and_appended(spark, documents, library, tmp_path):
         assert r["n_bytes"] == len(texts[r["doc_id"]].encode())
 
 
+def test_a_doubled_cache_row_counts_once(spark, documents, tmp_path):
+    path = str(tmp_path / "cache")
+    first = sorted(map(tuple, tokens.count_tokens(documents, PATH, path).collect()))
+    spark.read.parquet(path).limit(50).write.mode("append").parquet(path)
+    assert sorted(map(tuple, tokens.count_tokens(documents, PATH, path).collect())) == first
+
+
+def test_long_words_are_not_remembered():
+    memo = tokens.Memo(10)
+    for k in range(50):
+        words = {f"{k}" * 100, f"{k}"}
+        new = memo.missing(words)
+        memo.young.update((w, 1) for w in new)
+        assert all(memo.young[w] == 1 for w in words)
+        assert sum(len(w) > memo.LONG_WORD for w in (*memo.young, *memo.old)) <= 1
+
+
 def test_odd_and_empty_tables(odd, empty, library, tmp_path):
     rows = tokens.count_tokens(odd, PATH, str(tmp_path / "c")).collect()
     assert len(rows) == odd.count()
