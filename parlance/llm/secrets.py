@@ -40,7 +40,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})"
                     r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+LONE_BYTE, LONE_HALF = re.compile("[\udc80-\udcff]"), re.compile("[\ud800-\udfff]")
+# Every match, escape and base64 run lies in so many ASCII characters at least
+# (token=12345678), so what has no such stretch holds nothing.
+ASCII_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+SIGN = re.compile(r"[+/_-]")
 NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]*)(={0,2})")
 
 # No match of the rules, no escape and no base64 run holds another character
@@ -139,19 +144,18 @@ def in_place(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
 
 
 def url_run(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+    """The characters of a run of escapes; bytes that are none stay escapes."""
+    text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+    out = LONE_BYTE.sub(lambda c: f"%{ord(c[0]) - 0xDC00:02X}", text)
+    return out if len(out) < len(m[0]) else None
 
 
 def escape(m: re.Match) -> str | None:
+    """As :func:`url_run`; halves of a pair without the other stay escapes."""
     if m[1]:
-        units = bytes.fromhex(m[1].replace("\\u", ""))
-        try:
-            return units.decode("utf-16-be")
-        except UnicodeDecodeError:
-            return None
+        text = bytes.fromhex(m[1].replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+        out = LONE_HALF.sub(lambda c: f"\\u{ord(c[0]):04x}", text)
+        return out if len(out) < len(m[1]) else None
     code = int(m[2] or m[3] or m[5], 16) if not m[4] else int(m[4])
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
@@ -241,12 +245,15 @@ def texts_of(source: Iterator[bytes]) -> Iterator[tuple[str, bool, bool]]:
     yield "".join(held), large, False
 
 
-def unwrapped(run: str) -> tuple[Iterator[tuple[str, bool, bool]], bool] | None:
+def unwrapped(run: str, clean: bool = True) -> tuple[Iterator[tuple[str, bool, bool]], bool] | None:
     """The blocks of the text behind a base64 run, through any compressed
-    streams, and whether the run holds whole streams."""
+    streams, and whether the run holds whole streams. Unless it must be
+    ``clean``, bytes that are no UTF-8 are replaced."""
     body = run.rstrip("=")
     if len(body) % 4 == 1:
-        return None
+        if clean:
+            return None
+        body = body[:-1]
     body = body.replace("-", "+").replace("_", "/")
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
@@ -269,8 +276,10 @@ def unwrapped(run: str) -> tuple[Iterator[tuple[str, bool, bool]], bool] | None:
         seen.add(mark if len(first) < STEP else len(seen))
         data, source, outer = first, below, outer or state
     if outer is None:
+        if not ASCII_STRETCH.search(data):
+            return None
         try:
-            return iter([(data.decode(), False, False)]), False
+            return iter([(data.decode("utf-8", "strict" if clean else "replace"), False, False)]), False
         except UnicodeDecodeError:
             return None
     blocks = texts_of(chain([data], source))
@@ -278,6 +287,36 @@ def unwrapped(run: str) -> tuple[Iterator[tuple[str, bool, bool]], bool] | None:
     return chain([first], blocks), outer.get("ended", False)
 
 
+def shifted(run: str) -> Iterator[tuple[int, Iterator[tuple[str, bool, bool]]]]:
+    """(offset, the blocks behind it) for a run that as a whole is no text:
+    a part of it may be one, behind letters of the same alphabet (a path, a
+    name). Text shows at one of the four alignments wherever it begins; a
+    compressed stream must begin behind a sign."""
+    for offset in range(4):
+        if found := unwrapped(run[offset:], clean=False):
+            yield offset, found[0]
+    for sign in SIGN.finditer(run):
+        if begins_stream(run, sign.end()) and (found := unwrapped(run[sign.end():], clean=False)):
+            yield sign.end(), found[0]
+
+
+def begins_stream(run: str, at: int) -> bool:
+    """Whether a compressed stream begins at a place of a base64 run: by its
+    mark, and by its first bytes."""
+    def head(n: int) -> bytes:
+        part = run[at:at + n].rstrip("=").replace("-", "+").replace("_", "/")
+        return base64.b64decode(part[:len(part) // 4 * 4])
+
+    if opener_of(head(8)) is None:
+        return False
+    data = head(1 << 12)
+    try:
+        opener_of(data).decompress(data, STEP)
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, MemoryError):
+        return False
+    return True
+
+
 def decoded_runs(text: str) -> Iterator[tuple[int, int, Iterator[tuple[str, bool, bool]]]]:
     """(start, end, the blocks behind it) of the base64 runs. A run goes on
     over single line breaks while the lines are equally long; the last may be
@@ -308,6 +347,9 @@ def decoded_runs(text: str) -> Iterator[tuple[int, int, Iterator[tuple[str, bool
                 continue
         if found := unwrapped(m[0]):
             yield m.start(), m.end(), found[0]
+        else:
+            for offset, blocks in shifted(m[0]):
+                yield m.start() + offset, m.end(), blocks
 
 
 def derived(layer: Layer) -> Iterator[Layer]:

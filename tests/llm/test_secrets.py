@@ -139,6 +139,38 @@ def test_a_refused_layer_costs_nothing(monkeypatch):
     assert got["n_cut"] == 1 and any(s["start"] == len(large) + 2 for s in got["spans"])
 
 
+LEAK = "password=hunter2hunter2"
+PACKED = base64.b64encode(LEAK.encode()).decode()
+
+
+@pytest.mark.parametrize("text", [
+    "x %FF" + "".join(f"%{ord(c):02x}" for c in LEAK) + " y",
+    "x " + "".join(f"%{ord(c):02x}" for c in LEAK) + "%FF%C3 y",
+    "x \\ud800" + "".join(f"\\u{ord(c):04x}" for c in LEAK) + " y",
+    "x \\udc00\\ud83d\\ude42" + "".join(f"\\u{ord(c):04x}" for c in LEAK) + "\\ud800 y",
+    "x " + base64.b64encode(b"caf\xe9 " + LEAK.encode() + b" \xff").decode() + " y",
+    *(f"x {front}{PACKED} y" for front in ("cfg/", "conf/", "a-b_", "https://h/p/abc/", "key_1-", "a/b/c/d/e/")),
+    *(f"x {front}{base64.b64encode(gzip.compress(LEAK.encode())).decode()} y" for front in ("cfg/", "conf/", "a-b_")),
+    f"x conf/{base64.b64encode(base64.b64encode(LEAK.encode())).decode()} y"])
+def test_layers_behind_or_beside_other_bytes(text):
+    found = secrets.scan(text)
+    assert any(s["kind"] == "assign" for s in found["spans"]) and found["n_cut"] == 0
+    assert "unter2" not in secrets.redacted(text, "[]") and secrets.redacted(text, "[]").startswith("x ")
+
+
+def test_many_false_beginnings_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    secrets.scan("x " + "/H4sIAAAAAAAAAAAA" * 60_000 + " y")
+    assert time.perf_counter() - begin < 30
+
+
+def test_words_and_names_hold_no_layers():
+    text = " ".join(["Donaudampfschifffahrtsgesellschaft", "some/long/path/to/a_file-name_here", "0123456789abcdef" * 2] * 50)
+    assert {s["kind"] for s in secrets.scan(text)["spans"]} == {"hex"}
+
+
 def test_redaction():
     text = f"x {SECRET} y {base64.b64encode(SECRET.encode()).decode()} z"
     masked = secrets.redacted(text, "[SECRET]")
