@@ -28,11 +28,14 @@ def _digest(parts: Sequence[str]) -> str:
 
 # --- files ---------------------------------------------------------------------
 
-def _listing(fs, jvm, path) -> list[tuple[str, bool, str, str]]:
-    """(path, is a folder, length, time) of what is in a folder, one call to
-    the file system and one string, however many files it holds."""
-    text = jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(path))
-    return [(p, folder == "true", size or "", time) for p, folder, size, time in LISTED.findall(text)]
+def _entries(jvm, statuses) -> list[tuple[str, bool, str, str]]:
+    """(path, is a folder, length, time) of listed files, read off the text
+    of the whole listing, however many there are; of a file system whose
+    listing reads otherwise, one by one."""
+    found = LISTED.findall(jvm.org.apache.commons.lang3.ArrayUtils.toString(statuses))
+    if len(found) == len(statuses):
+        return [(p, folder == "true", size or "", time) for p, folder, size, time in found]
+    return [(str(st.getPath()), st.isDirectory(), str(st.getLen()), str(st.getModificationTime())) for st in statuses]
 
 
 def files_digest(spark: SparkSession, path: str | Sequence[str]) -> str | None:
@@ -45,13 +48,11 @@ def files_digest(spark: SparkSession, path: str | Sequence[str]) -> str | None:
         start = jvm.org.apache.hadoop.fs.Path(one)
         fs = start.getFileSystem(conf)
         matched = fs.globStatus(start)
-        work = [] if matched is None else [
-            (p, folder == "true", size or "", time)
-            for p, folder, size, time in LISTED.findall(jvm.org.apache.commons.lang3.ArrayUtils.toString(matched))]
+        work = [] if matched is None else _entries(jvm, matched)
         while work:
             name, folder, size, time = work.pop()
             if folder:
-                inside = _listing(fs, jvm, jvm.org.apache.hadoop.fs.Path(name))
+                inside = _entries(jvm, fs.listStatus(jvm.org.apache.hadoop.fs.Path(name)))
                 # What Spark's readers skip does not count.
                 work += [x for x in inside if x[0].rsplit("/", 1)[1][:1] not in ("_", ".")]
             else:

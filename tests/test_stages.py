@@ -113,6 +113,21 @@ def test_helpers_and_constants_of_an_adapter_count(spark):
     assert ID.code_digest(one) != ID.code_digest(two)
 
 
+def test_files_are_listed_whatever_the_listing_looks_like(spark, corpus, monkeypatch):
+    import re
+
+    same = ID.files_digest(spark, corpus)
+    assert same == ID.files_digest(spark, [corpus]) and same != ID.files_digest(spark, f"{corpus}/*0000*.parquet")
+    assert ID.files_digest(spark, corpus + "-none") is None
+    monkeypatch.setattr(ID, "LISTED", re.compile("(never)(never)(never)(never)"))
+    one_by_one = ID.files_digest(spark, corpus)
+    assert one_by_one is not None
+    spark.range(1).write.mode("append").parquet(corpus)
+    assert ID.files_digest(spark, corpus) != one_by_one
+    monkeypatch.undo()
+    assert ID.files_digest(spark, corpus) != same
+
+
 def test_digests_are_the_same_in_another_process():
     program = ("import sys; sys.path.insert(0, '.'); from parlance.sources.identity import code_digest;"
                " from parlance.plans import voices, enhanced;"
