@@ -299,6 +299,14 @@ def find(limit: float):
                 other = node[a] != node[b]
                 ends.append((a[other], b[other]))
             a, b = (np.concatenate(e) for e in zip(*ends))
+            if (role == 3).all():
+                # All of the shard, at most TILE nodes: a link that the walk
+                # from one end misses and that from the other finds counts
+                # for both.
+                either = np.zeros((len(node), len(node)), bool)
+                either[a, b] = either[b, a] = True
+                a, b = np.nonzero(either)
+                del either
             # A pair is counted in the first shard that both ends are in.
             before = (dealt >= 0) & (dealt < shard)
             step = max(1, (1 << 22) // dealt.shape[1] ** 2)
@@ -458,6 +466,7 @@ def link_embeddings(vectors: DataFrame, limit: float = 0.9, id_col: str = "vec_i
     low = scratch.write(own.groupBy("comp").agg(F.min("_low").alias("_least")), "least")
     own = scratch.write(own.select("node", "_links", "comp").join(low, "comp")
                         .select("node", "_links", "_least"), "named")
+    scratch.drop("nodes", "dealt", "tiled", "near", "found", "own", "least")  # nothing reads them any more
     out = rows.select("_id", "node").join(own, "node", "left").select(
         F.col("_id").alias(id_col), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("_least", "_id").alias("component_id"))

@@ -245,7 +245,10 @@ def disclosing_terms(scratch: Scratch, found: DataFrame, terms: DataFrame, suppo
         chosen = _looked_up(scratch, chosen, both, ["entity", "form"], "term", f"forms-joint-{level}")
         replacement = F.when(disclosure(f"_n{level}", f"_both{level}") < threshold, cut_forms(F.col("term"))[level]) \
             .otherwise(replacement)
-    return scratch.write(chosen.select("entity", "term", replacement.alias("replacement")), "replacements")
+    out = scratch.write(chosen.select("entity", "term", replacement.alias("replacement")), "replacements")
+    scratch.drop("entities", "joint", "likely", "entities-used", "terms-used", "disclosing",
+                 *[f"forms-{x}{level}" for x in ("", "joint-") for level in range(len(cut_forms(F.col("term"))))])
+    return out
 
 
 def protected(scratch: Scratch, docs: DataFrame, carried: list[str], text_col: str = "text", window: int = WINDOW,
@@ -258,6 +261,7 @@ def protected(scratch: Scratch, docs: DataFrame, carried: list[str], text_col: s
     base = scratch.write(base.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_found.*"), "found")
     terms = scratch.write(vocabulary(docs, text_col), "vocabulary")
     replacements = disclosing_terms(scratch, base.select("entities", "contexts"), terms, support, threshold)
+    scratch.drop("vocabulary")
     beside = base.select("_row", F.explode("contexts").alias("_c")).select("_row", "_c.entity", "_c.term", "_c.start", "_c.end")
     # One word may give several entities away: the shortest form stays.
     added = with_lookup(beside, replacements, ["entity", "term"], F.col("_row"), "inner") \

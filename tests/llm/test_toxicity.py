@@ -54,6 +54,44 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g[at]) <= 0.02 * abs(g[at]) + 2e-3, name
 
 
+def plain_score(net, text):
+    """The score word by word and window by window, in double precision."""
+    import re
+
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
+    if not words:
+        return net.prior
+    inputs = [net.vectors(toxicity.batch_of([x]))[0].astype(np.float64) for x in words]
+    n, logits = toxicity.HIDDEN, []
+    for at in range(0, len(words), toxicity.STRIDE):
+        states = []
+        for way in ("f", "b"):
+            h, own = np.zeros(n), {}
+            window = list(enumerate(inputs[at:at + toxicity.WINDOW]))
+            for t, x in window if way == "f" else window[::-1]:
+                a, u = x @ w[f"in_{way}"] + w[f"bias_{way}"], h @ w[f"re_{way}"]
+                z, r = (1 / (1 + np.exp(-(a[k:k + n] + u[k:k + n]))) for k in (0, n))
+                h = h + z * (np.tanh(a[2 * n:] + r * u[2 * n:]) - h)
+                own[t] = h
+            states.append([own[t] for t in range(len(window))])
+        both = [np.concatenate(pair) for pair in zip(*states)]
+        focus = np.array([np.exp(np.tanh(h @ w["att"] + w["att_bias"]) @ w["query"]) for h in both])
+        logits.append(sum(f * h for f, h in zip(focus / focus.sum(), both)) @ w["out"] + w["out_bias"][0])
+        if at + toxicity.WINDOW >= len(words):
+            break
+    return 1 / (1 + np.exp(-(max(logits) + net.shift)))
+
+
+def test_scores_equal_a_plain_scorer(trained):
+    docs, _, net = trained
+    texts = [r["text"].encode() for r in docs.orderBy("doc_id").limit(60).collect()]
+    texts += [b"", b" .,!", "straße ÉTÉ x1".encode(), b"word " * 48, b"word " * 49, b"a b c " * 27]
+    got = net.scores(texts)
+    for t, s in zip(texts, got):
+        assert abs(s - plain_score(net, t)) < 1e-4
+
+
 def test_windows_cover_every_word():
     first = np.array([0, 0, 5, 5 + 48, 53 + 49, 102 + 500])
     begin, length, text = toxicity.windows_of(first)
