@@ -34,7 +34,7 @@ SIZE = 5
 # A set of n shingles has FINE times the largest power of two of groups up
 # to n, of which a tree takes FINE together; this many at least. A count is
 # a byte.
-FINE, LEAST_GROUPS, MOST_COUNT = 4, 64, 255
+FINE, LEAST_GROUPS, MOST_COUNT = 1, 64, 255
 # A group of documents that has more surviving pairs than this for each of
 # them sends the best of them first, enough to join all that may be joined.
 MANY_PAIRS = 4
