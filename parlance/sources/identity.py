@@ -13,6 +13,7 @@ import re
 import sys
 import sysconfig
 import types
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,7 +118,7 @@ def _code_parts(value, out: list[str], seen: set[int]) -> None:
     elif isinstance(value, SparkSession):
         out.append("session")
     elif isinstance(value, DataFrame):
-        out.append(re.sub(r"#\d+L?", "", value._jdf.queryExecution().analyzed().toString()))
+        out.extend(_frame_parts(value))
     elif isinstance(value, Column):
         out.append(str(value))
     elif hasattr(value, "__wrapped__"):  # a cached or decorated function
@@ -126,6 +127,17 @@ def _code_parts(value, out: list[str], seen: set[int]) -> None:
         out.append(repr(value))
 
 
+def _frame_parts(df: DataFrame) -> list[str]:
+    """Plan and files of a frame. Rows that it holds itself (made from
+    Python values, or a checkpoint) are not in the plan: such a frame is new
+    every time."""
+    plan = df._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    names = [leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())]
+    own = [uuid.uuid4().hex] if {"LocalRelation", "LogicalRDD"} & set(names) else []
+    return [re.sub(r"#\d+L?", "", plan.toString()), *sorted(df.inputFiles()), *own]
+
+
 def _names(code: types.CodeType) -> list[str]:
     inner = [n for c in code.co_consts if isinstance(c, types.CodeType) for n in _names(c)]
     return [*code.co_names, *inner]

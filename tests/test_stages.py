@@ -113,6 +113,19 @@ def test_helpers_and_constants_of_an_adapter_count(spark):
     assert ID.code_digest(one) != ID.code_digest(two)
 
 
+def test_frames_in_closures_count(spark, corpus):
+    def digest(df):
+        return ID.code_digest(lambda: df)
+
+    other = _folder("other") + "/t"
+    spark.read.parquet(corpus).write.parquet(other)
+    assert digest(spark.read.parquet(corpus)) == digest(spark.read.parquet(corpus))
+    assert digest(spark.read.parquet(corpus)) != digest(spark.read.parquet(other))
+    assert digest(spark.read.parquet(corpus).where("id > 1")) != digest(spark.read.parquet(corpus).where("id > 2"))
+    # rows that the plan does not show
+    assert digest(spark.createDataFrame([(1,)], "a int")) != digest(spark.createDataFrame([(1,)], "a int"))
+
+
 def test_files_are_listed_whatever_the_listing_looks_like(spark, corpus, monkeypatch):
     import re
 
