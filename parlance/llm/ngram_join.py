@@ -34,7 +34,7 @@ SIZE = 5
 # A set of n shingles has FINE times the largest power of two of groups up
 # to n, of which a tree takes FINE together; this many at least. A count is
 # a byte.
-FINE, LEAST_GROUPS, MOST_COUNT = 1, 64, 255
+FINE, LEAST_GROUPS, MOST_COUNT = 4, 64, 255
 # A group of documents that has more surviving pairs than this for each of
 # them sends the best of them first, enough to join all that may be joined.
 MANY_PAIRS = 4
@@ -119,21 +119,29 @@ def level_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return levels[hashes >> np.uint64(64 - COUNT_BITS)]
 
 
+def groups_for(n: np.ndarray) -> np.ndarray:
+    """How many groups sets of ``n`` shingles have."""
+    octave = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+    return np.maximum(LEAST_GROUPS, FINE << octave.astype(np.int64))
+
+
 def group_counts(flat: np.ndarray, begin: np.ndarray) -> list[bytes | None]:
-    """Count vector of each set; empty where a count is over a byte, which
+    """Count vector of each set: two bits a group, and a byte for each that
+    counts three or more, in order. Empty where a count is over a byte, which
     lets every pair of that set through to verification."""
     out: list[bytes | None] = []
-    for a, b in zip(begin[:-1], begin[1:]):
-        size = max(LEAST_GROUPS, FINE << (int(b - a).bit_length() - 1)) if b > a else LEAST_GROUPS
+    for a, b, size in zip(begin[:-1], begin[1:], groups_for(np.diff(begin)).tolist()):
         own = np.bincount((flat[a:b] & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        out.append(own.astype(np.uint8).tobytes() if own.max() <= MOST_COUNT else b"")
+        four = np.minimum(own, 3).astype(np.uint8).reshape(-1, 4)
+        out.append((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+                   + own[own >= 3].astype(np.uint8).tobytes() if own.max() <= MOST_COUNT else b"")
     return out
 
 
 def points_of(counts: list[bytes], n: np.ndarray) -> np.ndarray:
     """Count vectors as rows of one matrix, folded to the fewest groups
     among them (the bound of folded vectors holds, too)."""
-    sizes = np.array([len(c) for c in counts])
+    sizes = np.where([len(c) > 0 for c in counts], groups_for(np.asarray(n)), 0)
     width = max(1, int(sizes[sizes > 0].min(initial=1 << 30))) if (sizes > 0).any() else 1
     out = np.empty((len(counts), width), np.int32)
     for size in np.unique(sizes):
@@ -141,7 +149,9 @@ def points_of(counts: list[bytes], n: np.ndarray) -> np.ndarray:
         if size == 0:
             out[own] = n[own][:, None]  # as if all of the set were in each group
         else:
-            rows = np.frombuffer(b"".join([counts[i] for i in own]), np.uint8)
+            four = np.frombuffer(b"".join([counts[i][:size // 4] for i in own]), np.uint8).reshape(len(own), -1, 1)
+            rows = (four >> np.array([0, 2, 4, 6], np.uint8) & np.uint8(3)).reshape(len(own), size)
+            rows[rows == 3] = np.frombuffer(b"".join([counts[i][size // 4:] for i in own]), np.uint8)
             out[own] = rows.reshape(len(own), size // width, width).sum(axis=1, dtype=np.int32)
     return out
 
